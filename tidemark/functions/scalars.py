@@ -151,13 +151,15 @@ def normalize_handle(col: Column) -> Column:
     return blank_to_null(F.when(text.startswith("@"), mention).otherwise(from_link))
 
 
-def classify_version(hook: Column, module: Column, newer: tuple[str, ...], older: tuple[str, ...]) -> Column:
-    """Newer set wins over the older one; neither is ``unknown``."""
-    def member(names: tuple[str, ...]) -> Column:
-        return F.coalesce(F.lower(hook).isin(*names), F.lit(False)) | F.coalesce(
-            F.lower(module).isin(*names), F.lit(False)
-        )
-    return F.when(member(newer), "newer").when(member(older), "older").otherwise("unknown")
+def classify_version(columns: list[Column], classes: dict[str, tuple[str, ...]], default: str = "other_or_unknown") -> Column:
+    """First class, in order, that any of the columns is a member of; otherwise the default label."""
+    label = None
+    for name, members in classes.items():
+        hit = F.lit(False)
+        for column in columns:
+            hit = hit | F.coalesce(F.lower(column).isin(*members), F.lit(False))
+        label = F.when(hit, name) if label is None else label.when(hit, name)
+    return label.otherwise(default)
 
 
 def trade_role(delta: Column, post_balance: Column) -> Column:

@@ -7,34 +7,46 @@ rows per group, with ordinary partial aggregation. Carries are resolved once, af
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMB_DIGITS = 26
 BASE = "1" + "0" * LIMB_DIGITS
 SUMMAND = "decimal(28,0)"
 LIMB = "decimal(38,0)"
+LIMBS = ("hi", "mid", "lo")
 
 
 def _dec(text: str) -> Column:
     return F.lit(text).cast(LIMB)
 
 
-def limbs(text: Column) -> Column:
-    """Signed decimal text to a struct of three signed limbs (high, mid, low)."""
-    sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
-    padded = F.lpad(F.regexp_replace(text, r"^[+-]", ""), 3 * LIMB_DIGITS, "0")
+def with_limbs(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add signed decimal text as a struct of three signed limbs (hi, mid, lo).
+
+    The padded digits are a column of their own, so the text is parsed once and not once per limb.
+    """
+    sign = F.when(F.col(text).startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    padded = F.lpad(F.regexp_replace(F.col(text), r"^[+-]", ""), 3 * LIMB_DIGITS, "0")
 
     def part(index: int) -> Column:
-        digits = F.substring(padded, index * LIMB_DIGITS + 1, LIMB_DIGITS)
-        return (digits.try_cast(f"decimal({LIMB_DIGITS},0)") * sign).cast(SUMMAND)
+        digits = F.substring("__padded", index * LIMB_DIGITS + 1, LIMB_DIGITS)
+        return (digits.try_cast(f"decimal({LIMB_DIGITS},0)") * F.col("__sign")).cast(SUMMAND)
 
-    return F.struct(part(0).alias("hi"), part(1).alias("mid"), part(2).alias("lo"))
+    return (
+        df.withColumn("__padded", padded)
+        .withColumn("__sign", sign)
+        .withColumn(name, F.struct(part(0).alias("hi"), part(1).alias("mid"), part(2).alias("lo")))
+        .drop("__padded", "__sign")
+    )
 
 
-def sum_limbs(value: Column) -> list[Column]:
-    """Aggregates to place in ``agg``; columns ``hi``, ``mid``, ``lo``."""
-    return [F.sum(value[name]).cast(LIMB).alias(name) for name in ("hi", "mid", "lo")]
+def sum_limbs(value: str, when: Column | None = None, suffix: str = "") -> list[Column]:
+    """Aggregates to place in ``agg``: columns ``hi``, ``mid``, ``lo``, over the rows that meet a condition."""
+    def pick(name: str) -> Column:
+        limb = F.col(f"{value}.{name}")
+        return limb if when is None else F.when(when, limb)
+    return [F.sum(pick(name)).cast(LIMB).alias(name + suffix) for name in LIMBS]
 
 
 def carry(hi: Column, mid: Column, lo: Column) -> Column:
@@ -122,17 +134,22 @@ def signed_int24(word: Column) -> Column:
     return F.when(low >= 2**23, low - 2**24).otherwise(low)
 
 
-def repair_int24(text: Column) -> Column:
-    """Ticks exported as unsigned 256-bit text: above 2^255 means a negative value that was extended to 24 bits."""
-    value = limbs(text)
-    number = carry(value["hi"].cast(LIMB), value["mid"].cast(LIMB), value["lo"].cast(LIMB))
+def repair_int24(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Ticks exported as unsigned 256-bit text: above 2^255 means a negative value that was extended to 256 bits.
+
+    The repaired value is v - 2^256 + 2^24; other values keep their text.
+    """
     base = 10**LIMB_DIGITS
-    half, offset = 2**255, 2**256 - 2**24
 
     def split(n: int) -> list[Column]:
         return [_dec(str(n // base**level % base)) for level in (2, 1, 0)]
 
-    limit = F.struct(*[c.alias(n) for c, n in zip(split(half), ("hi", "mid", "lo"))])
-    hi, mid, lo = split(offset)
-    fixed = carry((number["hi"] - hi).cast(LIMB), (number["mid"] - mid).cast(LIMB), (number["lo"] - lo).cast(LIMB))
-    return F.when(order_key(number) > limit, to_text(fixed)).otherwise(to_text(number))
+    half = F.struct(*[c.alias(n) for c, n in zip(split(2**255), LIMBS)])
+    parts = with_limbs(df, text, "__v")
+    value = F.struct(*[F.col(f"__v.{n}").cast(LIMB).alias(n) for n in LIMBS])
+    shifted = carry(*[(F.col(f"__v.{n}") - c).cast(LIMB) for n, c in zip(LIMBS, split(2**256 - 2**24))])
+    return (
+        parts.withColumn("__fixed", shifted)
+        .withColumn(name, F.when(value > half, to_text(F.col("__fixed"))).otherwise(F.col(text)))
+        .drop("__v", "__fixed")
+    )

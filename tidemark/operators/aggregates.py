@@ -100,8 +100,8 @@ def mode_of(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Counts per label with their share of all rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("__total")).withColumn("__k", F.lit(0))
-    return counts.withColumn("__k", F.lit(0)).join(total, "__k").select(column, "n", (F.col("n") / F.col("__total")).alias("share"))
+    total = df.agg(F.count("*")).scalar()
+    return counts.select(column, "n", (F.col("n") / total).alias("share"))
 
 
 # Which ledger states the coverage summary counts.

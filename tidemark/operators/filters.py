@@ -97,14 +97,11 @@ def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of ``df``, failing at run time on a repeated key.
-
-    Repeats are counted after a map-side combine; the count travels back as one scalar row.
-    """
-    repeats = duplicated(df, keys).agg(F.count("*").alias("__repeats"))
-    message = F.concat(F.lit(f"duplicate key {', '.join(keys)}: "), F.col("__repeats").cast("string"))
-    gate = repeats.select(F.when(F.col("__repeats") > 0, F.raise_error(message)).otherwise(F.lit(0)).alias("__gate"))
-    return df.withColumn("__gate", F.lit(0)).join(gate, "__gate").drop("__gate")
+    """The rows of ``df``, failing at run time on a repeated key; the count of repeats is a scalar subquery."""
+    repeats = duplicated(df, keys).agg(F.count("*").alias("repeats"))
+    message = F.concat(F.lit(f"duplicate key {', '.join(keys)}: "), F.col("repeats").cast("string"))
+    gate = repeats.select(F.when(F.col("repeats") > 0, F.raise_error(message)).otherwise(F.lit(0)))
+    return df.where(gate.scalar() == 0)
 
 
 def filter_bounds(df: DataFrame, column: str, low, high) -> DataFrame:
@@ -129,10 +126,10 @@ def sample_positions(df: DataFrame, n: int, strategy: str, order: str, tie: str)
     if strategy != "even":
         raise ValueError(f"unknown sampling strategy: {strategy}")
     indexed = ranking.global_index(df, order, tie)
-    size = df.where(F.col(order).isNotNull()).agg(F.count("*").alias("__size"))
-    step = (F.col("__size") - 1) / F.lit(max(n - 1, 1))
+    size = df.where(F.col(order).isNotNull()).agg(F.count("*").alias("size"))
+    step = (F.col("size") - 1) / F.lit(max(n - 1, 1))
     spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * step).cast("bigint") + 1)
-    wanted = size.where("__size > 0").select(F.explode(F.array_distinct(spots)).alias("row_index"))
+    wanted = size.where("size > 0").select(F.explode(F.array_distinct(spots)).alias("row_index"))
     return indexed.join(wanted, "row_index", "left_semi").drop("row_index")
 
 

@@ -102,7 +102,7 @@ def asof_lookup(
         F.struct(F.col(at).alias("at"), F.col(new).alias("value")).alias("change"),
         F.col(old).alias("old"),
     )
-    first = changes.agg(F.min_by("old", "change.at").alias("__before_all")).withColumn("__k", F.lit(0))
+    before_all = changes.agg(F.min_by("old", "change.at")).scalar()
     per_bucket = changes.groupBy("__bucket").agg(F.max("change").alias("last"))
     row_buckets = left.select(bucket.alias("__bucket")).distinct()
     carried = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,10 +122,8 @@ def asof_lookup(
     return (
         rows.join(starts, "__bucket", "left")
         .join(near, F.col(block) == F.col("__block"), "left")
-        .withColumn("__k", F.lit(0))
-        .join(first, "__k", "left")
-        .withColumn(name, F.coalesce(F.col("__near.value"), F.col("__carried.value"), F.col("__before_all")))
-        .drop("__bucket", "__carried", "__block", "__near", "__k", "__before_all")
+        .withColumn(name, F.coalesce(F.col("__near.value"), F.col("__carried.value"), before_all))
+        .drop("__bucket", "__carried", "__block", "__near")
     )
 
 
@@ -201,11 +199,7 @@ def match_without_replacement(treated: DataFrame, controls: DataFrame, pair: str
 def nearest_cohort(events: DataFrame, version: str, newer: str, older: str, block: str, tie: str, n: int) -> DataFrame:
     """The last n older rows before the first newer one, and the first n newer rows, labelled by side."""
     post = events.where(F.col(version) == newer)
-    start = post.agg(F.min(block).alias("__start"))
-    pre = (
-        events.where(F.col(version) == older).withColumn("__k", F.lit(0))
-        .join(start.withColumn("__k", F.lit(0)), "__k").where(F.col(block) < F.col("__start")).drop("__k", "__start")
-    )
+    pre = events.where((F.col(version) == older) & (F.col(block) < post.agg(F.min(block)).scalar()))
     before = pre.orderBy(F.desc(block), F.desc(tie)).limit(n).withColumn("cohort_side", F.lit("pre"))
     after = post.orderBy(F.asc(block), F.asc(tie)).limit(n).withColumn("cohort_side", F.lit("post"))
     return before.unionByName(after)

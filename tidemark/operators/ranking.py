@@ -1,8 +1,9 @@
 """Order statistics that never sort one whole group in one task.
 
-A window sorts each of its partitions in one task, so a key that owns a third of the rows stalls it. The
-operators here first shrink equal values to counts (map-side), then split each key in value buckets: one small
-window runs over bucket totals, another inside a bucket.
+A window sorts each of its partitions in one task, so a key that owns a third of the rows stalls it. The operators
+here first shrink equal values to counts (combined on the map side), then cut the value axis in fixed log-scale
+buckets: one small window runs over the bucket totals of a key, another inside a bucket. Buckets are a function of
+the value alone, so retries and repeated branches agree on them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
 ONE = "__one"
+FINEST = 1e6  # values below 1/FINEST share the bucket of zero
+STEPS = 128  # buckets per unit of natural logarithm: each spans less than one percent
+
+
+def value_bucket(value: Column) -> Column:
+    """Bucket number that does not decrease with the value; about 6,000 buckets up to 1e15."""
+    x = value.cast("double")
+    return F.floor(F.signum(x) * F.log1p(F.abs(x) * FINEST) * STEPS).cast("int")
 
 
 def _keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -21,74 +29,83 @@ def _keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(ONE, F.lit(1)), [ONE])
 
 
-def _squash(col: Column) -> Column:
-    """Monotone log scale: heavy tails spread over buckets instead of sharing the last one."""
-    return F.signum(col) * F.log1p(F.abs(col))
+def _counts(df: DataFrame, keys: Sequence[str], value: str, more: Sequence[str] = ()) -> DataFrame:
+    return (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, value_bucket(F.col(value)).alias("__bucket"), value, *more)
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def _bucket_totals(counts: DataFrame, keys: Sequence[str], descending: bool = False) -> DataFrame:
+    """Per key and bucket: rows in it, rows ahead of it, rows of the key. At most a few thousand rows per key."""
+    direction = F.desc if descending else F.asc
+    whole = Window.partitionBy(*keys)
+    ahead = whole.orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        counts.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__rows"))
+        .withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)))
+        .withColumn("total", F.sum("__rows").over(whole))
+    )
 
 
-def _bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
-    width = _squash(high) - _squash(low)
-    place = F.floor((_squash(value) - _squash(low)) * buckets / F.nullif(width, F.lit(0.0)))
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place)), F.lit(0)).cast("int")
+def _inside(keys: Sequence[str], *order: Column):
+    return Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def value_counts_with_rank(
-    df: DataFrame, keys: Sequence[str], value: str, descending: bool = False, buckets: int = BUCKETS, extra: Sequence[Column] = ()
-) -> DataFrame:
-    """Distinct values per key with ``n`` copies, ``before`` = rows ranked ahead and ``total`` rows of the key.
+def value_counts_with_rank(df: DataFrame, keys: Sequence[str], value: str, descending: bool = False) -> DataFrame:
+    """Distinct values per key with ``n`` copies, ``before`` = rows ranked ahead and ``total`` rows of the key."""
+    df, group = _keys(df, keys)
+    counts = _counts(df, group, value)
+    joined = counts.join(_bucket_totals(counts, group, descending), [*group, "__bucket"])
+    order = F.desc(value) if descending else F.asc(value)
+    before = F.col("__ahead") + F.coalesce(F.sum("n").over(_inside(group, order)), F.lit(0))
+    return joined.withColumn("before", before).select(*keys, value, "n", "before", "total")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column per named probability; nulls are skipped.
 
-    ``extra`` are aggregates (for example a sum) carried per distinct value.
+    Only the buckets that hold a wanted rank are sorted.
     """
-    df, keys = _keys(df, keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), *extra)
-    bounds = counts.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("total"))
-    spread = counts.join(bounds, keys).withColumn(
-        "__bucket", _bucket(F.col(value).cast("double"), F.col("__lo").cast("double"), F.col("__hi").cast("double"), buckets)
+    df, group = _keys(df, keys)
+    counts = _counts(df, group, value)
+    totals = _bucket_totals(counts, group)
+
+    def spot(q: float) -> Column:
+        return (F.col("total") - 1) * F.lit(float(q))
+
+    ranks = [f(spot(q)) for q in probabilities.values() for f in (F.floor, F.ceil)]
+    hit = F.lit(False)
+    for rank in ranks:
+        hit = hit | ((F.col("__ahead") <= rank) & (rank < F.col("__ahead") + F.col("__rows")))
+    picked = counts.join(totals.where(hit), [*group, "__bucket"]).withColumn(
+        "__from", F.col("__ahead") + F.coalesce(F.sum("n").over(_inside(group, F.asc(value))), F.lit(0))
     )
-    direction = F.desc if descending else F.asc
-    ahead = Window.partitionBy(*keys).orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        spread.groupBy(*keys, "__bucket")
-        .agg(F.sum("n").alias("__n"))
-        .withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
-        .drop("__n")
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(direction(value)).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = spread.join(totals, [*keys, "__bucket"]).withColumn(
-        "before", F.col("__ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
-    return ranked.drop("__lo", "__hi", "__bucket", "__ahead", ONE)
 
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__from") + F.col("n")), F.col(value).cast("double")))
 
-def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], buckets: int = BUCKETS
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per named probability; nulls are skipped."""
-    source, group = _keys(df, keys)
-    ranked = value_counts_with_rank(source, group, value, buckets=buckets)
-    rank_from, rank_to = F.col("before"), F.col("before") + F.col("n")
     out = []
     for name, q in probabilities.items():
-        spot = (F.col("total") - 1) * F.lit(float(q))
-
-        def at(rank: Column) -> Column:
-            return F.max(F.when((rank_from <= rank) & (rank < rank_to), F.col(value).cast("double")))
-
-        low, high, share = at(F.floor(spot)), at(F.ceil(spot)), F.max(spot - F.floor(spot))
-        out.append((low + (high - low) * share).alias(name))
-    result = ranked.groupBy(*group).agg(*out)
-    return result.drop(ONE)
+        low, high, part = at(F.floor(spot(q))), at(F.ceil(spot(q))), F.max(spot(q) - F.floor(spot(q)))
+        out.append((low + (high - low) * part).alias(name))
+    if keys:
+        return picked.groupBy(*group).agg(*out)
+    return picked.agg(*out)
 
 
 def with_quantiles(stats: DataFrame, keys: Sequence[str], *parts: DataFrame) -> DataFrame:
     """Attach quantile frames to a frame of ordinary aggregates on the same keys (null-safe)."""
     for part in parts:
+        values = [c for c in part.columns if c not in keys]
         if keys:
-            right = part.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in part.columns if c not in keys])
-            cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-            stats = stats.join(right, cond, "left").drop(*[f"__{k}" for k in keys])
+            right = part.select(*[F.col(k).alias(f"__{k}") for k in keys], *values)
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            stats = stats.join(right, same, "left").drop(*[f"__{k}" for k in keys])
         else:
-            stats = stats.withColumn(ONE, F.lit(1)).join(part.withColumn(ONE, F.lit(1)), ONE, "left").drop(ONE)
+            packed = part.select(F.struct(*values).alias("__q")).scalar()
+            stats = stats.withColumn("__q", packed).select(*stats.columns, *[F.col(f"__q.{v}").alias(v) for v in values])
     return stats
 
 
@@ -112,25 +129,25 @@ def global_index(
 ) -> DataFrame:
     """1-based position of every row ordered by (``order``, ``tie``), globally or per key.
 
-    ``order`` and ``tie`` are numeric and ``tie`` is unique within equal ``order``. Runs one small action: the split
-    points of ``tie``. The largest window partition is one (key, value, tie segment), so heavy ties are split too.
+    ``order`` and ``tie`` are numeric and ``tie`` is unique within equal ``order``; ties always rank ascending. Runs
+    one small action for the split points of ``tie``. The largest window partition is one (key, value, tie segment),
+    so heavy ties are split too.
     """
     marks = _split_points(df, tie, segments)
     parts, group = _keys(df, keys)
-    parts = parts.withColumn("__seg", _segment(F.col(tie), marks))
-    ranked = value_counts_with_rank(parts, group, order, descending=descending)
-    seg_counts = parts.where(F.col(order).isNotNull()).groupBy(*group, order, "__seg").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*group, order).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.where(F.col(order).isNotNull()).withColumn("__seg", _segment(F.col(tie), marks))
+    counts = _counts(parts, group, order, ["__seg"])
+    direction = F.desc(order) if descending else F.asc(order)
+    earlier = F.coalesce(F.sum("n").over(_inside(group, direction, F.asc("__seg"))), F.lit(0))
     offsets = (
-        seg_counts.withColumn("__earlier", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .join(ranked.select(*keys, order, "before"), [*keys, order])
-        .withColumn("__offset", F.col("before") + F.col("__earlier"))
+        counts.join(_bucket_totals(counts, group, descending), [*group, "__bucket"])
+        .withColumn("__offset", F.col("__ahead") + earlier)
         .select(*group, order, "__seg", "__offset")
     )
-    inside = Window.partitionBy(*group, order, "__seg").orderBy(tie)
+    place = F.row_number().over(Window.partitionBy(*group, order, "__seg").orderBy(tie))
     return (
         parts.join(offsets, [*group, order, "__seg"])
-        .withColumn(name, (F.col("__offset") + F.row_number().over(inside)).cast("bigint"))
+        .withColumn(name, (F.col("__offset") + place).cast("bigint"))
         .drop("__offset", "__seg", ONE)
     )
 
@@ -160,24 +177,26 @@ def running_sum(
 
 
 def concentration(df: DataFrame, keys: Sequence[str], weight: str, tops: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """Top-k shares, HHI, members and the 50% count of nonnegative weights per key.
+    """Members, total, top-k shares and HHI of nonnegative weights per key, from one row per member.
 
-    Works on distinct weights: members with equal weight are interchangeable, so a top-k sum takes
-    ``min(n, k - before)`` copies of each, and the 50% count is solved inside the level that crosses one half.
+    The total is an ordinary aggregate. Top-k needs only the k largest members, which every task limits before the
+    shuffle, so a key with very many members is never sorted whole.
     """
-    ranked = value_counts_with_rank(df, keys, weight, descending=True)
-    level = F.col(weight) * F.col("n")
-    per_key = ranked.groupBy(*keys).agg(
-        F.sum("n").alias("members"),
-        F.sum(level).alias("total_weight"),
-        F.sum(F.col(weight) * level).alias("__squares"),
-        *[
-            F.sum(F.col(weight) * F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - F.col("before")))).alias(f"__top{k}")
-            for k in tops
-        ],
+    totals = df.groupBy(*keys).agg(
+        F.count(weight).alias("members"),
+        F.sum(weight).alias("total_weight"),
+        F.sum(F.col(weight) * F.col(weight)).alias("__squares"),
+    )
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(weight).desc_nulls_last()))
+    leaders = (
+        df.select(*keys, weight)
+        .withColumn("__rank", rank)
+        .where(F.col("__rank") <= max(tops))
+        .groupBy(*keys)
+        .agg(*[F.sum(F.when(F.col("__rank") <= k, F.col(weight))).alias(f"__top{k}") for k in tops])
     )
-    total = F.nullif(F.col("total_weight"), F.lit(0.0))
-    return per_key.select(
+    total = F.nullif(F.col("total_weight").cast("double"), F.lit(0.0))
+    return totals.join(leaders, list(keys)).select(
         *keys,
         "members",
         "total_weight",
@@ -187,13 +206,28 @@ def concentration(df: DataFrame, keys: Sequence[str], weight: str, tops: Sequenc
 
 
 def crossing_count(df: DataFrame, keys: Sequence[str], weight: str, share: float = 0.5, name: str = "crossing_count") -> DataFrame:
-    """Smallest number of largest members whose weights reach ``share`` of the total."""
-    ranked = value_counts_with_rank(df, keys, weight, descending=True)
-    ranked = ranked.withColumn("__level", F.col(weight) * F.col("n"))
-    totals = ranked.groupBy(*keys).agg(F.sum("__level").alias("__total"))
-    bucket = -F.floor(_squash(F.col(weight)) * 64)
-    run = running_sum(ranked, keys, bucket, [F.desc(weight)], "__level", "__cum")
-    need = F.lit(share) * F.col("__total")
-    inside = F.ceil(F.try_divide(need - (F.col("__cum") - F.col("__level")), F.col(weight)) - F.lit(1e-9))
-    reached = F.when(F.col("__cum") >= need - F.abs(need) * 1e-12, F.col("before") + F.greatest(F.lit(1), inside))
-    return run.join(totals, list(keys)).groupBy(*keys).agg(F.min(reached).cast("bigint").alias(name))
+    """Smallest number of largest members whose positive weights reach ``share`` of the total.
+
+    Bucket totals locate the one bucket of a key in which the share is crossed; only that bucket is sorted. Equal
+    weights are interchangeable, so inside a level the number of copies needed is a division.
+    """
+    counts = _counts(df, keys, weight)
+    level = F.col("n") * F.col(weight)
+    whole = Window.partitionBy(*keys)
+    ahead = whole.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        counts.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__rows"), F.sum(level).alias("__weight"))
+        .withColumn("__n_ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)))
+        .withColumn("__w_ahead", F.coalesce(F.sum("__weight").over(ahead), F.lit(0.0)))
+        .withColumn("__need", F.sum("__weight").over(whole) * F.lit(share) * F.lit(1 - 1e-12))
+    )
+    crossing = buckets.where((F.col("__w_ahead") < F.col("__need")) & (F.col("__need") <= F.col("__w_ahead") + F.col("__weight")))
+    inside = _inside(keys, F.desc(weight))
+    rows = (
+        counts.join(crossing, [*keys, "__bucket"])
+        .withColumn("__n0", F.col("__n_ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .withColumn("__w0", F.col("__w_ahead") + F.coalesce(F.sum(level).over(inside), F.lit(0.0)))
+        .where(F.col("__w0") + level >= F.col("__need"))
+    )
+    copies = F.greatest(F.lit(1), F.ceil((F.col("__need") - F.col("__w0")) / F.col(weight)))
+    return rows.groupBy(*keys).agg(F.min(F.col("__n0") + copies).cast("bigint").alias(name))

@@ -81,7 +81,7 @@ def rank_bins(df: DataFrame, value: str, q: int, tie: str, name: str) -> DataFra
     Not ``ntile``: the bin sizes differ. Integer arithmetic, so no edge depends on rounding.
     """
     indexed = ranking.global_index(df, value, tie, name="__r")
-    size = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("__n")).withColumn("__k", F.lit(0))
-    joined = indexed.withColumn("__k", F.lit(0)).join(size, "__k")
+    size = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("n")).scalar()
+    joined = indexed.withColumn("__n", size)
     upper = F.expr(f"((__r - 1) * {int(q)} + greatest(__n - 1, 1) - 1) div greatest(__n - 1, 1)")
-    return joined.withColumn(name, F.greatest(F.lit(0), upper - 1).cast("int")).drop("__r", "__n", "__k")
+    return joined.withColumn(name, F.greatest(F.lit(0), upper - 1).cast("int")).drop("__r", "__n")
