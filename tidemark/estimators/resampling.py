@@ -19,11 +19,148 @@ from tidemark.operators import ranking
 POISSON_TERMS = 12
 
 
-def poisson_weight(*key: Column) -> Column:
-    """Poisson(1) copies of a unit in a draw: the with-replacement bootstrap when there are many units."""
-    u = md5_uniform(*key)
-    weight, cumulative = F.lit(0), 0.0
+def poisson_copies(uniform: Column) -> Column:
+    """Poisson(1) copies from a uniform: the with-replacement bootstrap when there are many units."""
+    copies, cumulative = F.lit(0), 0.0
     for k in range(POISSON_TERMS):
         cumulative += math.exp(-1.0) / math.factorial(k)
-        weight = weight + F.when(u >= F.lit(cumulative), 1).otherwise(0)
-    return weight
+        copies = copies + F.when(uniform >= F.lit(cumulative), 1).otherwise(0)
+    return copies
+
+
+def interval(draws: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Percentile interval and spread of draws."""
+    spread = draws.groupBy(*keys).agg(F.count("*").alias("draws"), F.stddev_samp(value).alias("boot_se"))
+    return ranking.with_quantiles(spread, keys, ranking.quantiles(draws, keys, value, {"ci95_low": 0.025, "ci95_high": 0.975}))
+
+
+def _slots(units: DataFrame, keys: Sequence[str], draws: int, salt: str) -> DataFrame:
+    """(keys, draw, position): n positions drawn with replacement per key and draw.
+
+    ``units`` has the columns keys, position (0-based) and n. Each unit row makes one slot per draw, so the work is
+    spread like the units.
+    """
+    slots = units.select(*keys, "n", F.col("position").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    u = md5_uniform(F.lit(salt), *[F.col(k) for k in keys], F.col("draw"), F.col("slot"))
+    return slots.select(*keys, "draw", F.floor(u * F.col("n")).cast("bigint").alias("position"))
+
+
+def boot_mean(df: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int = 200, salt: str = "mean") -> DataFrame:
+    """Mean with a percentile interval; Poisson weights per unit and draw, combined on the map side.
+
+    No row is gathered: every draw of a key is a weighted sum, and the shuffle carries one row per draw and task.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, unit, value, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
+    u = md5_uniform(F.lit(salt), F.col("draw"), F.col(unit))
+    weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("__u"))))
+    sums = weighted.groupBy(*keys, "draw").agg(F.sum(F.col("__w") * F.col(value)).alias("s"), F.sum("__w").alias("w"), F.count("*").alias("n"))
+    means = sums.withColumn("m", safe_rate(F.col("s"), F.col("w")))
+    point = means.where("draw = 0").select(*keys, "n", F.col("m").alias("mean"))
+    return ranking.with_quantiles(point, keys, interval(means.where("draw > 0"), keys, "m"))
+
+
+def boot_median(df: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int = 100, salt: str = "median") -> DataFrame:
+    """Median with a percentile interval.
+
+    Copies of equal values are interchangeable: a draw is a reweighted count table, and its weighted median comes from
+    the running weight, found in value buckets.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, unit, value, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
+    u = md5_uniform(F.lit(salt), F.col("draw"), F.col(unit))
+    weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("__u"))))
+    copies = weighted.where("__w > 0").select(*keys, "draw", value, F.explode(F.sequence(F.lit(1), F.col("__w"))).alias("__c"))
+    medians = ranking.quantiles(copies, [*keys, "draw"], value, {"m": 0.5})
+    point = medians.where("draw = 0").select(*keys, F.col("m").alias("median"))
+    return ranking.with_quantiles(point, keys, interval(medians.where("draw > 0"), keys, "m"))
+
+
+def cluster_draws(units: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], draws: int, salt: str) -> DataFrame:
+    """Sums of clusters drawn with replacement, per key and draw.
+
+    ``units`` holds one row per cluster (a calendar day, a pair): rows were reduced to clusters before, so positions
+    come from a window over clusters, not over rows.
+    """
+    indexed = ranking.global_index(units, order, order, keys=keys, name="position").withColumn("position", F.col("position") - 1)
+    sizes = indexed.groupBy(*keys).agg(F.count("*").alias("n")) if keys else None
+    if keys:
+        counted = indexed.join(sizes, list(keys))
+    else:
+        counted = indexed.withColumn("n", units.agg(F.count("*")).scalar())
+    picks = _slots(counted.select(*keys, "position", "n"), keys, draws, salt)
+    chosen = picks.groupBy(*keys, "draw", "position").agg(F.count("*").alias("copies"))
+    return chosen.join(indexed.select(*keys, "position", *sums), [*keys, "position"]).groupBy(*keys, "draw").agg(
+        *[F.sum(F.col("copies") * F.col(s)).alias(s) for s in sums]
+    )
+
+
+def cluster_boot(units: DataFrame, order: str, numerator: str, denominator: str, draws: int = 200, salt: str = "cluster", keys: Sequence[str] = ()) -> DataFrame:
+    """Ratio of sums with the spread over resampled clusters; with one cluster only the ratio is known."""
+    point = units.groupBy(*keys).agg(safe_rate(F.sum(numerator), F.sum(denominator)).alias("estimate"), F.count("*").alias("clusters"))
+    drawn = cluster_draws(units, keys, order, [numerator, denominator], draws, salt).withColumn("r", safe_rate(F.col(numerator), F.col(denominator)))
+    joined = ranking.with_quantiles(point, keys, interval(drawn, keys, "r"))
+    several = F.col("clusters") > 1
+    return joined.select(*keys, "estimate", "clusters", *[F.when(several, F.col(c)).alias(c) for c in ("boot_se", "ci95_low", "ci95_high")])
+
+
+def block_positions(series: DataFrame, draws: int, block: int, salt: str = "block", circular: bool = False) -> DataFrame:
+    """(draw, slot, position) of a moving-block bootstrap of a series of n days.
+
+    A draw has ceil(n / block) blocks and is cut to n slots. Without ``circular`` a block must fit in the series.
+    """
+    size = series.agg(F.count("*").alias("n"))
+    blocks = size.select("n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select(
+        "n", "draw", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("b")
+    )
+    starts = F.col("n") if circular else F.col("n") - block + 1
+    u = md5_uniform(F.lit(salt), F.col("draw"), F.col("b"))
+    spread = blocks.withColumn("start", F.floor(u * starts)).select("n", "draw", "b", "start", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k"))
+    return spread.select(
+        "draw", (F.col("b") * block + F.col("k")).cast("bigint").alias("slot"), F.pmod(F.col("start") + F.col("k"), F.col("n")).cast("bigint").alias("position"), "n"
+    ).where(F.col("slot") < F.col("n")).drop("n")
+
+
+def block_boot(series: DataFrame, day: str, value: str, weights: Column, draws: int = 200, block: int = 7, salt: str = "block", circular: bool = False) -> DataFrame:
+    """Any linear statistic sum(weight(slot) * value) under a moving-block bootstrap.
+
+    ``weights`` is an expression of ``slot`` (0-based place in the window). Whole day vectors move together, so
+    dependence between units of one day is kept by building ``value`` per day first.
+    """
+    indexed = ranking.global_index(series.withColumn("__d", F.datediff(day, F.lit("1970-01-01").cast("date")) if dict(series.dtypes)[day] == "date" else F.col(day)), "__d", "__d", name="position").withColumn("position", F.col("position") - 1)
+    base = indexed.withColumn("slot", F.col("position"))
+    point = base.agg(F.sum(weights * F.col(value)).alias("estimate"), F.count("*").alias("n_days"))
+    drawn = block_positions(series, draws, block, salt, circular).join(indexed.select("position", value), "position").groupBy("draw").agg(
+        F.sum(weights * F.col(value)).alias("b")
+    )
+    return ranking.with_quantiles(point, [], interval(drawn.withColumn("__k", F.lit(0)), ["__k"], "b").drop("__k"))
+
+
+def multiplier_boot(influence: DataFrame, unit: str, phi: str, estimate: Column | float, draws: int = 199, salt: str = "sign") -> DataFrame:
+    """Estimate perturbed by Rademacher-signed influence values; one sum per draw."""
+    rows = influence.select(unit, phi, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    sums = rows.groupBy("draw").agg(F.sum(md5_sign(F.lit(salt), F.col("draw"), F.col(unit)) * F.col(phi)).alias("shift"))
+    base = F.lit(estimate) if isinstance(estimate, (int, float)) else estimate
+    return interval(sums.withColumn("b", base + F.col("shift")).withColumn("__k", F.lit(0)), ["__k"], "b").drop("__k")
+
+
+def hier_boot(pairs: DataFrame, model: str, pair: str, calls_high: str, calls_low: str, draws: int = 200, salt: str = "hier") -> DataFrame:
+    """Two-stage bootstrap of a paired contrast: pairs are drawn inside each model, then calls inside both cells.
+
+    ``pairs`` has one row per (model, pair) with the two cells' call values as arrays (a registered design has a few
+    calls per cell). Models are fixed and weigh the same. ``pair`` is a 0-based index within the model.
+    """
+    sizes = pairs.groupBy(model).agg(F.count("*").alias("n"))
+    slots = pairs.join(sizes, model).select(model, "n", F.col(pair).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
+    u = md5_uniform(F.lit(salt), F.col(model), F.col("draw"), F.col("slot"))
+    picked = slots.select(model, "draw", "slot", F.when(F.col("draw") == 0, F.col("slot")).otherwise(F.floor(u * F.col("n"))).cast("bigint").alias(pair))
+
+    def resampled(cell: str) -> Column:
+        values = F.col(cell)
+        at = lambda i: F.floor(md5_uniform(F.lit(salt), F.lit(cell), F.col(model), F.col("draw"), F.col("slot"), i) * F.size(values)).cast("int")
+        drawn = F.transform(values, lambda v, i: F.when(F.col("draw") == 0, v).otherwise(F.get(values, at(i))))
+        return F.aggregate(drawn, F.lit(0.0), lambda acc, v: acc + v) / F.size(values)
+
+    rows = picked.join(pairs, [model, pair]).select(model, "draw", (resampled(calls_high) - resampled(calls_low)).alias("diff"))
+    per_model = rows.groupBy(model, "draw").agg(F.avg("diff").alias("diff"))
+    means = per_model.groupBy("draw").agg(F.avg("diff").alias("effect"), F.count("*").alias("models"))
+    point = means.where("draw = 0").select("effect", "models")
+    return ranking.with_quantiles(point, [], interval(means.where("draw > 0").withColumn("__k", F.lit(0)), ["__k"], "effect").drop("__k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.estimators.resampling import poisson_weight
+from tidemark.estimators.resampling import poisson_copies
 from tidemark.functions.scalars import md5_uniform
 from tidemark.operators import ranking
 from tidemark.session import cut_lineage
@@ -129,7 +129,10 @@ def touch_lift(outcomes: DataFrame, touched: DataFrame, value: str, ratio: int =
     controls = ranking.global_index(pool, "__u", "__tie", name="__place").where(F.col("__place") <= ratio * n).withColumn("side", F.lit(0))
     sample = treated.select("mint", value, "side").unionByName(controls.select("mint", value, "side"))
     drawn = sample.select(value, "side", "mint", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    w = F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_weight(F.lit(salt), F.col("draw"), F.col("mint")))
+    drawn = drawn.withColumn("u", md5_uniform(F.lit(salt), F.col("draw"), F.col("mint"))).withColumn(
+        "w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("u")))
+    )
+    w = F.col("w")
 
     def mean(side: int) -> Column:
         here = F.col("side") == side
