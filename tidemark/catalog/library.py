@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.catalog import market  # noqa: F401
+from tidemark.catalog import estimators, market  # noqa: F401
 from tidemark.catalog.registry import ENTRIES
 
 __all__ = ["ENTRIES"]

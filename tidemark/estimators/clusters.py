@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.estimators.panel import _within
 from tidemark.estimators.tails import student_p
+from tidemark.session import settle
 
 MOST_CLUSTERS = 16
 
@@ -18,7 +19,7 @@ MOST_CLUSTERS = 16
 def _residualized(df: DataFrame, unit: str, period: str, y: str, d: str) -> DataFrame:
     """Columns r (outcome) and w (treatment), both free of unit and period effects."""
     rows = df.where(F.col(y).isNotNull())
-    return _within(rows, [], unit, period, {y: "r", d: "w"}).select(unit, period, "r", "w")
+    return settle(_within(rows, [], unit, period, {y: "r", d: "w"}).select(unit, period, "r", "w"))
 
 
 def _signs(clusters: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def _signs(clusters: DataFrame) -> DataFrame:
     """
     size = F.size("c")
     limit = F.when(size > MOST_CLUSTERS, F.raise_error(F.lit(f"exact enumeration supports at most {MOST_CLUSTERS} clusters"))).otherwise(
-        F.shiftleft(F.lit(1), size) - 1
+        F.expr("shiftleft(1, size(c))") - 1
     )
     # bit i of the vector number decides the sign of cluster i
     vector = F.transform("c", lambda _, i: F.when(F.getbit(F.col("v"), i) == 1, 1.0).otherwise(-1.0))
@@ -121,6 +122,8 @@ def twfe_cluster(df: DataFrame, creator: str, day: str, y: str = "y", d: str = "
         creator, F.transform("o", lambda o: o["t"]).alias("t"), F.transform("o", lambda o: o["y"]).alias("y"), F.transform("o", lambda o: o["d"]).alias("d")
     )
 
+    series = settle(series)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = 0
         a = np.zeros((0, 0))
@@ -160,27 +163,27 @@ def twfe_cluster(df: DataFrame, creator: str, day: str, y: str = "y", d: str = "
     effects = packed.mapInPandas(solve, "ly array<double>, ld array<double>").agg(F.first(F.struct("ly", "ld"))).scalar()
 
     swept = series.withColumn("f", effects)
-    for values, lam in (("y", "ly"), ("d", "ld")):
-        moved = F.zip_with(values, "t", lambda v, t, lam=lam: v - F.get(F.col(f"f.{lam}"), t))
-        swept = swept.withColumn(f"m{values}", moved)
-        average = F.aggregate(f"m{values}", F.lit(0.0), lambda acc, x: acc + x) / F.size("t")
-        swept = swept.withColumn(f"a{values}", average).withColumn(f"r{values}", F.transform(f"m{values}", lambda v, values=values: v - F.col(f"a{values}")))
+    for values in ("y", "d"):
+        moved = F.expr(f"zip_with({values}, t, (v, t) -> v - get(f.l{values}, t))")
+        average = F.expr("aggregate(__m, 0D, (acc, x) -> acc + x) / size(t)")
+        swept = swept.withColumn("__m", moved).withColumn("__a", average).withColumn(f"r{values}", F.expr("transform(__m, v -> v - __a)"))
     swept = swept.select(creator, "d", "ry", "rd")
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, x: acc + x)
 
     sums = swept.select(
-        dot("rd", "ry").alias("dy"), dot("rd", "rd").alias("dd"), F.size("d").alias("n"), (F.array_max("d") > 0).alias("treated"), "rd", "d"
+        dot("rd", "ry").alias("dy"), dot("rd", "rd").alias("dd"), F.size("d").alias("n"), (F.array_max("d") > 0).alias("treated"),
+        F.aggregate(F.filter("rd", lambda w: w < 0), F.lit(0.0), lambda acc, w: acc + w).alias("negative"),
     )
+    sums = settle(sums)
     fit = sums.agg(
         F.sum("dy").alias("dy"), F.sum("dd").alias("dd"), F.sum("n").cast("bigint").alias("n_obs"), F.count("*").alias("clusters"),
     )
     beta = fit.select(F.col("dy") / F.col("dd")).scalar()
     # a cluster score is dy - beta * dd, both already creator-level
-    negative = F.aggregate(F.filter("rd", lambda w: w < 0), F.lit(0.0), lambda acc, w: acc + w)
     meat = sums.withColumn("__b", beta).agg(F.struct(
-        F.sum(F.pow(F.col("dy") - F.col("__b") * F.col("dd"), 2)).alias("m"), F.sum(F.when(F.col("treated"), negative)).alias("neg")
+        F.sum(F.pow(F.col("dy") - F.col("__b") * F.col("dd"), 2)).alias("m"), F.sum(F.when(F.col("treated"), F.col("negative"))).alias("neg")
     )).scalar()
     out = fit.withColumn("__m", meat).withColumn("estimate", F.col("dy") / F.col("dd"))
     cr1 = F.col("clusters") / (F.col("clusters") - 1)

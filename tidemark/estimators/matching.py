@@ -12,6 +12,7 @@ from tidemark.estimators.panel import Z95
 from tidemark.estimators.tails import binomial_upper
 from tidemark.functions.scalars import safe_rate
 from tidemark.operators import aggregates, joins, ranking, reshape
+from tidemark.session import settle
 
 
 def proportion_by(df: DataFrame, keys: Sequence[str], y: Column, z: float = Z95) -> DataFrame:
@@ -54,7 +55,8 @@ def matched_att(df: DataFrame, treated: str, cells: Sequence[str], outcome: str,
 
     ``cluster`` is one of the cell columns (a launch day), so cluster sums come from the cells.
     """
-    table = matched_cells(df, treated, cells, outcome)
+    df = settle(df.select(treated, *cells, outcome))
+    table = settle(matched_cells(df, treated, cells, outcome))
     total = df.where((F.col(treated) == 1) & F.col(outcome).isNotNull()).agg(F.count("*")).scalar()
     point = table.agg(
         F.sum("treated_n").alias("n_treated"), F.sum("control_n").alias("n_control"),
@@ -97,7 +99,7 @@ def timing_checks(df: DataFrame, treated: str, cells: Sequence[str], outcomes: S
         treated, *cells, "o.outcome", "o.value"
     )
     table = matched_cells(long, treated, [*cells, "outcome"], "value")
-    rows = table.groupBy("outcome").agg(
+    rows = settle(table).groupBy("outcome").agg(
         F.sum("treated_n").alias("n_treated"), (F.sum("treated_sum") / F.sum("treated_n")).alias("treated_value"),
         (F.sum(F.col("treated_n") * F.col("control_mean")) / F.sum("treated_n")).alias("control_value"),
     ).withColumn("effect", F.col("treated_value") - F.col("control_value"))
@@ -109,23 +111,23 @@ def timing_checks(df: DataFrame, treated: str, cells: Sequence[str], outcomes: S
     return rows.withColumn("__p", pair).withColumn("immediate_association", large).drop("__p")
 
 
-def shock_table(tokens: DataFrame, at: str, flag: str, outcome: str, shocks: DataFrame, adjacent_days: int) -> DataFrame:
-    """Tokens in or next to each shock window with counts and rates in the four cells.
+def shock_table(tokens: DataFrame, at: str, flag: str, outcome: str, shocks: DataFrame, window_hours: int) -> DataFrame:
+    """Counts and outcome sums in the four cells (flagged or plain, during or adjacent) of each shock.
 
-    ``shocks``  shock_id, start_day, end_day (dates, inclusive). Each shock lists its days, so the match is an equi join
-    on the day and not a range join.
+    ``shocks``  shock_id, start, end (inclusive). A shock lists the hours it touches, so tokens meet it by an equi join
+    on the hour; the exact bounds are checked afterwards.
     """
-    span = shocks.select(
-        "shock_id", "start_day", "end_day",
-        F.explode(F.sequence(F.date_sub("start_day", adjacent_days), F.date_add("end_day", adjacent_days))).alias("__day"),
-    ).withColumn("during", F.col("__day").between(F.col("start_day"), F.col("end_day")).cast("int"))
-    rows = tokens.select(F.to_date(at).alias("__day"), F.col(flag).alias("flag"), F.col(outcome).cast("double").alias("y")).groupBy("__day", "flag").agg(
-        F.count("*").alias("n"), F.sum("y").alias("y")
+    pad = F.expr(f"INTERVAL {int(window_hours)} HOURS")
+    hours = F.sequence(F.date_trunc("hour", F.col("start") - pad), F.date_trunc("hour", F.col("end") + pad), F.expr("INTERVAL 1 HOUR"))
+    span = shocks.select("shock_id", "start", "end", F.explode(hours).alias("__hour"))
+    rows = tokens.select(F.col(at).alias("__at"), F.date_trunc("hour", at).alias("__hour"), F.col(flag).alias("flag"), F.col(outcome).cast("double").alias("y"))
+    near = rows.join(span, "__hour").where(F.col("__at").between(F.col("start") - pad, F.col("end") + pad)).withColumn(
+        "during", F.col("__at").between(F.col("start"), F.col("end")).cast("int")
     )
-    joined = rows.join(span.select("shock_id", "__day", "during"), "__day")
-    cell = lambda f, d, c: F.coalesce(F.sum(F.when((F.col("flag") == f) & (F.col("during") == d), F.col(c))), F.lit(0))
-    return joined.groupBy("shock_id").agg(*[
-        cell(f, d, c).alias(f"{c}_{'flag' if f else 'plain'}_{'during' if d else 'adjacent'}") for f in (1, 0) for d in (1, 0) for c in ("n", "y")
+    cell = lambda f, d, c: F.coalesce(F.sum(F.when((F.col("flag") == f) & (F.col("during") == d), c)), F.lit(0))
+    values = {"n": F.lit(1), "y": F.col("y")}
+    return near.groupBy("shock_id").agg(*[
+        cell(f, d, c).alias(f"{name}_{'flag' if f else 'plain'}_{'during' if d else 'adjacent'}") for f in (1, 0) for d in (1, 0) for name, c in values.items()
     ])
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.estimators.tails import normal_p
 from tidemark.functions.scalars import rel_day, rel_week
 from tidemark.operators import windows
+from tidemark.session import settle
 
 Z95 = 1.96
 
@@ -39,7 +40,8 @@ def with_interval(df: DataFrame, estimate: str = "estimate", error: str = "std_e
 
 
 def complete_periods(panel: DataFrame, unit: str, period: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of the periods in which every unit is observed: the balanced part of the panel."""
+    """Rows of the periods in which every unit is observed: the balanced part of the panel, settled."""
+    panel = settle(panel)
     seen = panel.where(F.col("y").isNotNull()).select(*keys, unit, period).distinct()
     counts = seen.groupBy(*keys, period).agg(F.count("*").alias("__seen"))
     units = seen.select(*keys, unit).distinct()
@@ -48,7 +50,7 @@ def complete_periods(panel: DataFrame, unit: str, period: str, keys: Sequence[st
         full = counts.join(total, list(keys)).where("__seen = __units").select(*keys, period)
     else:
         full = counts.where(F.col("__seen") == units.agg(F.count("*")).scalar()).select(period)
-    return panel.join(full, [*keys, period], "left_semi")
+    return settle(panel.join(full, [*keys, period], "left_semi"))
 
 
 def mean_diff(df: DataFrame, keys: Sequence[str], y: str, group: str) -> DataFrame:
@@ -101,7 +103,7 @@ def twfe(df: DataFrame, unit: str, period: str, keys: Sequence[str] = (), y: str
     Not estimable (null) when one of the four treated x post cells is empty.
     """
     panel = df.where(F.col(y).isNotNull())
-    rows = _within(panel, keys, unit, period, {y: "__y", d: "__d"})
+    rows = settle(_within(panel, keys, unit, period, {y: "__y", d: "__d"}))
     slopes = rows.groupBy(*keys).agg(
         F.sum(F.col("__d") * F.col("__y")).alias("__dy"), F.sum(F.col("__d") * F.col("__d")).alias("__dd"), F.count("*").alias("n_rows"),
         *[F.max(((F.col("treated") == a) & (F.col("post") == b)).cast("int")).alias(f"__c{a}{b}") for a in (0, 1) for b in (0, 1)],
@@ -140,6 +142,7 @@ def event_study(df: DataFrame, unit: str, period: str, y: str = "y", reference:
     )
     fact = facts.select(F.struct("*")).scalar()
     rows = _within(panel, [], unit, period, {y: "__y"}).withColumn("__f", fact).withColumn("__c", F.col("treated") - F.col("__f.tau"))
+    rows = settle(rows.select(unit, period, "rel_week", "__y", "__c", "__f"))
     scale = F.col("__f.tau") * (1 - F.col("__f.tau")) * F.col("__f.units")
     gaps = rows.groupBy("rel_week").agg(
         F.sum(F.col("__c") * F.col("__y")).alias("__cy"), F.count_distinct(period).alias("weeks_periods"), F.first(scale).alias("__s")
@@ -147,13 +150,14 @@ def event_study(df: DataFrame, unit: str, period: str, y: str = "y", reference:
     base = gaps.where(F.col("rel_week") == reference).agg(F.first(F.struct("__z", "weeks_periods"))).scalar()
     effects = gaps.withColumn("__b", base).withColumn("coef", F.col("__z") - F.col("__b.__z"))
     center = effects.agg(F.sum(F.col("coef") * F.col("weeks_periods")) / F.sum("weeks_periods")).scalar()
-    small = effects.select("rel_week", "coef", "weeks_periods", center.alias("__center"))
+    small = settle(effects.select("rel_week", "coef", "weeks_periods", center.alias("__center")))
     e = F.col("__y") - F.col("__c") * (F.col("coef") - F.col("__center"))
     squares = rows.join(small, "rel_week").groupBy("rel_week").agg(
         F.sum(F.col("__c") * F.col("__c") * e * e).alias("q"), F.first("coef").alias("coef"), F.first("weeks_periods").alias("m"),
         F.first(scale).alias("s"), F.first("__f").alias("f"),
     )
     # parameters: units + periods - 1 effects and one term per week but the reference
+    squares = settle(squares)
     terms = squares.agg(F.count("*")).scalar() - 1
     factor = F.col("f.n") / (F.col("f.n") - (F.col("f.units") + F.col("f.periods") - 1 + terms)) / (F.col("s") * F.col("s"))
     part = squares.withColumn("v", factor * F.col("q") / (F.col("m") * F.col("m")))
@@ -193,7 +197,7 @@ def permute_units(df: DataFrame, unit: str, actual: str, y: str = "y") -> DataFr
         F.col(unit).alias("pseudo_treated_unit"), (F.col(unit) == actual).cast("int").alias("is_actual_treated"),
         (F.col("change") - (F.col("__t.s") - F.col("change")) / (F.col("__t.n") - 1)).alias("estimate"),
     )
-    return placebo_rank(est, "estimate")
+    return placebo_rank(settle(est), "estimate")
 
 
 def placebo_rank(est: DataFrame, value: str) -> DataFrame:
@@ -275,7 +279,8 @@ def run_ladder(panel: DataFrame, unit: str, period: str) -> DataFrame:
     def rung(name: str, df: DataFrame) -> DataFrame:
         return df.select(F.lit(name).alias("rung"), "estimate", "std_error", "ci95_low", "ci95_high")
 
-    effects = event_study(panel, unit, period)
+    panel = settle(panel)
+    effects = settle(event_study(panel, unit, period))
     average = with_interval(effects.agg(F.max("avg_post").alias("estimate"), F.max("avg_post_se").alias("std_error")))
     frames = [
         rung("L0_before_after", mean_diff(panel.where("treated = 1"), [], "y", "post")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import safe_rate
 from tidemark.operators import ranking, reshape
+from tidemark.session import settle
 
 
 def group_time_cells(panel: DataFrame, creator: str, day: str, y: str, adopted: str) -> tuple[DataFrame, DataFrame]:
@@ -16,23 +17,24 @@ def group_time_cells(panel: DataFrame, creator: str, day: str, y: str, adopted:
     is the outcome on a day less the outcome on the base day (adoption day - 1), both observed. Never-treated rows
     meet one base value per cohort, so they repeat once per cohort and no more.
     """
+    panel = settle(panel.select(creator, day, y, adopted))
     observed = panel.where(F.col(y).isNotNull()).select(creator, day, y, adopted)
     registered = panel.where(F.col(adopted).isNotNull()).select(creator, adopted).distinct().groupBy(F.col(adopted).alias("g")).agg(F.count("*").alias("registered"))
     treated, control = observed.where(F.col(adopted).isNotNull()), observed.where(F.col(adopted).isNull())
     base_t = treated.where(F.col(day) == F.col(adopted) - 1).select(creator, F.col(adopted).alias("g"), F.col(y).alias("base"))
-    base_c = control.join(registered.select("g", (F.col("g") - 1).alias("b")), F.col(day) == F.col("b")).select(creator, "g", F.col(y).alias("base"))
+    base_c = control.drop(adopted).join(registered.select("g", (F.col("g") - 1).alias("b")), F.col(day) == F.col("b")).select(creator, "g", F.col(y).alias("base"))
 
     def changes(rows: DataFrame, bases: DataFrame, side: int) -> DataFrame:
         return rows.select(creator, F.col(day).alias("t"), F.col(y)).join(bases, creator).where("t >= g").select(
             creator, "g", "t", (F.col(y) - F.col("base")).alias("dy"), F.lit(side).alias("side")
         )
 
-    pairs = changes(treated, base_t, 1).unionByName(changes(control, base_c, 0))
+    pairs = settle(changes(treated, base_t, 1).unionByName(changes(control, base_c, 0)))
     mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("dy")))
     cells = pairs.groupBy("g", "t").agg(
         mean(1).alias("m1"), mean(0).alias("m0"), F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 0).alias("n0")
     ).where("n1 > 0 AND n0 > 0").join(registered, "g")
-    return cells.withColumn("att", F.col("m1") - F.col("m0")), pairs
+    return settle(cells.withColumn("att", F.col("m1") - F.col("m0"))), pairs
 
 
 def influence_values(cells: DataFrame, pairs: DataFrame, creator: str) -> DataFrame:
@@ -54,6 +56,7 @@ def group_time_att(panel: DataFrame, creator: str, day: str, y: str, adopted: st
 
 def hurdle_profile(counts: DataFrame, creator: str, day: str, n: str = "n") -> DataFrame:
     """Two-layer profile of dense creator-day counts as (layer, statistic, value) rows."""
+    counts = settle(counts)
     active = F.col(n) > 0
     by_creator = counts.groupBy(creator).agg(F.avg(active.cast("double")).alias("p"))
     by_day = counts.groupBy(day).agg(F.avg(active.cast("double")).alias("p"), F.avg(F.when(active, F.col(n))).alias("mu"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.estimators.panel import placebo_rank
+from tidemark.session import settle
 
 MOST_UNITS = 400
 
@@ -48,9 +49,10 @@ def synthetic_gaps(panel: DataFrame, unit: str, date: str, event: str, actual: s
     checked). Each task adds up its days' outer products, so only unit x unit sums are shuffled; the small weight
     problems then run one per unit, in parallel.
     """
+    panel = settle(panel.where(F.col(y).isNotNull()).select(unit, date, F.col(y).alias("v")))
     names = panel.select(unit).distinct().agg(F.sort_array(F.collect_list(unit)).alias("names"))
     checked = names.select(F.when(F.size("names") > MOST_UNITS, F.raise_error(F.lit(f"more than {MOST_UNITS} units"))).otherwise(F.col("names"))).scalar()
-    per_cell = panel.where(F.col(y).isNotNull()).groupBy(date, unit).agg(F.avg(y).alias("v"))
+    per_cell = panel.groupBy(date, unit).agg(F.avg("v").alias("v"))
     days = per_cell.groupBy(date).agg(F.sort_array(F.collect_list(F.struct(unit, "v"))).alias("u")).withColumn("names", checked).where(F.size("u") == F.size("names"))
     vectors = days.select((F.col(date) >= F.lit(event).cast("date")).alias("post"), F.transform("u", lambda p: p["v"]).alias("x"))
 
@@ -91,4 +93,4 @@ def synthetic_gaps(panel: DataFrame, unit: str, date: str, event: str, actual: s
             yield pd.DataFrame(out, columns=["treated_unit", "pre_days", "post_days", "pre_gap_mean", "post_gap_mean", "gap_change", "pre_centered_rmse"])
 
     fits = units.mapInPandas(solve, "treated_unit string, pre_days bigint, post_days bigint, pre_gap_mean double, post_gap_mean double, gap_change double, pre_centered_rmse double")
-    return placebo_rank(fits.withColumn("is_actual_treated", (F.col("treated_unit") == actual).cast("int")), "gap_change")
+    return placebo_rank(settle(fits.withColumn("is_actual_treated", (F.col("treated_unit") == actual).cast("int"))), "gap_change")

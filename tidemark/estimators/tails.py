@@ -6,9 +6,10 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if pd.notna(v) else None).astype("float64")
@@ -36,7 +37,7 @@ def incomplete_beta(x: float, a: float, b: float) -> float:
     return front * h / a
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student p-value."""
     return pd.Series([
@@ -44,7 +45,7 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_upper(successes: pd.Series, n: pd.Series, p0: pd.Series) -> pd.Series:
     """P(X >= successes) for X ~ Binomial(n, p0); constant work whatever n is."""
     return pd.Series([

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.estimators.panel import with_interval
 from tidemark.estimators.tails import normal_p
 from tidemark.operators import ranking, windows
+from tidemark.session import settle
 
 HAC_LAG = 7
 Z_05 = 1.959963984540054
@@ -24,6 +25,7 @@ def _hac(rows: DataFrame, keys: Sequence[str], order: str, lags: int) -> DataFra
 
     The slope error needs only the scalar score __x * residual: its Bartlett-weighted lag products, by row position.
     """
+    rows = settle(rows)
     fit = rows.groupBy(*keys).agg(
         (F.sum(F.col("__x") * F.col("__y")) / F.nullif(F.sum(F.col("__x") * F.col("__x")), F.lit(0.0))).alias("estimate"),
         F.sum(F.col("__x") * F.col("__x")).alias("__xx"), F.count("*").alias("n_days"),
@@ -41,7 +43,7 @@ def hac_effect(df: DataFrame, keys: Sequence[str], date: str, y: str, post: str
 
     Weekday dummies and the constant are removed by subtracting weekday means from both sides.
     """
-    rows = df.where(F.col(y).isNotNull()).withColumn("__wd", F.weekday(date))
+    rows = settle(df.where(F.col(y).isNotNull()).withColumn("__wd", F.weekday(date)))
     by = [*keys, "__wd"]
     means = rows.groupBy(*by).agg(F.avg(y).alias("__my"), F.avg(F.col(post).cast("double")).alias("__mx"))
     free = rows.join(means, by).withColumn("__y", F.col(y) - F.col("__my")).withColumn("__x", F.col(post) - F.col("__mx"))
@@ -78,7 +80,7 @@ def timing_gate(df: DataFrame, keys: Sequence[str], date: str, y: str, announcem
     rows = df.select(*keys, date, y, F.explode(masks).alias("k")).where("k.keep").select(
         *keys, date, y, F.col("k.m").alias("method"), F.col("k.post").cast("int").alias("post")
     )
-    fits = hac_effect(rows, [*keys, "method"], date, y)
+    fits = settle(hac_effect(rows, [*keys, "method"], date, y))
     gate = fits.where("method = 'gate_test'").select(*keys, F.coalesce(F.abs(F.col("estimate") / F.nullif(F.col("std_error"), F.lit(0.0))) > Z_05, F.lit(False)).alias("moved"))
     kept = fits.where("method <> 'gate_test'")
     joined = kept.join(gate, list(keys), "left") if keys else kept.withColumn("moved", gate.select("moved").scalar())
@@ -144,6 +146,7 @@ def bin_composition(gap: DataFrame, day: str = "rel_day") -> DataFrame:
 
 def decompose_panel(panel: DataFrame, unit: str, date: str, y: str = "y") -> DataFrame:
     """Per unit: mean, slope per day, residual spread after unit and day effects and weekday effects, on a balanced panel."""
+    panel = settle(panel)
     day_mean = panel.groupBy(date).agg(F.avg(y).alias("__day"))
     unit_mean = panel.groupBy(unit).agg(F.avg(y).alias("__unit"))
     grand = panel.agg(F.avg(y)).scalar()
@@ -176,7 +179,7 @@ def effect_gate(spread: DataFrame, sd: str, effects: dict[str, float]) -> DataFr
 
 def null_sd(gap: DataFrame, day: str, value: str, before: int = PRE_DAYS, after: int = TARGET_DAYS) -> DataFrame:
     """Spread, skewness and quantiles of the sliding contrast over a pre-event series."""
-    est = windows.sliding_contrast(gap.withColumn("__s", F.lit(0)), ["__s"], day, value, before, after).drop("__s")
+    est = settle(windows.sliding_contrast(gap.withColumn("__s", F.lit(0)), ["__s"], day, value, before, after).drop("__s"))
     row = est.agg(F.count("*").alias("n_windows"), F.stddev_samp("contrast").alias("sd"), F.skewness("contrast").alias("skewness"))
     return ranking.with_quantiles(row, [], ranking.quantiles(est, [], "contrast", {"p05": 0.05, "p50": 0.5, "p95": 0.95}))
 

@@ -33,7 +33,7 @@ def _counts(df: DataFrame, keys: Sequence[str], value: str, more: Sequence[str]
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value_bucket(F.col(value)).alias("__bucket"), value, *more)
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("__n"))
     )
 
 
@@ -43,9 +43,9 @@ def _bucket_totals(counts: DataFrame, keys: Sequence[str], descending: bool = Fa
     whole = Window.partitionBy(*keys)
     ahead = whole.orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counts.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__rows"))
+        counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__rows"))
         .withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)))
-        .withColumn("total", F.sum("__rows").over(whole))
+        .withColumn("__total", F.sum("__rows").over(whole))
     )
 
 
@@ -54,13 +54,13 @@ def _inside(keys: Sequence[str], *order: Column):
 
 
 def value_counts_with_rank(df: DataFrame, keys: Sequence[str], value: str, descending: bool = False) -> DataFrame:
-    """Distinct values per key with ``n`` copies, ``before`` = rows ranked ahead and ``total`` rows of the key."""
+    """Distinct values per key with their ``copies``, ``before`` = rows ranked ahead and ``total`` rows of the key."""
     df, group = _keys(df, keys)
     counts = _counts(df, group, value)
     joined = counts.join(_bucket_totals(counts, group, descending), [*group, "__bucket"])
     order = F.desc(value) if descending else F.asc(value)
-    before = F.col("__ahead") + F.coalesce(F.sum("n").over(_inside(group, order)), F.lit(0))
-    return joined.withColumn("before", before).select(*keys, value, "n", "before", "total")
+    before = F.col("__ahead") + F.coalesce(F.sum("__n").over(_inside(group, order)), F.lit(0))
+    return joined.withColumn("before", before).select(*keys, value, F.col("__n").alias("copies"), "before", F.col("__total").alias("total"))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
@@ -73,18 +73,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
     totals = _bucket_totals(counts, group)
 
     def spot(q: float) -> Column:
-        return (F.col("total") - 1) * F.lit(float(q))
+        return (F.col("__total") - 1) * F.lit(float(q))
 
     ranks = [f(spot(q)) for q in probabilities.values() for f in (F.floor, F.ceil)]
     hit = F.lit(False)
     for rank in ranks:
         hit = hit | ((F.col("__ahead") <= rank) & (rank < F.col("__ahead") + F.col("__rows")))
     picked = counts.join(totals.where(hit), [*group, "__bucket"]).withColumn(
-        "__from", F.col("__ahead") + F.coalesce(F.sum("n").over(_inside(group, F.asc(value))), F.lit(0))
+        "__from", F.col("__ahead") + F.coalesce(F.sum("__n").over(_inside(group, F.asc(value))), F.lit(0))
     )
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__from") + F.col("n")), F.col(value).cast("double")))
+        return F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__from") + F.col("__n")), F.col(value).cast("double")))
 
     out = []
     for name, q in probabilities.items():
@@ -138,7 +138,7 @@ def global_index(
     parts = parts.where(F.col(order).isNotNull()).withColumn("__seg", _segment(F.col(tie), marks))
     counts = _counts(parts, group, order, ["__seg"])
     direction = F.desc(order) if descending else F.asc(order)
-    earlier = F.coalesce(F.sum("n").over(_inside(group, direction, F.asc("__seg"))), F.lit(0))
+    earlier = F.coalesce(F.sum("__n").over(_inside(group, direction, F.asc("__seg"))), F.lit(0))
     offsets = (
         counts.join(_bucket_totals(counts, group, descending), [*group, "__bucket"])
         .withColumn("__offset", F.col("__ahead") + earlier)
@@ -212,11 +212,11 @@ def crossing_count(df: DataFrame, keys: Sequence[str], weight: str, share: float
     weights are interchangeable, so inside a level the number of copies needed is a division.
     """
     counts = _counts(df, keys, weight)
-    level = F.col("n") * F.col(weight)
+    level = F.col("__n") * F.col(weight)
     whole = Window.partitionBy(*keys)
     ahead = whole.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        counts.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__rows"), F.sum(level).alias("__weight"))
+        counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__rows"), F.sum(level).alias("__weight"))
         .withColumn("__n_ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)))
         .withColumn("__w_ahead", F.coalesce(F.sum("__weight").over(ahead), F.lit(0.0)))
         .withColumn("__need", F.sum("__weight").over(whole) * F.lit(share) * F.lit(1 - 1e-12))
@@ -225,7 +225,7 @@ def crossing_count(df: DataFrame, keys: Sequence[str], weight: str, share: float
     inside = _inside(keys, F.desc(weight))
     rows = (
         counts.join(crossing, [*keys, "__bucket"])
-        .withColumn("__n0", F.col("__n_ahead") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+        .withColumn("__n0", F.col("__n_ahead") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
         .withColumn("__w0", F.col("__w_ahead") + F.coalesce(F.sum(level).over(inside), F.lit(0.0)))
         .where(F.col("__w0") + level >= F.col("__need"))
     )

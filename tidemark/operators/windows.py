@@ -43,8 +43,9 @@ def abs_rank(df: DataFrame, value: str, name: str = "abs_rank") -> DataFrame:
 def lag_products(df: DataFrame, keys: Sequence[str], order: str, value: str, lags: int) -> DataFrame:
     """Sum of e_t * e_(t-l) per series and lag, by row position, with the Bartlett weight 1 - l/(lags+1)."""
     w = Window.partitionBy(*keys).orderBy(order)
-    pairs = [F.struct(F.lit(l).alias("lag"), (F.col(value) * (F.col(value) if l == 0 else F.lag(value, l).over(w))).alias("p")) for l in range(lags + 1)]
-    long = df.select(*keys, F.explode(F.array(*pairs)).alias("x")).select(*keys, "x.lag", "x.p")
+    products = [(F.col(value) * (F.col(value) if l == 0 else F.lag(value, l).over(w))).alias(f"__p{l}") for l in range(lags + 1)]
+    pairs = F.array(*[F.struct(F.lit(l).alias("lag"), F.col(f"__p{l}").alias("p")) for l in range(lags + 1)])
+    long = df.select(*keys, *products).select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.lag", "x.p")
     return long.groupBy(*keys, "lag").agg(F.sum("p").alias("product_sum"), F.count("p").alias("pairs")).withColumn(
         "bartlett", 1 - F.col("lag") / F.lit(lags + 1)
     )

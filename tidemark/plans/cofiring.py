@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.estimators.resampling import poisson_copies
 from tidemark.functions.scalars import md5_uniform
 from tidemark.operators import ranking
-from tidemark.session import cut_lineage
+from tidemark.session import settle
 
 FIRST_BUYERS = 10
 
@@ -47,17 +47,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components (node, component = smallest node) by label spreading with pointer jumping.
 
     A round takes the smallest label of the neighbours, then follows labels of labels, so long chains shrink
-    geometrically. Each round is checkpointed to shared storage; one count per round decides when to stop.
+    geometrically. Each round is written to shared storage; one count per round decides when to stop.
     """
-    both = cut_lineage(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
+    both = settle(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))
     ).distinct())
-    labels = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
+    labels = settle(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("hop"), F.col("label").alias("old"))
         jump = spread.join(labels.select(F.col("node").alias("hop"), F.col("label").alias("root")), "hop", "left")
-        step = cut_lineage(jump.select("node", F.least("hop", F.coalesce("root", "hop")).alias("label"), (F.least("hop", F.coalesce("root", "hop")) != F.col("old")).alias("moved")))
+        step = settle(jump.select("node", F.least("hop", F.coalesce("root", "hop")).alias("label"), (F.least("hop", F.coalesce("root", "hop")) != F.col("old")).alias("moved")))
         labels = step.select("node", "label")
         if step.where("moved").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -95,7 +95,7 @@ def size_distribution(cohorts: DataFrame) -> DataFrame:
 def weight_sensitivity(buyers: DataFrame, weights: tuple[int, ...] = (2, 3, 5)) -> DataFrame:
     """Qualifying pairs and components of size two or more per edge-weight cutoff."""
     first = first_buyers(buyers)
-    edges = cut_lineage(wallet_edges(first, min(weights)))
+    edges = settle(wallet_edges(first, min(weights)))
     rows = []
     for w in weights:
         kept = edges.where(F.col("weight") >= w)

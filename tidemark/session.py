@@ -1,8 +1,9 @@
-"""Session settings and lineage cutting shared by every operator."""
+"""Session settings and the storage of intermediate results."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +31,26 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later rounds restart from shared storage, not from executor disks.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the place the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master, where
-    driver and executor share one machine, may fall back to a scratch folder.
+    Only a local master, where driver and executor share one machine, may fall back to a scratch folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to shared storage and read it back.
+
+    Used where a reduced table feeds several passes or rounds: the raw scan runs once, a lost executor costs one
+    re-read instead of a recomputed lineage, and the written size lets Spark choose its joins.
+    """
+    path = shared_folder(df.sparkSession, "settled")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

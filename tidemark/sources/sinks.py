@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -12,16 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder on storage that every executor reaches: next to the checkpoints, or local for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
