@@ -32,11 +32,17 @@ def small_uint(hex_word: Column) -> Column:
 
 
 def uint_text(hex_word: Column) -> Column:
-    return wide.to_text(wide.from_hex_word(hex_word))
+    """Unsigned 256-bit word as decimal text; words that fit 64 bits, the common case, need no limbs."""
+    small = hex_word.startswith("0" * 48)
+    return F.when(small, F.conv(F.substring(hex_word, 49, 16), 16, 10)).otherwise(wide.to_text(wide.from_hex_word(hex_word)))
 
 
 def int_text(hex_word: Column) -> Column:
-    return wide.to_text(wide.from_hex_word(hex_word, signed=True))
+    """Two's complement 256-bit word as decimal text, with the same short cut."""
+    low = F.substring(hex_word, 49, 16)
+    positive = hex_word.startswith("0" * 48) & (F.substring(low, 1, 1) < "8")
+    negative = hex_word.startswith("f" * 48) & (F.substring(low, 1, 1) >= "8")
+    return F.when(positive | negative, F.conv(low, 16, -10)).otherwise(wide.to_text(wide.from_hex_word(hex_word, signed=True)))
 
 
 def dynamic_string(data: Column, index: int) -> Column:

@@ -96,24 +96,37 @@ def event_id(token: Column, kind: Column | str, tx: Column, log_index: Column) -
     return F.concat(token, F.lit("/"), kind, F.lit(":"), tx, F.lit(":"), log_index.cast("string"))
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression to a name, so that a long body refers to it without repeating it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# Forms of an exported integer.
+PLAIN_INTEGER = r"^(0|-?[1-9]\d*)$"
+EXPONENT_NUMBER = r"^([+-]?)(\d+)(?:\.(\d*))?[eE]([+-]?\d+)$"
+
+
 def integer_text(col: Column) -> Column:
-    """Exact integer text from ``1.0``, ``1e18``, blanks and signs, without passing through a double."""
-    text = F.trim(F.coalesce(col.cast("string"), F.lit("")))
-    exponent_form = r"^([+-]?)(\d+)(?:\.(\d*))?[eE]([+-]?\d+)$"
-    whole = F.regexp_extract(text, exponent_form, 2)
-    digits = F.concat(whole, F.regexp_extract(text, exponent_form, 3))
-    shift = F.regexp_extract(text, exponent_form, 4).try_cast("int")
-    width = F.length(whole) + shift
+    """Exact integer text from ``1.0``, ``1e18``, blanks and signs, without passing through a double.
+
+    Integers in canonical form, the common case, pass after one match.
+    """
+    return let(F.trim(F.coalesce(col.cast("string"), F.lit(""))), lambda t: F.when(t.rlike(PLAIN_INTEGER), t).otherwise(_odd_integer(t)))
+
+
+def _odd_integer(text: Column) -> Column:
+    whole = F.regexp_extract(text, EXPONENT_NUMBER, 2)
+    digits = F.concat(whole, F.regexp_extract(text, EXPONENT_NUMBER, 3))
+    width = F.length(whole) + F.regexp_extract(text, EXPONENT_NUMBER, 4).try_cast("int")
     moved = F.when(width > 0, F.rpad(digits, width, F.lit("0"))).otherwise(F.lit("0"))
     plain = F.regexp_replace(text, r"\.0$", "")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    magnitude = F.when(text.rlike(exponent_form), moved).otherwise(F.regexp_replace(plain, r"^[+-]", ""))
+    is_exponent = text.rlike(EXPONENT_NUMBER)
+    magnitude = F.when(is_exponent, moved).otherwise(F.regexp_replace(plain, r"^[+-]", ""))
     stripped = F.regexp_replace(magnitude, r"^0+(?=\d)", "")
-    signed = F.when(stripped == "0", stripped).otherwise(F.concat(sign, stripped))
-    numeric = text.rlike(exponent_form) | plain.rlike(r"^-?\d+$")
+    signed = F.when((stripped != "0") & text.startswith("-"), F.concat(F.lit("-"), stripped)).otherwise(stripped)
     return (
         F.when(F.lower(text).isin(*BLANK_NUMBER_WORDS), F.lit("0"))
-        .when(numeric, signed)
+        .when(is_exponent | plain.rlike(r"^-?\d+$"), signed)
         .otherwise(text)
     )
 

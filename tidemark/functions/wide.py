@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import let
+
 LIMB_DIGITS = 26
 BASE = "1" + "0" * LIMB_DIGITS
 SUMMAND = "decimal(28,0)"
@@ -53,13 +55,16 @@ def carry(hi: Column, mid: Column, lo: Column) -> Column:
     """Canonical form: mid and low in [0, 10^26); the sign of the number is the sign of the high limb."""
     base = _dec(BASE)
 
-    def split(limb: Column) -> tuple[Column, Column]:
-        rest = F.pmod(limb, base).cast(LIMB)
-        return rest, ((limb - rest) / base).cast("decimal(20,0)")
+    def resolve(low: str, high: str):
+        """Move the overflow of one limb to the next."""
+        def step(v: Column) -> Column:
+            rest = F.pmod(v[low], base).cast(LIMB)
+            moved = {low: rest, high: (v[high] + ((v[low] - rest) / base).cast("decimal(20,0)")).cast(LIMB)}
+            return F.struct(*[moved.get(n, v[n]).alias(n) for n in LIMBS])
+        return step
 
-    low, up = split(lo)
-    middle, up2 = split((mid + up).cast(LIMB))
-    return F.struct((hi + up2).cast(LIMB).alias("hi"), middle.alias("mid"), low.alias("lo"))
+    number = F.struct(hi.cast(LIMB).alias("hi"), mid.cast(LIMB).alias("mid"), lo.cast(LIMB).alias("lo"))
+    return let(let(number, resolve("lo", "mid")), resolve("mid", "hi"))
 
 
 def is_positive(number: Column) -> Column:
@@ -81,8 +86,6 @@ def to_double(number: Column) -> Column:
 
 def to_text(number: Column) -> Column:
     """Exact decimal text of a canonical number."""
-    flipped = carry(-number["hi"], -number["mid"], -number["lo"])
-
     def digits(value: Column) -> Column:
         joined = F.concat(
             value["hi"].cast("string"),
@@ -91,7 +94,10 @@ def to_text(number: Column) -> Column:
         )
         return F.regexp_replace(joined, r"^0+(?=\d)", "")
 
-    return F.when(is_negative(number), F.concat(F.lit("-"), digits(flipped))).otherwise(digits(number))
+    def negative(value: Column) -> Column:
+        return F.concat(F.lit("-"), let(carry(-value["hi"], -value["mid"], -value["lo"]), digits))
+
+    return let(number, lambda v: F.when(is_negative(v), negative(v)).otherwise(digits(v)))
 
 
 def order_key(number: Column) -> Column:
@@ -101,31 +107,21 @@ def order_key(number: Column) -> Column:
 
 def from_hex_word(word: Column, signed: bool = False) -> Column:
     """A 64-digit hex word as a canonical number, built from eight 32-bit pieces."""
-    powers = [2 ** (32 * (7 - i)) for i in range(8)]
     base = 10**LIMB_DIGITS
+    pieces = let(word, lambda w: F.array(*[F.conv(F.substring(w, 8 * i + 1, 8), 16, 10).cast("decimal(10,0)") for i in range(8)]))
 
-    def piece(i: int) -> Column:
-        return F.conv(F.substring(word, 8 * i + 1, 8), 16, 10).cast("decimal(10,0)")
-
-    def limb(level: int) -> Column:
-        total = None
-        for i, power in enumerate(powers):
-            factor = power // base**level % base
+    def limb(p: Column, level: int) -> Column:
+        total = _dec("0")
+        for i in range(8):
+            factor = 2 ** (32 * (7 - i)) // base**level % base
             if factor:
-                term = (piece(i) * F.lit(str(factor)).cast(f"decimal({LIMB_DIGITS},0)")).cast(LIMB)
-                total = term if total is None else (total + term).cast(LIMB)
+                total = (total + F.get(p, F.lit(i)) * F.lit(str(factor)).cast(f"decimal({LIMB_DIGITS},0)")).cast(LIMB)
+        if signed:
+            modulus = _dec(str(2**256 // base**level % base))
+            total = (total - F.when(F.get(p, F.lit(0)) >= 2**31, modulus).otherwise(_dec("0"))).cast(LIMB)
         return total
 
-    hi, mid, lo = limb(2), limb(1), limb(0)
-    if signed:
-        negative = F.lower(F.substring(word, 1, 1)) >= "8"
-        modulus = 2**256
-
-        def shifted(column: Column, level: int) -> Column:
-            return (column - F.when(negative, _dec(str(modulus // base**level % base))).otherwise(_dec("0"))).cast(LIMB)
-
-        hi, mid, lo = shifted(hi, 2), shifted(mid, 1), shifted(lo, 0)
-    return carry(hi, mid, lo)
+    return let(pieces, lambda p: carry(limb(p, 2), limb(p, 1), limb(p, 0)))
 
 
 def signed_int24(word: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import filters, ranking
+from tidemark.session import settle
 
 
 def join_inner(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +180,8 @@ def match_without_replacement(treated: DataFrame, controls: DataFrame, pair: str
     of controls, a strictly sequential scan may hand a control of another pair away earlier, so the share of
     fallbacks must be reported with the result.
     """
-    first = match_same_pair(treated, controls, pair, block, tie)
+    treated, controls = settle(treated), settle(controls)
+    first = settle(match_same_pair(treated, controls, pair, block, tie))
     matched = first.where(F.col("control_id").isNotNull()).withColumn("match_kind", F.lit("same_pair"))
     left_over = first.where(F.col("control_id").isNull()).drop("control_id", "control_block")
     used = matched.select(F.col("control_id").alias(tie))

@@ -187,6 +187,18 @@ def _event(df: DataFrame, kind: Column | str, tx: str, log: str, at: str, block:
     )
 
 
+def last_record(df: DataFrame, key: str, packed: str = "") -> DataFrame:
+    """One record per key: the last in file order when the frame has an ``ordinal``, else the largest one.
+
+    A maximum of structs combines on the map side and does not depend on row order.
+    """
+    fields = [c for c in df.columns if c not in (key, "ordinal")]
+    record = F.struct(*fields)
+    last = F.max_by(record, F.col("ordinal")) if "ordinal" in df.columns else F.max(record)
+    out = df.groupBy(key).agg(last.alias(packed or "__r"))
+    return out if packed else out.select(key, "__r.*")
+
+
 @dataclass(frozen=True)
 class DirectSpec:
     """A launchpad whose launches go straight to a pool."""
@@ -292,14 +304,13 @@ def build_graduating(launches: DataFrame, lifecycle: DataFrame, metadata: DataFr
     """
     chain, o = spec.release.chain, spec.origins
     by_token = lambda df: df.withColumn("__address", F.lower("token_address")).drop("token_address")
-    last = lambda df: df.groupBy("__address").agg(F.last(F.struct(*[c for c in df.columns if c != "__address"])).alias("r")).select("__address", "r.*")
-    life = last(by_token(lifecycle))
+    life = last_record(by_token(lifecycle), "__address")
     life = life.select("__address", F.lit(True).alias("has_life"), *[F.col(c).alias(f"life_{c}") for c in life.columns if c != "__address"])
-    mapped = last(by_token(existing_pools.where("mapping_status = 'observed' AND pool_address <> ''")))
+    mapped = last_record(by_token(existing_pools.where("mapping_status = 'observed' AND pool_address <> ''")), "__address")
     mapped = mapped.select("__address", F.lit(True).alias("has_map"), *[F.col(c).alias(f"map_{c}") for c in mapped.columns if c != "__address"])
-    hist = last(by_token(pool_history.where("initialization_status = 'observed' AND pool_address_matches_lifecycle")))
+    hist = last_record(by_token(pool_history.where("initialization_status = 'observed' AND pool_address_matches_lifecycle")), "__address")
     hist = hist.select("__address", F.lit(True).alias("has_hist"), *[F.col(c).alias(f"hist_{c}") for c in hist.columns if c != "__address"])
-    api = last(by_token(metadata))
+    api = last_record(by_token(metadata), "__address")
     api = api.select("__address", F.lit(True).alias("has_api"), F.col("img").alias("image_url"), F.col("tag").alias("category"))
     base = launches.withColumn("__address", F.lower("token_address")).withColumn("token_id", token_id(chain, F.col("token_address"), True))
     for right in (life, mapped, hist, api):
@@ -380,8 +391,8 @@ def build_proxied(creates: DataFrame, launched: DataFrame, upgrades: DataFrame,
     typed_creates = creates.withColumn("block_number", as_long(F.col("block_number"))).withColumn("created_at", parse_ts(F.col("block_timestamp"), "millis"))
     history = upgrades.select(as_long(F.col("block_number")).alias("at"), "old_implementation", "new_implementation")
     versioned = joins.asof_lookup(typed_creates, history, "block_number", "at", "old_implementation", "new_implementation", "implementation")
-    life = launched.groupBy("token_address").agg(F.last(F.struct(*[c for c in launched.columns if c != "token_address"])).alias("l")).withColumn("has_life", F.lit(True))
-    api = metadata.groupBy(F.lower("contractAddress").alias("__lower")).agg(F.last(F.struct(*metadata.columns)).alias("m")).withColumn("has_api", F.lit(True))
+    life = last_record(launched, "token_address", "l").withColumn("has_life", F.lit(True))
+    api = last_record(metadata.withColumn("__lower", F.lower("contractAddress")), "__lower", "m").withColumn("has_api", F.lit(True))
     facts = versioned.join(life, "token_address", "left").withColumn("__lower", F.lower("token_address")).join(api, "__lower", "left")
     has = lambda c: F.coalesce(F.col(c), F.lit(False))
     facts = settle(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import wide
-from tidemark.functions.scalars import as_double, censored_outcome, clip, integer_text, period_label, safe_rate
+from tidemark.functions.scalars import as_double, censored_outcome, clip, period_label, safe_rate
 from tidemark.operators import aggregates, filters, joins, ranking, reshape
 from tidemark.operators.reshape import HORIZONS
 
@@ -330,7 +330,7 @@ def holder_reconstruction(
         F.struct(F.lower("to_address").alias("holder"), F.col("amount").alias("text")),
     )).alias("leg")
     moves = (
-        bounded.withColumn("amount", integer_text(F.col("amount_raw")))
+        bounded.withColumn("amount", F.col("amount_raw"))
         .select("token_id", h.alias("h"), legs)
         .select("token_id", "h", "leg.holder", "leg.text")
         .where(F.col("holder") != ZERO_ADDRESS)
@@ -394,8 +394,8 @@ def swap_horizons(
     )
     logs = joins.bounded_join(swaps.withColumn("pool_id", F.lower("pool_id")), units, "pool_id", "block_number", "launch_block", "__end")
     first = F.lower("token_id") < F.lower("paired_token")
-    token_delta = integer_text(F.when(first, F.col("amount0_raw")).otherwise(F.col("amount1_raw")))
-    paired_delta = integer_text(F.when(first, F.col("amount1_raw")).otherwise(F.col("amount0_raw")))
+    token_delta = F.when(first, F.col("amount0_raw")).otherwise(F.col("amount1_raw"))
+    paired_delta = F.when(first, F.col("amount1_raw")).otherwise(F.col("amount0_raw"))
     age = F.col("timestamp_unix") - F.col("launch_unix")
     h = None
     for n in horizons:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scalars import as_double, as_long, integer_text, parse_ts
+from tidemark.functions.scalars import as_long, integer_text, parse_ts
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -111,13 +111,15 @@ def import_swaps(df: DataFrame) -> DataFrame:
     """Swap import in canonical form: lower-case ids, exact integer text, rows without block or time dropped."""
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     df = canonicalize(df, SWAP_ALIASES, SWAP_REQUIRED, {
-        "timestamp_unix": ("timestamp_utc", F.unix_seconds(parse_ts(F.col("timestamp_utc"), "seconds")).cast("string")),
+        "timestamp_unix": ("timestamp_utc", F.unix_seconds(parse_ts(F.col("timestamp_utc"), "seconds"))),
         "timestamp_utc": ("timestamp_unix", F.date_format(F.timestamp_seconds(as_long(F.col("timestamp_unix"))), iso)),
     })
     tx = F.col("transaction_hash") if "transaction_hash" in df.columns else F.lit("")
+    kinds = dict(df.dtypes)
+    whole = lambda c: as_long(F.col(c)) if kinds[c] == "string" else F.col(c).cast("bigint")
     return df.select(
-        F.lower("pool_id").alias("pool_id"), F.lower("sender").alias("sender"), as_long(F.col("block_number")).alias("block_number"),
-        as_double(F.col("timestamp_unix")).cast("bigint").alias("timestamp_unix"), "timestamp_utc", tx.alias("transaction_hash"),
+        F.lower("pool_id").alias("pool_id"), F.lower("sender").alias("sender"), whole("block_number").alias("block_number"),
+        whole("timestamp_unix").alias("timestamp_unix"), "timestamp_utc", tx.alias("transaction_hash"),
         integer_text(F.col("amount0_raw")).alias("amount0_raw"), integer_text(F.col("amount1_raw")).alias("amount1_raw"),
     ).where(F.col("pool_id").isNotNull() & F.col("block_number").isNotNull() & F.col("timestamp_unix").isNotNull())
 
