@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidemark.catalog import canonical, estimators, market, relational  # noqa: F401
+from tidemark.catalog import canonical, estimators, market, relational, responses, streams  # noqa: F401
 from tidemark.catalog.registry import ENTRIES
 
 __all__ = ["ENTRIES"]

@@ -157,7 +157,7 @@ ranked AS (SELECT *, row_number() OVER w AS rk, sum(b) OVER (w ROWS BETWEEN UNBO
   FROM shares WINDOW w AS (PARTITION BY mint, snapshot_horizon_days ORDER BY b DESC, owner))
 SELECT mint, snapshot_horizon_days, count(DISTINCT owner) AS holders, sum(CASE WHEN rk <= 1 THEN share ELSE 0 END) AS top1_holder_share,
   sum(CASE WHEN rk <= 10 THEN share ELSE 0 END) AS top10_holder_share, sum(power(share, 2)) AS holder_hhi, min(CASE WHEN cum >= 0.5 THEN rk END) AS nakamoto_50_count
-FROM ranked GROUP BY 1, 2""", "top1_holder_share top10_holder_share holder_hhi", digits=10)
+FROM ranked GROUP BY 1, 2""", "top1_holder_share top10_holder_share holder_hhi", digits=11)
 def holder_snapshots(t: Tables) -> DataFrame:
     tokens = t.part.select(F.col("p_partkey").alias("mint"), (F.lit("1998-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("p_size"))).alias("t0"))
     daily = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(

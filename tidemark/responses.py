@@ -108,16 +108,24 @@ def cell_scores(scores: DataFrame, keys: Sequence[str], call: str = "call_id", d
     return cell_counts(scores, keys).join(means.select(*keys, "metric", "n", "mean", "ci95_low", "ci95_high"), list(keys))
 
 
-def contrast_ci(long: DataFrame, keys: Sequence[str], cell: str, weights: dict[str, float], call: str = "call_id", draws: int = 200, salt: str = "contrast") -> DataFrame:
-    """Weighted sum of cell means per key, with cells resampled independently; null when a cell is empty.
+def draw_sums(long: DataFrame, by: Sequence[str], draws: int, salt: str, call: str = "call_id") -> DataFrame:
+    """Weighted sums of every finest cell under each bootstrap draw; draw 0 is the data itself.
 
-    ``long`` has one row per call and value with its cell label. Draw 0 is the data itself; every other draw weighs a
-    call by its Poisson copies. A draw is an aggregate, so the shuffle carries cells x draws and not calls.
+    A call weighs its Poisson copies in a draw. The shuffle carries cells x draws, and every contrast below is computed
+    from this small table: cells of a contrast are unions of finest cells, so their sums add up.
     """
-    rows = long.select(*keys, cell, call, "value", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
+    rows = long.select(*by, call, "value", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
     u = md5_uniform(F.lit(salt), F.col("draw"), F.col(call))
     weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(resampling.poisson_copies(F.col("__u"))))
-    means = weighted.groupBy(*keys, "draw", cell).agg(safe_rate(F.sum(F.col("__w") * F.col("value")), F.sum("__w")).alias("m"), F.count("*").alias("n"))
+    return settle(weighted.groupBy(*by, "draw").agg(F.sum(F.col("__w") * F.col("value")).alias("s"), F.sum("__w").alias("w"), F.count("*").alias("n")))
+
+
+def contrast_ci(sums: DataFrame, keys: Sequence[str], cell: str, weights: dict[str, float]) -> DataFrame:
+    """Weighted sum of cell means per key with its percentile interval; null when a cell is empty.
+
+    ``sums`` comes from ``draw_sums`` with a cell label added.
+    """
+    means = sums.groupBy(*keys, "draw", cell).agg(safe_rate(F.sum("s"), F.sum("w")).alias("m"), F.sum("n").alias("n"))
     pick = lambda c, column: F.max(F.when(F.col(cell) == c, F.col(column)))
     effect = sum((F.lit(w) * pick(c, "m") for c, w in weights.items()), F.lit(0.0))
     per_draw = means.groupBy(*keys, "draw").agg(effect.alias("effect"), *[F.coalesce(pick(c, "n"), F.lit(0)).alias(f"n_{c}") for c in weights])
@@ -126,14 +134,19 @@ def contrast_ci(long: DataFrame, keys: Sequence[str], cell: str, weights: dict[s
     return ranking.with_quantiles(point, keys, ci)
 
 
+def _tagged(sums: DataFrame, keep: Sequence[str], tags: Sequence[Column]) -> DataFrame:
+    """Each cell sum once per tag struct; the fields of the tag become columns."""
+    rows = sums.select(*keep, "draw", "s", "w", "n", F.explode(F.array(*tags)).alias("__tag"))
+    return rows.select(*keep, "draw", "s", "w", "n", "__tag.*")
+
+
 def rung_deltas(scores: DataFrame, model: str, rung: str, draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Upper minus lower mean for adjacent rungs 0..7: a row serves as upper of its step and as lower of the next."""
-    long = long_scores(scores, [model, rung, "call_id"], metrics)
-    roles = F.explode(F.array(
-        F.struct(F.col(rung).alias("to_rung"), F.lit("upper").alias("role")), F.struct((F.col(rung) + 1).alias("to_rung"), F.lit("lower").alias("role"))
-    )).alias("r")
-    steps = long.select(model, "call_id", "metric", "value", roles).select(model, "call_id", "metric", "value", "r.to_rung", "r.role").where(F.col("to_rung").between(1, 7))
-    return contrast_ci(steps, [model, "to_rung", "metric"], "role", {"upper": 1.0, "lower": -1.0}, draws=draws, salt="rung")
+    """Upper minus lower mean for adjacent rungs 0..7: a cell serves as upper of its step and as lower of the next."""
+    sums = draw_sums(long_scores(scores, [model, rung, "call_id"], metrics), [model, rung, "metric"], draws, "rung")
+    steps = _tagged(sums, [model, "metric"], [
+        F.struct(F.col(rung).alias("to_rung"), F.lit("upper").alias("role")), F.struct((F.col(rung) + 1).alias("to_rung"), F.lit("lower").alias("role")),
+    ]).where(F.col("to_rung").between(1, 7))
+    return contrast_ci(steps, [model, "to_rung", "metric"], "role", {"upper": 1.0, "lower": -1.0})
 
 
 def _factorial(scores: DataFrame) -> DataFrame:
@@ -146,16 +159,14 @@ def _bit(i: int) -> Column:
 
 def factorial_effects(scores: DataFrame, model: str, draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Main effect of each evidence bit and two interactions, pooled and per model."""
-    long = long_scores(_factorial(scores), [model, "factorial_bits", "call_id"], metrics)
-    panel = F.explode(F.array(F.lit("pooled"), F.col(model).cast("string"))).alias("panel")
-    main = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.concat(F.lit("b"), _bit(i)).alias("cell")) for i, f in enumerate(FACTORS)])).alias("f")
-    cross = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.concat(F.lit("b"), _bit(a), _bit(b)).alias("cell")) for n, a, b in INTERACTIONS])).alias("f")
-    rows = long.select(panel, "factorial_bits", "call_id", "metric", "value")
+    sums = draw_sums(long_scores(_factorial(scores), [model, "factorial_bits", "call_id"], metrics), [model, "factorial_bits", "metric"], draws, "factorial")
+    panels = _tagged(sums, ["factorial_bits", "metric"], [F.struct(F.lit("pooled").alias("panel")), F.struct(F.col(model).cast("string").alias("panel"))])
+    main = [F.struct(F.lit(f).alias("factor"), F.concat(F.lit("b"), _bit(i)).alias("cell")) for i, f in enumerate(FACTORS)]
+    cross = [F.struct(F.lit(n).alias("factor"), F.concat(F.lit("b"), _bit(a), _bit(b)).alias("cell")) for n, a, b in INTERACTIONS]
     keys = ["panel", "factor", "metric"]
 
-    def effects(tag: Column, weights: dict[str, float], kind: str) -> DataFrame:
-        tagged = rows.select("panel", "call_id", "metric", "value", tag).select("panel", "call_id", "metric", "value", "f.factor", "f.cell")
-        return contrast_ci(tagged, keys, "cell", weights, draws=draws, salt=kind).select(F.lit(kind).alias("effect_type"), *keys, "effect", "ci95_low", "ci95_high")
+    def effects(tags: list[Column], weights: dict[str, float], kind: str) -> DataFrame:
+        return contrast_ci(_tagged(panels, ["panel", "metric"], tags), keys, "cell", weights).select(F.lit(kind).alias("effect_type"), *keys, "effect", "ci95_low", "ci95_high")
 
     return effects(main, {"b1": 1.0, "b0": -1.0}, "main_effect").unionByName(
         effects(cross, {"b11": 1.0, "b10": -1.0, "b01": -1.0, "b00": 1.0}, "prespecified_interaction")
@@ -207,23 +218,22 @@ def heterogeneity(effects: DataFrame) -> DataFrame:
 
 def model_interactions(scores: DataFrame, model: str, reference: str, draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Difference between a model's and the reference model's evidence effect, per factor and metric."""
-    long = long_scores(_factorial(scores), [model, "factorial_bits", "call_id"], metrics)
+    sums = draw_sums(long_scores(_factorial(scores), [model, "factorial_bits", "call_id"], metrics), [model, "factorial_bits", "metric"], draws, "interaction")
+    rows = _tagged(sums, [model, "metric"], [F.struct(F.lit(f).alias("factor"), _bit(i).alias("bit")) for i, f in enumerate(FACTORS)])
     # the reference serves every compared model; a design has a handful of models
-    others = scores.where(F.col(model) != reference).agg(F.collect_set(model)).scalar()
-    tag = F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), _bit(i).alias("bit")) for i, f in enumerate(FACTORS)])).alias("f")
-    rows = long.select(model, "call_id", "metric", "value", tag).select(model, "call_id", "metric", "value", "f.factor", "f.bit")
-    own = rows.where(F.col(model) != reference).withColumn("compared", F.col(model)).withColumn("cell", F.concat(F.lit("c"), "bit"))
-    ref = rows.where(F.col(model) == reference).withColumn("__all", others).withColumn("compared", F.explode("__all")).withColumn("cell", F.concat(F.lit("r"), "bit"))
-    both = own.unionByName(ref).select("compared", "factor", "metric", "call_id", "value", "cell")
-    return contrast_ci(both, ["compared", "factor", "metric"], "cell", {"c1": 1.0, "c0": -1.0, "r1": -1.0, "r0": 1.0}, draws=draws, salt="interaction")
+    others = sums.where(F.col(model) != reference).agg(F.collect_set(model)).scalar()
+    is_ref = F.col(model) == reference
+    both = rows.withColumn("__all", others).withColumn("compared", F.explode(F.when(is_ref, F.col("__all")).otherwise(F.array(F.col(model)))))
+    cells = both.withColumn("cell", F.concat(F.when(is_ref, "r").otherwise("c"), "bit"))
+    return contrast_ci(cells, ["compared", "factor", "metric"], "cell", {"c1": 1.0, "c0": -1.0, "r1": -1.0, "r0": 1.0})
 
 
 def control_comparisons(scores: DataFrame, model: str, rung: str, condition_kind: str, controls: Sequence[str], draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Control minus blind mean per rung; ``condition_kind`` is ``blind`` or one of ``controls``."""
-    long = long_scores(scores, [model, rung, condition_kind, "call_id"], metrics)
-    tags = F.explode(F.when(F.col(condition_kind) == "blind", F.array(*[F.lit(c) for c in controls])).otherwise(F.array(F.col(condition_kind)))).alias("comparison")
-    rows = long.select(model, rung, "call_id", "metric", "value", tags, F.when(F.col(condition_kind) == "blind", "blind").otherwise("control").alias("cell"))
-    return contrast_ci(rows, [model, rung, "comparison", "metric"], "cell", {"control": 1.0, "blind": -1.0}, draws=draws, salt="control")
+    sums = draw_sums(long_scores(scores, [model, rung, condition_kind, "call_id"], metrics), [model, rung, condition_kind, "metric"], draws, "control")
+    blind = F.col(condition_kind) == "blind"
+    rows = sums.withColumn("comparison", F.explode(F.when(blind, F.array(*[F.lit(c) for c in controls])).otherwise(F.array(condition_kind))))
+    return contrast_ci(rows.withColumn("cell", F.when(blind, "blind").otherwise("control")), [model, rung, "comparison", "metric"], "cell", {"control": 1.0, "blind": -1.0})
 
 
 def cost_estimate(scores: DataFrame, model: str, cost: str) -> DataFrame:
