@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import roles
 from tidemark.catalog.market import POST_EVENT
-from tidemark.catalog.registry import Tables, query
+from tidemark.catalog.registry import Tables, query, spread
 from tidemark.operators import aggregates, reshape
 from tidemark.plans import canonical, contracts, market
 from tidemark.session import settle
@@ -138,15 +138,15 @@ POOL = roles.hex_address_sql("o_orderkey")
 def direct_tables(t: Tables) -> dict[str, DataFrame]:
     """Orders as launches (token = customer, pool = order), line items as pool events."""
     blank = F.lit("")
-    launches = t.orders.select(
+    launches = spread(t.orders).select(
         F.upper(roles.hex_address(F.col("o_custkey"))).alias("token_id"), text(F.col("o_orderkey")).alias("block_number"), F.lit("3").alias("log_index"), F.concat(F.lit("TX"), "o_orderkey").alias("transaction_hash"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_timestamp_utc"), roles.hex_address(F.col("o_orderkey")).alias("pool_id"), F.col("o_orderpriority").alias("token_admin"), F.lit("1e18").alias("extensions_supply_raw"),
         blank.alias("event_id"), F.lit("0xpair").alias("paired_token"), F.lit("newer").alias("version_class"), *[blank.alias(c) for c in ("msg_sender", "starting_tick", "pool_hook", "pool_hook_label", "locker", "mev_module", "mev_module_label")],
     )
     log = F.col("l_linenumber") + F.col("l_suppkey") * 10
     unix = text(F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
-    opened = t.lineitem.where("l_returnflag = 'A'")
-    moved = t.lineitem.where("l_returnflag <> 'A'")
+    items = spread(t.lineitem)
+    opened, moved = items.where("l_returnflag = 'A'"), items.where("l_returnflag <> 'A'")
     base = [roles.hex_address(F.col("l_orderkey")).alias("pool_id"), unix.alias("block_timestamp_unix"), F.concat(F.lit("ltx"), "l_orderkey", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("transaction_hash"), text(log).alias("log_index"), text(F.col("l_orderkey")).alias("block_number")]
     null = F.lit(None).cast("string")
     events = opened.select(*base, F.lit("pool_initialized").alias("event_type"), F.lit("0xm2").alias("pool_manager"), F.lit("0xa").alias("currency0"), F.lit("0xb").alias("currency1"), F.lit("3000").alias("fee"), F.lit("60").alias("tick_spacing"), F.lit("0xh").alias("hooks"),
@@ -157,7 +157,7 @@ def direct_tables(t: Tables) -> dict[str, DataFrame]:
 
 
 DIRECT_SQL = f"""f AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderpriority, 'evm:8/token:' || {ADDRESS} AS token, {POOL} AS pool FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
-op AS (SELECT l_orderkey, l_shipdate, 'ltx' || l_orderkey || '-' || l_partkey || '-' || l_suppkey AS tx, l_linenumber + l_suppkey * 10 AS log, l_partkey FROM lineitem WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber + l_suppkey * 10 DESC) = 1),
+op AS (SELECT l_orderkey, l_shipdate, 'ltx' || l_orderkey || '-' || l_partkey || '-' || l_suppkey AS tx, l_linenumber + l_suppkey * 10 AS log, l_partkey FROM lineitem WHERE l_returnflag = 'A' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber + l_suppkey * 10 DESC, tx DESC) = 1),
 mv AS (SELECT l_orderkey, l_shipdate, 'ltx' || l_orderkey || '-' || l_partkey || '-' || l_suppkey AS tx, l_linenumber + l_suppkey * 10 AS log, l_returnflag = 'N' AS pos, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_returnflag <> 'A'),
 mc AS (SELECT l_orderkey, count(*) AS n, count(CASE WHEN pos THEN 1 END) AS p FROM mv GROUP BY 1)"""
 
@@ -204,7 +204,7 @@ def graduating_tables(t: Tables) -> dict[str, DataFrame]:
     """Orders as launches; the order's lifecycle comes from its customer segment; mappings and history cover subsets."""
     addr = roles.hex_address(F.col("o_orderkey"))
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
-    launches = t.orders.select(
+    launches = spread(t.orders).select(
         F.upper(addr).alias("token_address"), text(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("launch_time_unix"), F.concat(F.lit("S"), "o_custkey").alias("symbol"), F.lit("n").alias("name"), text(F.col("o_custkey")).alias("creator"),
         F.lit("1000").alias("total_supply_raw"), text(F.col("o_orderkey")).alias("request_id"), F.concat(F.lit("tx"), "o_orderkey").alias("transaction_hash"), F.lit("1").alias("log_index"), text(F.col("o_orderkey")).alias("block_number"), F.lit("0xm").alias("manager_address"),
         F.lit("v2").alias("manager_version"), F.lit("5").alias("launch_fee_raw"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import roles
 from tidemark.catalog.market import POST_EVENT
-from tidemark.catalog.registry import Tables, query
+from tidemark.catalog.registry import Tables, query, spread
 from tidemark.estimators import clusters, matching, panel, regression, replicates, resampling, staggered, synthetic, timeseries
 from tidemark.operators import aggregates, reshape
 from tidemark.plans import market
@@ -541,14 +541,14 @@ def pair_diagnostics(t: Tables) -> DataFrame:
   SELECT grp, (SELECT count(*) FROM orders WHERE o_orderpriority = grp) AS n, (SELECT avg(o_totalprice) FROM orders WHERE o_orderpriority = grp) AS mean, count(*) AS draws, stddev_samp(x) AS boot_se, quantile_cont(x, 0.025) AS ci95_low, quantile_cont(x, 0.975) AS ci95_high FROM dr GROUP BY 1""",
        "mean boot_se ci95_low ci95_high", digits=4)
 def bootstrap_mean(t: Tables) -> DataFrame:
-    return resampling.boot_mean(t.orders.withColumn("grp", F.col("o_orderpriority")), ["grp"], "o_totalprice", "o_orderkey", 40)
+    return resampling.boot_mean(spread(t.orders).withColumn("grp", F.col("o_orderpriority")), ["grp"], "o_totalprice", "o_orderkey", 40)
 
 
 @query("bootstrap_median", f"""WITH w AS (SELECT user_id AS grp, draw, value, {poisson_sql(uniform_sql("'median'", 'draw', 'event_id'))} AS w FROM events, (SELECT unnest(generate_series(1, 20)) AS draw)),
   e AS (SELECT grp, draw, value, unnest(generate_series(1, w)) AS c FROM w WHERE w > 0), dr AS (SELECT grp, draw, median(value) AS x FROM e GROUP BY 1, 2)
   SELECT grp, (SELECT median(value) FROM events WHERE user_id = grp) AS median, count(*) AS draws, stddev_samp(x) AS boot_se, quantile_cont(x, 0.025) AS ci95_low, quantile_cont(x, 0.975) AS ci95_high FROM dr GROUP BY 1""", "median boot_se ci95_low ci95_high")
 def bootstrap_median(t: Tables) -> DataFrame:
-    return resampling.boot_median(t.events.withColumn("grp", F.col("user_id")), ["grp"], "value", "event_id", 20)
+    return resampling.boot_median(spread(t.events).withColumn("grp", F.col("user_id")), ["grp"], "value", "event_id", 20)
 
 
 @query("cluster_bootstrap", f"""WITH dy AS (SELECT date_diff('day', DATE '1970-01-01', o_orderdate) AS d, sum(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END) AS a, count(*) AS b FROM orders GROUP BY 1), {cluster_sql('dy', 'd', 'a', 'b', 'cluster', 100)}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import roles
-from tidemark.catalog.registry import Tables, query
+from tidemark.catalog.registry import Tables, query, spread
+from tidemark.session import settle
 from tidemark.functions import scalars
 from tidemark.operators import joins, ranking, reshape
 from tidemark.plans import cofiring, market
@@ -163,6 +164,7 @@ def holder_snapshots(t: Tables) -> DataFrame:
     daily = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(
         F.col("l_partkey").alias("mint"), F.col("o_custkey").alias("owner"), F.col("l_shipdate").alias("ts")
     ).agg(F.sum("l_quantity").alias("q"))
+    daily = settle(daily)
     balances = ranking.running_sum(daily, ["mint", "owner"], F.year("ts"), [F.col("ts")], "q", "amount").withColumn("seq", F.lit(0))
     return market.holder_snapshots(tokens, balances)
 
@@ -180,7 +182,7 @@ def brand_key():
 
 def shipments(t: Tables) -> DataFrame:
     """Line items with brand and buyer; 300 blocks per day."""
-    return t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(
+    return spread(t.lineitem).join(t.orders.select("o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(
         t.part.select("p_partkey", brand_key().alias("brand")), F.col("p_partkey") == F.col("l_partkey")
     ).withColumn("block", F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("bigint") * 300)
 
@@ -203,7 +205,7 @@ def holder_reconstruction(t: Tables) -> DataFrame:
         roles.hex_address(F.col("o_custkey") * 1000).alias("to"), F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("e18")).alias("value"),
         F.col("block").cast("string").alias("blockNumber"),
     )
-    transfers = import_transfers(rows)
+    transfers = settle(import_transfers(rows))
     cohort = transfers.groupBy("token_id").agg(F.min("block_number").alias("launch_block"))
     return market.holder_reconstruction(cohort, transfers, 3000)
 
@@ -229,7 +231,7 @@ SELECT {roles.hex_address_sql('x.brand')} AS token_id, horizon_days, count(u) AS
 FROM x LEFT JOIN es ON es.brand = x.brand LEFT JOIN price ON price.day = CAST(make_timestamp(launch * 1000000) AS DATE) GROUP BY x.brand, horizon_days""",
        "paired_volume volume_usd early_sender_top10_share_60s")
 def swap_horizons(t: Tables) -> DataFrame:
-    b = t.lineitem.join(t.part.select("p_partkey", brand_key().alias("brand")), F.col("p_partkey") == F.col("l_partkey")).withColumn(
+    b = spread(t.lineitem).join(t.part.select("p_partkey", brand_key().alias("brand")), F.col("p_partkey") == F.col("l_partkey")).withColumn(
         "u", F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
     ).withColumn("block", F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).cast("bigint") * 3000)
     token = roles.hex_address(F.col("brand"))
@@ -238,6 +240,7 @@ def swap_horizons(t: Tables) -> DataFrame:
     token_amount = (side * F.col("l_quantity").cast("bigint")).cast("string")
     paired_amount = F.concat((-F.col("l_quantity").cast("bigint") * 7).cast("string"), F.lit("e6"))
     first = token < paired
+    b = settle(b)
     swaps = import_swaps(b.select(
         token.alias("poolId"), roles.hex_address(F.col("l_suppkey")).alias("trader"), F.col("block").cast("string").alias("block"),
         F.col("u").cast("string").alias("timestamp"),

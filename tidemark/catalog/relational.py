@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog import roles
-from tidemark.catalog.registry import Tables, query
+from tidemark.catalog.registry import Tables, query, spread
 from tidemark.functions import logs, nested, wide
 from tidemark.functions import scalars as S
 from tidemark.operators import aggregates, filters, joins, ranking, reshape, sets, windows
@@ -73,7 +73,7 @@ def chart_child_sets(t: Tables) -> DataFrame:
 @query("aliased_import", f"""SELECT {roles.hex_address_sql('l_partkey')} AS pool_id, {roles.hex_address_sql('l_suppkey')} AS sender, l_orderkey AS block_number, epoch(l_shipdate)::BIGINT AS timestamp_unix,
   strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc, 'tx-' || l_orderkey AS transaction_hash, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS amount0_raw, '-' || CAST(l_quantity AS BIGINT) || '000' AS amount1_raw FROM lineitem""")
 def aliased_import(t: Tables) -> DataFrame:
-    return readers.import_swaps(t.lineitem.select(
+    return readers.import_swaps(spread(t.lineitem).select(
         F.upper(roles.hex_address(F.col("l_partkey"))).alias("poolId"), roles.hex_address(F.col("l_suppkey")).alias("trader"), F.col("l_orderkey").cast("string").alias("blockNumber"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_time"), F.concat(F.lit("tx-"), "l_orderkey").alias("tx_hash"), F.col("l_quantity").cast("string").alias("amount0"),
         F.concat(F.lit("-"), F.col("l_quantity").cast("bigint").cast("string"), F.lit("e3")).alias("amount1Raw"),
@@ -167,7 +167,7 @@ def raw_logs(t: Tables) -> DataFrame:
         F.lit("0x"), word(F.col("l_orderkey")), negative, word(F.col("l_suppkey")), word(F.lit(160)), word(F.col("l_linenumber")),
         word(F.length(hexed) / 2), padded,
     )
-    return t.lineitem.withColumn("nth", F.monotonically_increasing_id()).select(
+    return spread(t.lineitem).select(
         F.lit(SIGNATURE).alias("topic0"), F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("l_partkey")), 64, "0")).alias("topic1"), data.alias("data"),
         F.concat(F.lit("tx"), "l_orderkey").alias("transaction_hash"), F.col("l_linenumber").alias("log_index"), F.col("l_shipdate").alias("block_time"),
     )

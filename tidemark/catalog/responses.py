@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import responses as R
 from tidemark.catalog.estimators import poisson_sql, uniform_sql
-from tidemark.catalog.registry import Tables, query
+from tidemark.catalog.registry import Tables, query, spread
 from tidemark.session import settle
 
 GOLD = R.Gold(
@@ -42,7 +42,7 @@ def parsed(t: Tables) -> DataFrame:
 
 
 def scores(t: Tables) -> DataFrame:
-    return settle(R.collect_scores(registry(t), parsed(t), GOLD))
+    return settle(spread(R.collect_scores(registry(t), parsed(t), GOLD)))
 
 
 SCORES = """reg AS (SELECT o_orderkey AS call_id, o_orderstatus AS model, o_orderkey % 8 AS rung, CASE WHEN o_orderkey % 5 = 0 THEN 'canonical' ELSE 'factorial' END AS condition_family, lpad(bin(o_custkey % 16), 4, '0') AS bits, o_totalprice AS p, o_orderkey % 3 <> 0 AS m0,

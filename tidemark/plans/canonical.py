@@ -225,7 +225,7 @@ def build_direct(launches: DataFrame, pool_events: DataFrame, spec: DirectSpec)
         "pool_key", F.lower("pool_id")
     )
     first = settle(first)
-    opened = filters.top_rows(pool_events.where("event_type = 'pool_initialized'"), ["pool_id"], [as_long(F.col("block_number")).desc(), as_long(F.col("log_index")).desc()])
+    opened = filters.top_rows(pool_events.where("event_type = 'pool_initialized'"), ["pool_id"], [as_long(F.col("block_number")).desc(), as_long(F.col("log_index")).desc(), F.desc("transaction_hash")])
     opened = opened.select(
         F.col("pool_id").alias("pool_key"), F.lit(True).alias("opened"), parse_ts(F.col("block_timestamp_unix"), "seconds").alias("init_at"), F.col("transaction_hash").alias("init_tx"),
         as_long(F.col("log_index")).alias("init_log"), as_long(F.col("block_number")).alias("init_block"), F.col("pool_manager").alias("init_manager"), "currency0", "currency1",

@@ -16,6 +16,7 @@ from tidemark.functions import wide
 from tidemark.functions.scalars import as_double, censored_outcome, clip, period_label, safe_rate
 from tidemark.operators import aggregates, filters, joins, ranking, reshape
 from tidemark.operators.reshape import HORIZONS
+from tidemark.session import settle
 
 DAY = "DAYS"
 
@@ -191,6 +192,7 @@ def early_concentration(tokens: DataFrame, buys: DataFrame, seconds: int = 60) -
     per_buyer = near.groupBy("mint", "buyer").agg(
         F.min("t0").alias("t0"), F.sum("usd").alias("usd"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
+    per_buyer = settle(per_buyer)
     shape = ranking.concentration(per_buyer, ["mint"], "usd")
     spans = per_buyer.groupBy("mint").agg(
         F.min("t0").alias("launch_or_graduated_at"), F.count("buyer").alias("early_buyers"), F.sum("usd").alias("early_buy_volume_usd"),
@@ -216,6 +218,7 @@ def early_wallets(tokens: DataFrame, trades: DataFrame, seconds: int = 60) -> Da
     per_wallet = per_tx.groupBy("mint", "trader").agg(
         F.count("tx").alias("trades"), F.sum("usd").alias("usd"), F.min("first").alias("first"), F.max("last").alias("last")
     ).withColumn("weight", F.when(F.col("usd") > 0, F.col("usd")).otherwise(F.col("trades").cast("double")))
+    per_wallet = settle(per_wallet)
     shape = ranking.concentration(per_wallet, ["mint"], "weight")
     spans = per_wallet.groupBy("mint").agg(
         F.count("trader").alias("early_wallets"), F.sum("usd").alias("early_volume_usd"),
@@ -249,6 +252,7 @@ def early_proxy(tokens: DataFrame, transactions: DataFrame) -> DataFrame:
         F.count_if(parsed & (F.col("role") != "unclassified")).alias("classified"),
         F.count_if(parsed & (F.col("role") == "unclassified")).alias("unclassified"), F.sum("parsed").alias("parsed"),
     )
+    per_wallet = settle(per_wallet)
     shape = ranking.concentration(per_wallet.where(has_wallet), ["mint"], "weight")
     spans = per_wallet.groupBy("mint").agg(
         F.count_if(has_wallet).alias("early_buyers"),
@@ -288,6 +292,7 @@ def holder_snapshots(tokens: DataFrame, balances: DataFrame) -> DataFrame:
     long = explode_horizons(owners, ["mint", "owner"], {"b": "b"}, SNAPSHOTS).select(
         "mint", F.col("horizon_days").alias("snapshot_horizon_days"), "owner", F.col("b.amount").alias("balance")
     ).where(F.col("balance") > 0)
+    long = settle(long)
     keys = ["mint", "snapshot_horizon_days"]
     shape = ranking.concentration(long, keys, "balance", tops=(1, 10))
     half = ranking.crossing_count(long, keys, "balance", 0.5, "nakamoto_50_count")
@@ -326,20 +331,20 @@ def holder_reconstruction(
         .otherwise(F.concat(F.lit("-"), F.col("amount")))
     )
     legs = F.explode(F.array(
-        F.struct(F.lower("from_address").alias("holder"), negated.alias("text")),
-        F.struct(F.lower("to_address").alias("holder"), F.col("amount").alias("text")),
+        F.struct(F.lower("from_address").alias("holder"), negated.alias("text"), F.lit(1).alias("log")),
+        F.struct(F.lower("to_address").alias("holder"), F.col("amount").alias("text"), F.lit(0).alias("log")),
     )).alias("leg")
     moves = (
         bounded.withColumn("amount", F.col("amount_raw"))
         .select("token_id", h.alias("h"), legs)
-        .select("token_id", "h", "leg.holder", "leg.text")
-        .where(F.col("holder") != ZERO_ADDRESS)
-    )
-    sums = wide.with_limbs(moves, "text", "v").groupBy("token_id", "holder").agg(
-        *[c for n in horizons for c in wide.sum_limbs("v", F.col("h") <= n, f"_{n}")]
+        .select("token_id", "h", "leg.holder", "leg.text", "leg.log")
     )
+    # one row per (token, holder), the zero address included: it carries its share of the log count
+    sums = settle(wide.with_limbs(moves, "text", "v").groupBy("token_id", "holder").agg(
+        F.sum("log").alias("logs"), *[c for n in horizons for c in wide.sum_limbs("v", F.col("h") <= n, f"_{n}")]
+    ))
     held = (
-        explode_horizons(sums, ["token_id", "holder"], {p: p for p in wide.LIMBS}, horizons)
+        explode_horizons(sums.where(F.col("holder") != ZERO_ADDRESS), ["token_id", "holder"], {p: p for p in wide.LIMBS}, horizons)
         .where(F.col("hi").isNotNull())
         .withColumn("number", wide.carry(F.col("hi"), F.col("mid"), F.col("lo")))
         .where(wide.is_positive(F.col("number")))
@@ -348,7 +353,7 @@ def holder_reconstruction(
     value = wide.to_double(F.col("number"))
     totals = held.groupBy(*keys).agg(F.count("*").alias("holder_count"), F.sum(value).alias("supply"))
     top = filters.top_rows(held, keys, [wide.order_key(F.col("number")).desc()], 10).groupBy(*keys).agg(F.sum(value).alias("top10"))
-    logs = bounded.groupBy("token_id").agg(F.count("*").alias("transfer_log_count"))
+    logs = sums.groupBy("token_id").agg(F.sum("logs").alias("transfer_log_count"))
     grid = joins.cross_dim(cohort.select("token_id"), "horizon_days", horizons)
     out = grid.join(totals, keys, "left").join(top, keys, "left").join(logs, "token_id", "left")
     return out.select(
@@ -416,6 +421,7 @@ def swap_horizons(
             F.max(F.when(F.col("h") <= n, F.col("timestamp_unix"))).alias(f"last_{n}"),
         ], horizons),
     )
+    per_sender = settle(per_sender)
     per_token = per_sender.groupBy("token_id").agg(*_by_horizon(lambda n: [
         F.count_if(F.col("h") <= n).alias(f"traders_{n}"),
         *[F.sum(f"{c}_{n}").alias(f"{c}_{n}") for c in ("n", "buys", "sells", "paired")],
