@@ -22,7 +22,7 @@ def registry(t: Tables) -> DataFrame:
     bits = F.lpad(F.bin(F.col("o_custkey") % 16), 4, "0")
     has = lambda i, e: F.when(F.substring(bits, i + 1, 1) == "1", F.lit(e))
     base = F.when(F.col("o_orderkey") % 3 == 0, F.lit("M1;M2")).otherwise(F.lit("M0;M1;M2;M3"))
-    return t.orders.select(
+    return spread(t.orders).select(
         F.col("o_orderkey").alias("call_id"), F.col("o_orderstatus").alias("model"), (F.col("o_orderkey") % 8).alias("rung"), F.when(F.col("o_orderkey") % 5 == 0, "canonical").otherwise("factorial").alias("condition_family"),
         bits.alias("factorial_bits"), F.concat_ws(";", base, *[has(i, e) for i, e in enumerate(R.FACTORS)]).alias("present_evidence_ids"),
         F.when(F.col("o_orderpriority") == "5-LOW", "parse_failed").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "provider_error").otherwise("ok").alias("status"),
@@ -42,7 +42,7 @@ def parsed(t: Tables) -> DataFrame:
 
 
 def scores(t: Tables) -> DataFrame:
-    return settle(spread(R.collect_scores(registry(t), parsed(t), GOLD)))
+    return settle(R.collect_scores(registry(t), parsed(t), GOLD))
 
 
 SCORES = """reg AS (SELECT o_orderkey AS call_id, o_orderstatus AS model, o_orderkey % 8 AS rung, CASE WHEN o_orderkey % 5 = 0 THEN 'canonical' ELSE 'factorial' END AS condition_family, lpad(bin(o_custkey % 16), 4, '0') AS bits, o_totalprice AS p, o_orderkey % 3 <> 0 AS m0,
@@ -60,7 +60,7 @@ sc AS (SELECT call_id, model, rung, condition_family, bits, status, kind, CASE W
 METRIC_LIST = " ".join(R.METRICS)
 
 
-@query("response_scores", f"WITH {SCORES} SELECT call_id, {', '.join(R.METRICS)}, parse_failure FROM sc", METRIC_LIST)
+@query("response_scores", f"WITH {SCORES} SELECT call_id, {', '.join(R.METRICS)}, parse_failure FROM sc", METRIC_LIST, digits=10)
 def response_scores(t: Tables) -> DataFrame:
     return scores(t).select("call_id", *R.METRICS, "parse_failure")
 
@@ -79,7 +79,7 @@ def long_sql(metrics=PAIR) -> str:
 
 @query("response_cell_intervals", f"""WITH {SCORES}, {long_sql()}, d AS (SELECT model, metric, draw, sum(w * value) / nullif(sum(w), 0)::DOUBLE AS x FROM (SELECT model, metric, value, draw, {poisson_sql(uniform_sql("'cell'", 'draw', 'call_id'))} AS w FROM lg, (SELECT unnest(generate_series(1, {DRAWS})) AS draw)) GROUP BY 1, 2, 3),
   ci AS (SELECT model, metric, quantile_cont(x, 0.025) AS ci95_low, quantile_cont(x, 0.975) AS ci95_high FROM d GROUP BY 1, 2), c AS (SELECT model, count(*) AS registered_runs, {', '.join(f'count(CASE WHEN status = {s!r} THEN 1 END) AS {s}_runs' for s in R.RUN_STATES)} FROM sc GROUP BY 1)
-  SELECT c.*, metric, n, mean, ci95_low, ci95_high FROM c JOIN (SELECT model, metric, count(*) AS n, avg(value) AS mean FROM lg GROUP BY 1, 2) USING (model) JOIN ci USING (model, metric)""", "mean ci95_low ci95_high")
+  SELECT c.*, metric, n, mean, ci95_low, ci95_high FROM c JOIN (SELECT model, metric, count(*) AS n, avg(value) AS mean FROM lg GROUP BY 1, 2) USING (model) JOIN ci USING (model, metric)""", "mean ci95_low ci95_high", digits=10)
 def response_cell_intervals(t: Tables) -> DataFrame:
     return R.cell_scores(scores(t), ["model"], draws=DRAWS, metrics=PAIR)
 
@@ -96,7 +96,7 @@ contrast AS (SELECT ce.* EXCLUDE (draw), ci95_low, ci95_high FROM ce LEFT JOIN c
 
 
 @query("response_rung_deltas", f"""WITH {SCORES}, {long_sql()}, st AS (SELECT model, rung AS to_rung, metric, call_id, value, 'upper' AS cell FROM lg WHERE rung BETWEEN 1 AND 7 UNION ALL SELECT model, rung + 1, metric, call_id, value, 'lower' FROM lg WHERE rung + 1 BETWEEN 1 AND 7),
-  {contrast_sql('st', 'model, to_rung, metric', {'upper': 1.0, 'lower': -1.0}, 'rung')} SELECT * FROM contrast""", "effect ci95_low ci95_high")
+  {contrast_sql('st', 'model, to_rung, metric', {'upper': 1.0, 'lower': -1.0}, 'rung')} SELECT * FROM contrast""", "effect ci95_low ci95_high", digits=10)
 def response_rung_deltas(t: Tables) -> DataFrame:
     return R.rung_deltas(scores(t), "model", "rung", DRAWS, PAIR)
 
@@ -106,13 +106,13 @@ BITS = " UNION ALL ".join(f"SELECT panel, '{f}' AS factor, metric, call_id, valu
 
 
 @query("response_main_effects", f"""WITH {SCORES}, {long_sql()}, {FACT}, mb AS ({BITS}), {contrast_sql('mb', 'panel, factor, metric', {'b1': 1.0, 'b0': -1.0}, 'factorial')}
-  SELECT 'main_effect' AS effect_type, panel, factor, metric, effect, ci95_low, ci95_high FROM contrast""", "effect ci95_low ci95_high")
+  SELECT 'main_effect' AS effect_type, panel, factor, metric, effect, ci95_low, ci95_high FROM contrast""", "effect ci95_low ci95_high", digits=10)
 def response_main_effects(t: Tables) -> DataFrame:
     return R.factorial_effects(scores(t), "model", DRAWS, PAIR).where("effect_type = 'main_effect'")
 
 
 @query("response_interactions", f"""WITH {SCORES}, {long_sql()}, {FACT}, mb AS ({' UNION ALL '.join(f"SELECT panel, '{n}' AS factor, metric, call_id, value, 'b' || bits[{a + 1}] || bits[{b + 1}] AS cell FROM pn" for n, a, b in R.INTERACTIONS)}),
-  {contrast_sql('mb', 'panel, factor, metric', {'b11': 1.0, 'b10': -1.0, 'b01': -1.0, 'b00': 1.0}, 'factorial')} SELECT 'prespecified_interaction' AS effect_type, panel, factor, metric, effect, ci95_low, ci95_high FROM contrast""", "effect ci95_low ci95_high")
+  {contrast_sql('mb', 'panel, factor, metric', {'b11': 1.0, 'b10': -1.0, 'b01': -1.0, 'b00': 1.0}, 'factorial')} SELECT 'prespecified_interaction' AS effect_type, panel, factor, metric, effect, ci95_low, ci95_high FROM contrast""", "effect ci95_low ci95_high", digits=10)
 def response_interactions(t: Tables) -> DataFrame:
     return R.factorial_effects(scores(t), "model", DRAWS, PAIR).where("effect_type = 'prespecified_interaction'")
 
@@ -120,7 +120,7 @@ def response_interactions(t: Tables) -> DataFrame:
 @query("response_matched_pairs", f"""WITH {SCORES}, {long_sql()}, x AS (SELECT * FROM lg WHERE condition_family = 'factorial'), c AS (SELECT model, bits, metric, avg(value) AS m, count(*) AS n FROM x GROUP BY 1, 2, 3),
   b AS ({' UNION ALL '.join(f"SELECT model, metric, '{f}' AS factor, substr(bits, 1, {i}) || substr(bits, {i + 2}) AS matched_background, bits[{i + 1}] AS bit, m, n FROM c" for i, f in enumerate(R.FACTORS))})
   SELECT model, factor, metric, matched_background, max(CASE WHEN bit = '1' THEN m END) AS bit1_mean, max(CASE WHEN bit = '0' THEN m END) AS bit0_mean, coalesce(max(CASE WHEN bit = '1' THEN n END), 0) AS bit1_n, coalesce(max(CASE WHEN bit = '0' THEN n END), 0) AS bit0_n,
-  max(CASE WHEN bit = '1' THEN m END) - max(CASE WHEN bit = '0' THEN m END) AS pair_difference FROM b GROUP BY 1, 2, 3, 4""", "bit1_mean bit0_mean pair_difference")
+  max(CASE WHEN bit = '1' THEN m END) - max(CASE WHEN bit = '0' THEN m END) AS pair_difference FROM b GROUP BY 1, 2, 3, 4""", "bit1_mean bit0_mean pair_difference", digits=10)
 def response_matched_pairs(t: Tables) -> DataFrame:
     return R.matched_pairs(scores(t), "model", None, PAIR)
 
@@ -136,20 +136,20 @@ def response_matched_effect(t: Tables) -> DataFrame:
 
 
 @query("response_heterogeneity", f"""WITH {SCORES}, {long_sql()}, {FACT}, mb AS ({BITS}), e AS (SELECT panel, factor, metric, avg(CASE WHEN cell = 'b1' THEN value END) - avg(CASE WHEN cell = 'b0' THEN value END) AS effect FROM mb GROUP BY 1, 2, 3)
-  SELECT factor, metric, count(effect) AS models, min(effect) AS effect_min, max(effect) AS effect_max, stddev_samp(effect) AS effect_sd, max(effect) - min(effect) AS effect_range FROM e WHERE panel <> 'pooled' GROUP BY 1, 2""", "effect_min effect_max effect_sd effect_range")
+  SELECT factor, metric, count(effect) AS models, min(effect) AS effect_min, max(effect) AS effect_max, stddev_samp(effect) AS effect_sd, max(effect) - min(effect) AS effect_range FROM e WHERE panel <> 'pooled' GROUP BY 1, 2""", "effect_min effect_max effect_sd effect_range", digits=10)
 def response_heterogeneity(t: Tables) -> DataFrame:
     return R.heterogeneity(R.factorial_effects(scores(t), "model", 2, PAIR))
 
 
 @query("response_model_interactions", f"""WITH {SCORES}, {long_sql()}, x AS (SELECT * FROM lg WHERE condition_family = 'factorial'), tg AS ({' UNION ALL '.join(f"SELECT model, '{f}' AS factor, metric, call_id, value, bits[{i + 1}] AS bit FROM x" for i, f in enumerate(R.FACTORS))}),
   mi AS (SELECT model AS compared, factor, metric, call_id, value, 'c' || bit AS cell FROM tg WHERE model <> 'F' UNION ALL SELECT k.m, factor, metric, call_id, value, 'r' || bit FROM tg, (SELECT unnest(['O', 'P']) AS m) k WHERE model = 'F'),
-  {contrast_sql('mi', 'compared, factor, metric', {'c1': 1.0, 'c0': -1.0, 'r1': -1.0, 'r0': 1.0}, 'interaction')} SELECT * FROM contrast""", "effect ci95_low ci95_high")
+  {contrast_sql('mi', 'compared, factor, metric', {'c1': 1.0, 'c0': -1.0, 'r1': -1.0, 'r0': 1.0}, 'interaction')} SELECT * FROM contrast""", "effect ci95_low ci95_high", digits=10)
 def response_model_interactions(t: Tables) -> DataFrame:
     return R.model_interactions(scores(t), "model", "F", DRAWS, PAIR)
 
 
 @query("response_control_comparisons", f"""WITH {SCORES}, {long_sql()}, ct AS (SELECT model, rung, kind AS comparison, metric, call_id, value, 'control' AS cell FROM lg WHERE kind <> 'blind' UNION ALL SELECT model, rung, k.c, metric, call_id, value, 'blind' FROM lg, (SELECT unnest(['leaky', 'empty']) AS c) k WHERE kind = 'blind'),
-  {contrast_sql('ct', 'model, rung, comparison, metric', {'control': 1.0, 'blind': -1.0}, 'control')} SELECT * FROM contrast""", "effect ci95_low ci95_high")
+  {contrast_sql('ct', 'model, rung, comparison, metric', {'control': 1.0, 'blind': -1.0}, 'control')} SELECT * FROM contrast""", "effect ci95_low ci95_high", digits=10)
 def response_control_comparisons(t: Tables) -> DataFrame:
     return R.control_comparisons(scores(t), "model", "rung", "kind", ("leaky", "empty"), DRAWS, PAIR)
 

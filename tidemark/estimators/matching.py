@@ -155,6 +155,7 @@ def pair_diagnostics(rows: DataFrame, pair: str, side: str, keys: Sequence[str],
     wide = long.groupBy(pair, *keys, "metric").agg(
         F.avg(F.when(F.col(side) == "treated", F.col("value"))).alias("t"), F.avg(F.when(F.col(side) == "control", F.col("value"))).alias("c")
     ).where("t IS NOT NULL AND c IS NOT NULL").withColumn("diff", F.col("t") - F.col("c"))
+    wide = settle(wide)
     group = [*keys, "metric"]
     stats = wide.groupBy(*group).agg(
         F.count("*").alias("pairs"), F.avg("t").alias("treated_mean"), F.avg("c").alias("control_mean"), F.avg("diff").alias("mean_difference"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import md5_sign, md5_uniform, safe_rate
 from tidemark.operators import ranking
+from tidemark.session import settle
 
 POISSON_TERMS = 12
 
@@ -54,7 +55,7 @@ def boot_mean(df: DataFrame, keys: Sequence[str], value: str, unit: str, draws:
     u = md5_uniform(F.lit(salt), F.col("draw"), F.col(unit))
     weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("__u"))))
     sums = weighted.groupBy(*keys, "draw").agg(F.sum(F.col("__w") * F.col(value)).alias("s"), F.sum("__w").alias("w"), F.count("*").alias("n"))
-    means = sums.withColumn("m", safe_rate(F.col("s"), F.col("w")))
+    means = settle(sums.withColumn("m", safe_rate(F.col("s"), F.col("w"))))
     point = means.where("draw = 0").select(*keys, "n", F.col("m").alias("mean"))
     return ranking.with_quantiles(point, keys, interval(means.where("draw > 0"), keys, "m"))
 
@@ -69,7 +70,7 @@ def boot_median(df: DataFrame, keys: Sequence[str], value: str, unit: str, draws
     u = md5_uniform(F.lit(salt), F.col("draw"), F.col(unit))
     weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("__u"))))
     copies = weighted.where("__w > 0").select(*keys, "draw", value, F.explode(F.sequence(F.lit(1), F.col("__w"))).alias("__c"))
-    medians = ranking.quantiles(copies, [*keys, "draw"], value, {"m": 0.5})
+    medians = settle(ranking.quantiles(copies, [*keys, "draw"], value, {"m": 0.5}))
     point = medians.where("draw = 0").select(*keys, F.col("m").alias("median"))
     return ranking.with_quantiles(point, keys, interval(medians.where("draw > 0"), keys, "m"))
 
@@ -95,8 +96,10 @@ def cluster_draws(units: DataFrame, keys: Sequence[str], order: str, sums: Seque
 
 def cluster_boot(units: DataFrame, order: str, numerator: str, denominator: str, draws: int = 200, salt: str = "cluster", keys: Sequence[str] = ()) -> DataFrame:
     """Ratio of sums with the spread over resampled clusters; with one cluster only the ratio is known."""
+    units = settle(units)
     point = units.groupBy(*keys).agg(safe_rate(F.sum(numerator), F.sum(denominator)).alias("estimate"), F.count("*").alias("clusters"))
     drawn = cluster_draws(units, keys, order, [numerator, denominator], draws, salt).withColumn("r", safe_rate(F.col(numerator), F.col(denominator)))
+    drawn = settle(drawn)
     joined = ranking.with_quantiles(point, keys, interval(drawn, keys, "r"))
     several = F.col("clusters") > 1
     return joined.select(*keys, "estimate", "clusters", *[F.when(several, F.col(c)).alias(c) for c in ("boot_se", "ci95_low", "ci95_high")])
@@ -131,6 +134,7 @@ def block_boot(series: DataFrame, day: str, value: str, weights: Column, draws:
     drawn = block_positions(series, draws, block, salt, circular).join(indexed.select("position", value), "position").groupBy("draw").agg(
         F.sum(weights * F.col(value)).alias("b")
     )
+    drawn = settle(drawn)
     return ranking.with_quantiles(point, [], interval(drawn.withColumn("__k", F.lit(0)), ["__k"], "b").drop("__k"))
 
 
@@ -139,7 +143,8 @@ def multiplier_boot(influence: DataFrame, unit: str, phi: str, estimate: Column
     rows = influence.select(unit, phi, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     sums = rows.groupBy("draw").agg(F.sum(md5_sign(F.lit(salt), F.col("draw"), F.col(unit)) * F.col(phi)).alias("shift"))
     base = F.lit(estimate) if isinstance(estimate, (int, float)) else estimate
-    return interval(sums.withColumn("b", base + F.col("shift")).withColumn("__k", F.lit(0)), ["__k"], "b").drop("__k")
+    shifted = settle(sums.withColumn("b", base + F.col("shift")).withColumn("__k", F.lit(0)))
+    return interval(shifted, ["__k"], "b").drop("__k")
 
 
 def hier_boot(pairs: DataFrame, model: str, pair: str, calls_high: str, calls_low: str, draws: int = 200, salt: str = "hier") -> DataFrame:
@@ -161,6 +166,6 @@ def hier_boot(pairs: DataFrame, model: str, pair: str, calls_high: str, calls_lo
 
     rows = picked.join(pairs, [model, pair]).select(model, "draw", (resampled(calls_high) - resampled(calls_low)).alias("diff"))
     per_model = rows.groupBy(model, "draw").agg(F.avg("diff").alias("diff"))
-    means = per_model.groupBy("draw").agg(F.avg("diff").alias("effect"), F.count("*").alias("models"))
+    means = settle(per_model.groupBy("draw").agg(F.avg("diff").alias("effect"), F.count("*").alias("models")))
     point = means.where("draw = 0").select("effect", "models")
     return ranking.with_quantiles(point, [], interval(means.where("draw > 0").withColumn("__k", F.lit(0)), ["__k"], "effect").drop("__k"))

@@ -69,7 +69,7 @@ def cofiring_cohorts(buyers: DataFrame, min_weight: int = 3) -> DataFrame:
 
     A launch counts for a cohort when at least two members are among its first ten buyers.
     """
-    first = first_buyers(buyers)
+    first = settle(first_buyers(buyers))
     members = components(wallet_edges(first, min_weight))
     sizes = members.groupBy("component").agg(F.count("*").alias("cohort_size"))
     seen = first.join(members.withColumnRenamed("node", "wallet"), "wallet")
@@ -121,6 +121,7 @@ def touch_lift(outcomes: DataFrame, touched: DataFrame, value: str, ratio: int =
     ``outcomes``  mint, <value>. Controls are the untouched mints with the smallest key hashes: reproducible and
     independent of partitioning. The interval resamples mints with Poisson weights, one aggregate for all draws.
     """
+    outcomes, touched = settle(outcomes), settle(touched)
     treated = outcomes.join(touched, "mint", "left_semi").withColumn("side", F.lit(1))
     n = treated.agg(F.count("*")).scalar()
     pool = outcomes.join(touched, "mint", "left_anti").withColumn("__u", md5_uniform(F.lit(salt), F.col("mint"))).withColumn(
@@ -138,6 +139,6 @@ def touch_lift(outcomes: DataFrame, touched: DataFrame, value: str, ratio: int =
         here = F.col("side") == side
         return F.sum(F.when(here, w * F.col(value))) / F.sum(F.when(here, w))
 
-    lifts = drawn.groupBy("draw").agg(((mean(1) / mean(0) - 1) * 100).alias("lift_pct"), F.count_if(F.col("side") == 1).alias("n_treated"), F.count_if(F.col("side") == 0).alias("n_control"))
+    lifts = settle(drawn.groupBy("draw").agg(((mean(1) / mean(0) - 1) * 100).alias("lift_pct"), F.count_if(F.col("side") == 1).alias("n_treated"), F.count_if(F.col("side") == 0).alias("n_control")))
     interval = ranking.quantiles(lifts.where("draw > 0"), [], "lift_pct", {"ci95_low": 0.025, "ci95_high": 0.975})
     return ranking.with_quantiles(lifts.where("draw = 0").drop("draw"), [], interval)
