@@ -57,8 +57,9 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     out, todo = index.copy(), np.arange(len(index))
     while len(todo):
         left, right = out[todo] >> bits[todo], out[todo] & low[todo]
-        for turn in range(4):
-            left, right = right, left ^ (_mix64(right + key[todo] + np.uint64(0x9E3779B97F4A7C15) * np.uint64(turn + 1)) & low[todo])
+        for turn in range(1, 5):
+            constant = np.uint64(0x9E3779B97F4A7C15 * turn % 2**64)
+            left, right = right, left ^ (_mix64(right + key[todo] + constant) & low[todo])
         out[todo] = (left << bits[todo]) | right
         todo = todo[out[todo] >= size[todo]]
     return out.astype(np.int64)
