@@ -96,3 +96,8 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )
+
+
+def crc_fold(doc_id: Column, folds: int = 5) -> Column:
+    """The fold of an id: crc32 of its text, modulo ``folds``."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 from tidemark.llm.lines import drop_common_lines
 from tidemark.llm.mixing import mixed_counts
+from tidemark.llm.quality import scored_quality
+from tidemark.llm.simhash import near_duplicate_groups
 from tidemark.llm.tokens import tokenized
+from tidemark.llm.toxicity import scored_toxicity
 from tidemark.llm.urls import filter_urls, url_host, url_path
 from tidemark.llm.warc import archived_pages
 from tidemark.session import shared_folder
@@ -140,3 +143,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = filter_urls(captures, dated_lists(pages))
     stamps = ("fetched_at", "valid_from", "valid_to")
     return verdicts.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in stamps else F.col(c) for c in verdicts.columns])
+
+
+@query("op4_simhash_groups")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_duplicate_groups(table(spark, folder, "documents"), words=3)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op1_attention_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
+
+
+@query("op10_toxicity_models")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.5)
