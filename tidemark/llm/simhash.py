@@ -36,7 +36,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8)
-        counts += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(0)
+        counts += np.unpackbits(part, bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     bits = np.packbits(2 * counts > len(hashes), bitorder="little")
     return int(bits.view("<i8")[0])
 
