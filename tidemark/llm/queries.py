@@ -15,6 +15,7 @@ from tidemark.llm.simhash import near_duplicate_groups
 from tidemark.llm.tokens import tokenized
 from tidemark.llm.toxicity import scored_toxicity
 from tidemark.llm.urls import filter_urls, url_host, url_path
+from tidemark.llm.vectors import nearest
 from tidemark.llm.warc import archived_pages
 from tidemark.session import shared_folder
 
@@ -159,3 +160,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity_models")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return scored_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.5)
+
+
+@query("op2_graph_neighbours")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), k=10, every=100)
