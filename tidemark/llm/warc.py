@@ -81,11 +81,11 @@ def with_first_copies(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
 
     Only digests and keys are grouped; a payload shared by a third of all pages is one counted group, never a list.
     """
-    pages = pages.withColumn("digest", F.sha2("payload", 256)).dropDuplicates(["key", "digest"])
-    facts = pages.where(F.length("payload") >= min_bytes).select("key", "digest")
+    pages = pages.withColumn("digest", F.sha2("payload", 256))
+    facts = pages.where(F.length("payload") >= min_bytes).select("key", "digest").distinct()
     first = facts.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = facts.join(first.select("digest", "first"), "digest").where("key != first")
-    return pages.join(later.withColumnRenamed("first", "refers_to"), ["key", "digest"], "left")
+    return pages.dropDuplicates(["key", "digest"]).join(later.withColumnRenamed("first", "refers_to"), ["key", "digest"], "left")
 
 
 def write_archive(pages: DataFrame, path: str, segment_bytes: int = 1 << 16, chunk_bytes: int = 1 << 14, records_per_file: int = 2048) -> None:
