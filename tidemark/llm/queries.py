@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
+from tidemark.llm.leaks import leaks
 from tidemark.llm.lines import drop_common_lines
 from tidemark.llm.mixing import mixed_counts
 from tidemark.llm.quality import scored_quality
@@ -165,3 +166,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_graph_neighbours")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), k=10, every=100)
+
+
+@query("op8_benchmark_leaks")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
