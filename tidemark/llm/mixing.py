@@ -138,7 +138,8 @@ def mixed_spans(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     hi = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
     parts = parts.select("k1", "k2", "source", "block", lo.alias("lo"), hi.alias("hi"), F.xxhash64("source", F.col("source").isNull()).alias("stream"))
     slots = slots.withColumn("stream", F.xxhash64("source", F.col("source").isNull()))
-    spans = parts.join(slots.drop("source"), ["stream", "block"]).select("k1", "k2", "shard", "source", "epoch", "block", "lo", "hi")
+    # both sides grow with the corpus, and Spark can't know how far a run of slots explodes: never broadcast
+    spans = parts.join(slots.drop("source").hint("merge"), ["stream", "block"]).select("k1", "k2", "shard", "source", "epoch", "block", "lo", "hi")
     documents = sized.join(plan.select(F.col("source").alias("__source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     return documents, spans
 
@@ -161,12 +162,14 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     order; ``n_chars``, where there is one, is recounted. Documents that the mix leaves out are gone, documents that
     it takes twice are there twice. Equal rows of ``docs`` are one row here, with what the mix takes of any of them.
     """
-    _, spans = mixed_spans(docs, doc_id=doc_id, text=text, source=source, **options)
+    documents, spans = mixed_spans(docs, doc_id=doc_id, text=text, source=source, **options)
     used = spans.groupBy("k1", "k2", "epoch").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("parts"))
-    used = used.select("k1", "k2", "epoch", F.col("parts").alias("__parts"))
+    used = used.select(F.col("k1").alias("__use_1"), F.col("k2").alias("__use_2"), F.col("parts").alias("__parts"))
     k1, k2 = row_keys(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`"))
-    keyed = docs.dropDuplicates([doc_id, source, text]).withColumns({"__k1": k1, "__k2": k2})
-    joined = keyed.join(used, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")))
+    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    if not documents.where("n_rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["__k1", "__k2"])
+    joined = keyed.join(used, (F.col("__k1") == F.col("__use_1")) & (F.col("__k2") == F.col("__use_2")))
     body = F.col(f"`{text}`")
     whole = F.aggregate("__parts", F.lit(0).cast("long"), lambda n, p: n + p["hi"] - p["lo"]) == word_count(body)
     words = F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
