@@ -162,7 +162,8 @@ def links(prints: DataFrame) -> DataFrame:
             held_keys, held = keys[cut:], values[cut:]
         yield within(held_keys, held)
 
-    keyed = prints.select("fp").mapInArrow(explode, "key long, fp long")
+    # a key set is some 150 rows, so the few fingerprints of a file are dealt out before they are multiplied
+    keyed = prints.select("fp").repartition(partitions(prints.sparkSession)).mapInArrow(explode, "key long, fp long")
     placed = keyed.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key")
     return placed.mapInArrow(compare, "a long, b long").distinct()
 
