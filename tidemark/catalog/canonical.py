@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import roles
 from tidemark.catalog.market import POST_EVENT
-from tidemark.catalog.registry import Tables, query, spread
+from tidemark.catalog.registry import Tables, query
 from tidemark.operators import aggregates, reshape
 from tidemark.plans import canonical, contracts, market
 from tidemark.session import settle
@@ -111,13 +111,13 @@ def decoded_swap_table(t: Tables) -> DataFrame:
 
 def raw_horizons(t: Tables) -> DataFrame:
     rows = market.post_event_activity(roles.tokens(t), roles.trades(t))
-    return rows.where("swap_count > 2").select(
+    return rows.select(
         text(F.col("mint")).alias("mint"), F.date_format("graduated_at", "yyyy-MM-dd HH:mm:ss").alias("graduated_at"), text(F.col("horizon_days")).alias("horizon_days"), text(F.col("swap_count")).alias("decoded_trade_count"),
         F.when(F.col("active_traders") > F.col("horizon_days"), "ok").otherwise("page_limit_reached_lower_bound").alias("source_window_status"))
 
 
 @query("coverage_by_token", f"""WITH {OUT}, grad AS (SELECT l.mint, o_orderdate AS graduated_at FROM lau l JOIN best b ON b.mint = l.mint WHERE b.st = 'F'), a AS ({POST_EVENT}),
-  h AS (SELECT CAST(mint AS VARCHAR) AS mint, count(*) AS n, count(CASE WHEN active_traders > horizon_days THEN 1 END) AS c FROM a WHERE swap_count > 2 GROUP BY 1), w AS (SELECT CAST(mint AS VARCHAR) AS mint, count(*) AS n FROM a GROUP BY 1)
+  h AS (SELECT CAST(mint AS VARCHAR) AS mint, count(*) AS n, count(CASE WHEN active_traders > horizon_days THEN 1 END) AS c FROM a GROUP BY 1), w AS (SELECT CAST(mint AS VARCHAR) AS mint, count(*) AS n FROM a GROUP BY 1)
   SELECT 'v1' AS dataset_version, 'sol:main' AS chain_id, 'launchpad' AS platform_id, 'sol:main/token:' || g.mint AS token_id, g.mint, g.graduated_at, m.c_custkey IS NOT NULL AS metadata_available, coalesce(m.c_nationkey > 5, false) AS pool_address_available, coalesce(w.n, 0)::TINYINT AS rpc_windows_available,
   coalesce(h.n, 0)::TINYINT AS decoded_windows_available, e.u IS NOT NULL AS decoded_swaps_available, coalesce(h.c, 0)::TINYINT AS decoded_windows_complete, CASE WHEN h.n IS NULL THEN 'no_decoded_swap_data' WHEN h.n = 3 AND h.c = 3 THEN 'decoded_complete_1_7_30d' ELSE 'decoded_lower_bound_page_capped' END AS coverage_status
   FROM grad g LEFT JOIN customer m ON CAST(m.c_custkey AS VARCHAR) = g.mint AND m.c_acctbal > 0 LEFT JOIN w ON w.mint = g.mint LEFT JOIN h ON h.mint = g.mint LEFT JOIN (SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events) e ON e.u = g.mint""")
@@ -138,14 +138,14 @@ POOL = roles.hex_address_sql("o_orderkey")
 def direct_tables(t: Tables) -> dict[str, DataFrame]:
     """Orders as launches (token = customer, pool = order), line items as pool events."""
     blank = F.lit("")
-    launches = spread(t.orders).select(
+    launches = t.orders.select(
         F.upper(roles.hex_address(F.col("o_custkey"))).alias("token_id"), text(F.col("o_orderkey")).alias("block_number"), F.lit("3").alias("log_index"), F.concat(F.lit("TX"), "o_orderkey").alias("transaction_hash"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_timestamp_utc"), roles.hex_address(F.col("o_orderkey")).alias("pool_id"), F.col("o_orderpriority").alias("token_admin"), F.lit("1e18").alias("extensions_supply_raw"),
         blank.alias("event_id"), F.lit("0xpair").alias("paired_token"), F.lit("newer").alias("version_class"), *[blank.alias(c) for c in ("msg_sender", "starting_tick", "pool_hook", "pool_hook_label", "locker", "mev_module", "mev_module_label")],
     )
     log = F.col("l_linenumber") + F.col("l_suppkey") * 10
     unix = text(F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
-    items = spread(t.lineitem)
+    items = t.lineitem
     opened, moved = items.where("l_returnflag = 'A'"), items.where("l_returnflag <> 'A'")
     base = [roles.hex_address(F.col("l_orderkey")).alias("pool_id"), unix.alias("block_timestamp_unix"), F.concat(F.lit("ltx"), "l_orderkey", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("transaction_hash"), text(log).alias("log_index"), text(F.col("l_orderkey")).alias("block_number")]
     null = F.lit(None).cast("string")
@@ -204,7 +204,7 @@ def graduating_tables(t: Tables) -> dict[str, DataFrame]:
     """Orders as launches; the order's lifecycle comes from its customer segment; mappings and history cover subsets."""
     addr = roles.hex_address(F.col("o_orderkey"))
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
-    launches = spread(t.orders).select(
+    launches = t.orders.select(
         F.upper(addr).alias("token_address"), text(F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("launch_time_unix"), F.concat(F.lit("S"), "o_custkey").alias("symbol"), F.lit("n").alias("name"), text(F.col("o_custkey")).alias("creator"),
         F.lit("1000").alias("total_supply_raw"), text(F.col("o_orderkey")).alias("request_id"), F.concat(F.lit("tx"), "o_orderkey").alias("transaction_hash"), F.lit("1").alias("log_index"), text(F.col("o_orderkey")).alias("block_number"), F.lit("0xm").alias("manager_address"),
         F.lit("v2").alias("manager_version"), F.lit("5").alias("launch_fee_raw"))
@@ -412,19 +412,23 @@ def window_coverage(t: Tables) -> DataFrame:
 
 
 @query("import_coverage", f"""WITH {roles.HORIZONS}, m AS (SELECT o_custkey AS unit, min(o_orderkey) AS lo FROM orders GROUP BY 1), g AS (SELECT unit, horizon_days, lo, lo + horizon_days * 100 + 2000 AS hi FROM m CROSS JOIN horizons),
-  c AS (SELECT g.unit, g.horizon_days, count(o_orderkey) AS observed_rows FROM g LEFT JOIN orders ON o_custkey = unit AND o_orderkey BETWEEN lo AND hi AND o_orderstatus = 'P' GROUP BY 1, 2)
+  c AS (SELECT g.unit, g.horizon_days, count(o_orderkey) AS observed_rows FROM g LEFT JOIN orders ON o_custkey = unit AND o_orderkey BETWEEN lo AND hi GROUP BY 1, 2)
   SELECT horizon_days, count(*) AS units, count(CASE WHEN observed_rows > 0 THEN 1 END) AS units_with_rows, CAST(sum(observed_rows) AS BIGINT) AS rows, avg((observed_rows > 0)::INT) AS share_with_rows FROM c GROUP BY 1""", "share_with_rows")
 def import_coverage(t: Tables) -> DataFrame:
     manifest = t.orders.groupBy(F.col("o_custkey").alias("unit")).agg(F.min("o_orderkey").alias("lo"))
     grid = reshape.expected_grid(manifest, "lo", 100)
-    rows = t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("block"))
+    rows = t.orders.select(F.col("o_custkey").alias("unit"), F.col("o_orderkey").alias("block"))
     return contracts.coverage_share(contracts.import_coverage(grid, rows, "unit", "block", "lo", "cutoff_block"))
 
 
-@query("rebuild_check", "SELECT count(DISTINCT l_suppkey) AS groups, 0.0::DOUBLE AS largest_gap, 0 AS violations, true AS passed FROM lineitem", "largest_gap")
+@query("rebuild_check", """WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2), r AS (SELECT l_suppkey, sum(n * m) / sum(n) AS rebuilt FROM c GROUP BY 1),
+  p AS (SELECT l_suppkey, avg(l_quantity) + CASE WHEN l_suppkey % 17 = 0 THEN l_suppkey / 64.0::DOUBLE ELSE 0 END AS reported FROM lineitem WHERE l_suppkey % 13 <> 0 GROUP BY 1), g AS (SELECT abs(rebuilt - reported) AS gap FROM r FULL JOIN p USING (l_suppkey))
+  SELECT count(*) AS groups, max(gap) AS largest_gap, count(CASE WHEN gap IS NULL OR gap > 1e-9 THEN 1 END) AS violations, count(CASE WHEN gap IS NULL OR gap > 1e-9 THEN 1 END) = 0 AS passed FROM g""", "largest_gap")
 def rebuild_check(t: Tables) -> DataFrame:
+    # some suppliers' reports are off and some are missing: both are violations
     cells = t.lineitem.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("m"))
-    reported = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_quantity").alias("reported"))
+    off = F.when(F.col("l_suppkey") % 17 == 0, F.col("l_suppkey") / 64.0).otherwise(0.0)
+    reported = t.lineitem.where("l_suppkey % 13 <> 0").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("reported")).withColumn("reported", F.col("reported") + off)
     return contracts.check_rebuild(cells, reported, ["l_suppkey"], "n", "m", "reported")
 
 

@@ -31,11 +31,6 @@ class Tables:
         return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before costly per-row work: a table of one small file arrives as a single split."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 @dataclass(frozen=True)
 class Entry:
     run: Callable[[SparkSession, str], DataFrame]

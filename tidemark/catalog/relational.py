@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog import roles
-from tidemark.catalog.registry import Tables, query, spread
+from tidemark.catalog.registry import Tables, query
 from tidemark.functions import logs, nested, wide
 from tidemark.functions import scalars as S
 from tidemark.operators import aggregates, filters, joins, ranking, reshape, sets, windows
@@ -73,7 +75,7 @@ def chart_child_sets(t: Tables) -> DataFrame:
 @query("aliased_import", f"""SELECT {roles.hex_address_sql('l_partkey')} AS pool_id, {roles.hex_address_sql('l_suppkey')} AS sender, l_orderkey AS block_number, epoch(l_shipdate)::BIGINT AS timestamp_unix,
   strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS timestamp_utc, 'tx-' || l_orderkey AS transaction_hash, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS amount0_raw, '-' || CAST(l_quantity AS BIGINT) || '000' AS amount1_raw FROM lineitem""")
 def aliased_import(t: Tables) -> DataFrame:
-    return readers.import_swaps(spread(t.lineitem).select(
+    return readers.import_swaps(t.lineitem.select(
         F.upper(roles.hex_address(F.col("l_partkey"))).alias("poolId"), roles.hex_address(F.col("l_suppkey")).alias("trader"), F.col("l_orderkey").cast("string").alias("blockNumber"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_time"), F.concat(F.lit("tx-"), "l_orderkey").alias("tx_hash"), F.col("l_quantity").cast("string").alias("amount0"),
         F.concat(F.lit("-"), F.col("l_quantity").cast("bigint").cast("string"), F.lit("e3")).alias("amount1Raw"),
@@ -167,7 +169,7 @@ def raw_logs(t: Tables) -> DataFrame:
         F.lit("0x"), word(F.col("l_orderkey")), negative, word(F.col("l_suppkey")), word(F.lit(160)), word(F.col("l_linenumber")),
         word(F.length(hexed) / 2), padded,
     )
-    return spread(t.lineitem).select(
+    return t.lineitem.select(
         F.lit(SIGNATURE).alias("topic0"), F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("l_partkey")), 64, "0")).alias("topic1"), data.alias("data"),
         F.concat(F.lit("tx"), "l_orderkey").alias("transaction_hash"), F.col("l_linenumber").alias("log_index"), F.col("l_shipdate").alias("block_time"),
     )
@@ -464,7 +466,7 @@ def coalesced_sources(t: Tables) -> DataFrame:
 
 
 PAIRING = """x AS (SELECT o_orderkey AS block, o_orderkey AS id, o_orderpriority AS pair, o_orderstatus AS st FROM orders),
-tr AS (SELECT * FROM x WHERE st = 'P' AND block > 7500), co AS (SELECT * FROM x WHERE st = 'F' AND block <= 7500),
+era AS (SELECT max(block) // 2 AS last FROM x), tr AS (SELECT * FROM x WHERE st = 'P' AND block > (SELECT last FROM era)), co AS (SELECT * FROM x WHERE st = 'F' AND block <= (SELECT last FROM era)),
 tn AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY block) AS n FROM tr), cn AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY block DESC) AS n FROM co),
 m AS (SELECT tn.id, tn.block, tn.pair, cn.id AS control_id, cn.block AS control_block FROM tn LEFT JOIN cn ON cn.pair = tn.pair AND cn.n = tn.n),
 l2 AS (SELECT id, block, pair, row_number() OVER (ORDER BY block) AS n FROM m WHERE control_id IS NULL), f2 AS (SELECT id, block, row_number() OVER (ORDER BY block DESC) AS n FROM co WHERE id NOT IN (SELECT control_id FROM m WHERE control_id IS NOT NULL))"""
@@ -474,7 +476,9 @@ l2 AS (SELECT id, block, pair, row_number() OVER (ORDER BY block) AS n FROM m WH
   UNION ALL SELECT l2.id, l2.block, l2.pair, f2.id, f2.block, CASE WHEN f2.id IS NULL THEN 'unmatched' ELSE 'fallback' END, abs(f2.block - l2.block) FROM l2 LEFT JOIN f2 ON f2.n = l2.n""")
 def matched_without_replacement(t: Tables) -> DataFrame:
     x = t.orders.select(F.col("o_orderkey").alias("block"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("pair"), F.col("o_orderstatus").alias("st"))
-    return joins.match_without_replacement(x.where("st = 'P' AND block > 7500").drop("st"), x.where("st = 'F' AND block <= 7500").drop("st"), "pair", "block", "id")
+    # the older half of the blocks is the control era, whatever the size of the table
+    last = x.agg(F.expr("max(block) div 2")).scalar()
+    return joins.match_without_replacement(x.where((F.col("st") == "P") & (F.col("block") > last)).drop("st"), x.where((F.col("st") == "F") & (F.col("block") <= last)).drop("st"), "pair", "block", "id")
 
 
 @query("nearest_cohort", """WITH s AS (SELECT min(o_orderkey) AS b FROM orders WHERE o_totalprice > 400000)
@@ -681,11 +685,14 @@ def pivoted_sides(t: Tables) -> DataFrame:
     return reshape.pivot_wide(t.lineitem, ["l_suppkey"], "l_returnflag", ["A", "N", "R"], "l_quantity")
 
 
-@query("creator_day_grid", """WITH c AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-01-31' GROUP BY 1, 2), k AS (SELECT DISTINCT o_custkey FROM c), d AS (SELECT CAST(unnest(generate_series(DATE '1998-01-01', DATE '1998-01-31', INTERVAL 1 DAY)) AS DATE) AS day)
+@query("creator_day_grid", """WITH x AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT max(day) AS high FROM x), c AS (SELECT o_custkey, day, count(*) AS n FROM x, e WHERE day > high - 31 GROUP BY 1, 2), k AS (SELECT DISTINCT o_custkey FROM c), d AS (SELECT high - CAST(unnest(range(31)) AS INT) AS day FROM e)
   SELECT k.o_custkey, d.day, coalesce(n, 0) AS n FROM k CROSS JOIN d LEFT JOIN c ON c.o_custkey = k.o_custkey AND c.day = d.day""")
 def creator_day_grid(t: Tables) -> DataFrame:
-    month = t.orders.withColumn("day", F.to_date("o_orderdate")).where(F.col("day").between("1998-01-01", "1998-01-31"))
-    return reshape.dense_counts(month.select("o_custkey", "day"), "o_custkey", "day", "1998-01-01", "1998-01-31")
+    # the window is the last 31 days of the table
+    high = t.orders.agg(F.max(F.to_date("o_orderdate"))).first()[0]
+    low = high - datetime.timedelta(days=30)
+    month = t.orders.withColumn("day", F.to_date("o_orderdate")).where(F.col("day") >= F.lit(low))
+    return reshape.dense_counts(month.select("o_custkey", "day"), "o_custkey", "day", str(low), str(high))
 
 
 @query("expected_grid", f"WITH {roles.HORIZONS} SELECT o_custkey, launch, horizon_days, launch + horizon_days * 43200 + 2000 AS cutoff_block FROM (SELECT o_custkey, min(o_orderkey) AS launch FROM orders GROUP BY 1) CROSS JOIN horizons")
@@ -694,9 +701,11 @@ def expected_grid(t: Tables) -> DataFrame:
     return reshape.expected_grid(manifest, "launch", 43_200)
 
 
-@query("rank_quantile_bins", "SELECT c_custkey, CAST(greatest(0, ((r - 1) * 10 + n - 2) // (n - 1) - 1) AS INT) AS decile FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS r, count(*) OVER () AS n FROM customer)")
+@query("rank_quantile_bins", """WITH x AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_acctbal >= 0) SELECT c_custkey, CAST(greatest(0, ((r - 1) * 10 + n - 2) // (n - 1) - 1) AS INT) AS decile
+  FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS r, count(*) OVER () AS n FROM x) UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_acctbal < 0""")
 def rank_quantile_bins(t: Tables) -> DataFrame:
-    return reshape.rank_bins(t.customer, "c_nationkey", 10, "c_custkey", "decile").select("c_custkey", "decile")
+    valued = t.customer.select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey")).alias("value"))
+    return reshape.rank_bins(valued, "value", 10, "c_custkey", "decile").select("c_custkey", "decile")
 
 
 @query("global_positions", "SELECT l.event_id, row_number() OVER (ORDER BY value, event_id) AS row_index FROM events l")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import responses as R
 from tidemark.catalog.estimators import poisson_sql, uniform_sql
-from tidemark.catalog.registry import Tables, query, spread
+from tidemark.catalog.registry import Tables, query
 from tidemark.session import settle
 
 GOLD = R.Gold(
@@ -22,7 +22,7 @@ def registry(t: Tables) -> DataFrame:
     bits = F.lpad(F.bin(F.col("o_custkey") % 16), 4, "0")
     has = lambda i, e: F.when(F.substring(bits, i + 1, 1) == "1", F.lit(e))
     base = F.when(F.col("o_orderkey") % 3 == 0, F.lit("M1;M2")).otherwise(F.lit("M0;M1;M2;M3"))
-    return spread(t.orders).select(
+    return t.orders.select(
         F.col("o_orderkey").alias("call_id"), F.col("o_orderstatus").alias("model"), (F.col("o_orderkey") % 8).alias("rung"), F.when(F.col("o_orderkey") % 5 == 0, "canonical").otherwise("factorial").alias("condition_family"),
         bits.alias("factorial_bits"), F.concat_ws(";", base, *[has(i, e) for i, e in enumerate(R.FACTORS)]).alias("present_evidence_ids"),
         F.when(F.col("o_orderpriority") == "5-LOW", "parse_failed").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "provider_error").otherwise("ok").alias("status"),
@@ -127,12 +127,7 @@ def response_matched_pairs(t: Tables) -> DataFrame:
 
 @query("response_matched_effect")
 def response_matched_effect(t: Tables) -> DataFrame:
-    # the first ten calls of a cell are its registered calls
-    from tidemark.operators.filters import top_rows
-
-    cells = R._factorial(scores(t)).where("status = 'ok'")
-    ten = top_rows(cells, ["model", "factorial_bits"], [F.asc("call_id")], 10)
-    return R.matched_effects(ten, "model", 1, "correct_boundary", DRAWS)
+    return R.matched_effects(R._factorial(scores(t)).where("status = 'ok'"), "model", 1, "correct_boundary", DRAWS)
 
 
 @query("response_heterogeneity", f"""WITH {SCORES}, {long_sql()}, {FACT}, mb AS ({BITS}), e AS (SELECT panel, factor, metric, avg(CASE WHEN cell = 'b1' THEN value END) - avg(CASE WHEN cell = 'b0' THEN value END) AS effect FROM mb GROUP BY 1, 2, 3)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,19 +152,27 @@ def multiplier_boot(influence: DataFrame, unit: str, phi: str, estimate: Column
 def hier_boot(pairs: DataFrame, model: str, pair: str, calls_high: str, calls_low: str, draws: int = 200, salt: str = "hier") -> DataFrame:
     """Two-stage bootstrap of a paired contrast: pairs are drawn inside each model, then calls inside both cells.
 
-    ``pairs`` has one row per (model, pair) with the two cells' call values as arrays (a registered design has a few
-    calls per cell). Models are fixed and weigh the same. ``pair`` is a 0-based index within the model.
+    ``pairs`` has one row per (model, pair) with the two cells as arrays of (v, n): distinct call values and their
+    counts, so a cell of any number of calls is a short array. Calls are redrawn by one multinomial draw over the counts.
+    Models are fixed and weigh the same. ``pair`` is a 0-based index within the model.
     """
     sizes = pairs.groupBy(model).agg(F.count("*").alias("n"))
     slots = pairs.join(sizes, model).select(model, "n", F.col(pair).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
     u = md5_uniform(F.lit(salt), F.col(model), F.col("draw"), F.col("slot"))
     picked = slots.select(model, "draw", "slot", F.when(F.col("draw") == 0, F.col("slot")).otherwise(F.floor(u * F.col("n"))).cast("bigint").alias(pair))
 
+    @F.pandas_udf("double")
+    def redrawn(seed: pd.Series, draw: pd.Series, values: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for s, d, v, n in zip(seed, draw, values, counts):
+            n = np.asarray(n, np.int64)
+            drawn = n if d == 0 else np.random.Generator(np.random.Philox(s % 2**64)).multinomial(n.sum(), n / n.sum())
+            out.append(float(drawn @ np.asarray(v, float)) / n.sum())
+        return pd.Series(out, dtype=float)
+
     def resampled(cell: str) -> Column:
-        values = F.col(cell)
-        at = lambda i: F.floor(md5_uniform(F.lit(salt), F.lit(cell), F.col(model), F.col("draw"), F.col("slot"), i) * F.size(values)).cast("int")
-        drawn = F.transform(values, lambda v, i: F.when(F.col("draw") == 0, v).otherwise(F.get(values, at(i))))
-        return F.aggregate(drawn, F.lit(0.0), lambda acc, v: acc + v) / F.size(values)
+        seed = F.xxhash64(F.lit(salt), F.lit(cell), model, "draw", "slot")
+        return redrawn(seed, F.col("draw"), F.col(cell)["v"], F.col(cell)["n"])
 
     rows = picked.join(pairs, [model, pair]).select(model, "draw", (resampled(calls_high) - resampled(calls_low)).alias("diff"))
     per_model = rows.groupBy(model, "draw").agg(F.avg("diff").alias("diff"))

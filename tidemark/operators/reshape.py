@@ -78,10 +78,12 @@ def expected_grid(manifest: DataFrame, launch_block: str, blocks_per_day: int, s
 def rank_bins(df: DataFrame, value: str, q: int, tie: str, name: str) -> DataFrame:
     """q bins of the rank with ties broken by ``tie``: bin = ceil((r-1)*q/(n-1)) - 1 and 0 for the first row.
 
-    Not ``ntile``: the bin sizes differ. Integer arithmetic, so no edge depends on rounding.
+    Not ``ntile``: the bin sizes differ. Integer arithmetic, so no edge depends on rounding. Rows without a value
+    stay, with a null bin.
     """
     indexed = ranking.global_index(df, value, tie, name="__r")
     size = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("n")).scalar()
     joined = indexed.withColumn("__n", size)
     upper = F.expr(f"((__r - 1) * {int(q)} + greatest(__n - 1, 1) - 1) div greatest(__n - 1, 1)")
-    return joined.withColumn(name, F.greatest(F.lit(0), upper - 1).cast("int")).drop("__r", "__n")
+    binned = joined.withColumn(name, F.greatest(F.lit(0), upper - 1).cast("int")).drop("__r", "__n")
+    return binned.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("int")))

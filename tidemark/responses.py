@@ -200,9 +200,10 @@ def matched_effects(scores: DataFrame, model: str, factor: int, metric: str, dra
         model, "call_id", F.col(metric).cast("double").alias("v"), _bit(factor).alias("bit"),
         F.concat(F.substring("factorial_bits", 1, factor), F.substring("factorial_bits", factor + 2, 3 - factor)).alias("background"),
     )
-    # calls of one cell: a registered design has ten
-    values = lambda b: F.transform(F.sort_array(F.collect_list(F.when(F.col("bit") == b, F.struct("call_id", "v")))), lambda x: x["v"])
-    pairs = rows.groupBy(model, "background").agg(values("1").alias("high"), values("0").alias("low")).where((F.size("high") > 0) & (F.size("low") > 0))
+    # a cell of any number of calls is its distinct scores and how often each occurs
+    counted = rows.groupBy(model, "background", "bit", "v").agg(F.count("*").alias("n"))
+    values = lambda b: F.sort_array(F.collect_list(F.when(F.col("bit") == b, F.struct("v", "n"))))
+    pairs = counted.groupBy(model, "background").agg(values("1").alias("high"), values("0").alias("low")).where((F.size("high") > 0) & (F.size("low") > 0))
     indexed = pairs.withColumn("pair", F.conv("background", 2, 10).cast("bigint"))
     return resampling.hier_boot(indexed, model, "pair", "high", "low", draws)
 
