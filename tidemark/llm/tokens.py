@@ -13,56 +13,153 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import partitions
+from tidemark.llm.hashing import WordHasher
 from tidemark.session import settle
 
-#: white space that is not one blank or line end between two other characters
-ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z")
+#: classes of bytes: 1 blank, 2 line end, 3 other white space
+BYTES = np.zeros(256, np.uint8)
+BYTES[0x20], BYTES[0x0A] = 1, 2
+BYTES[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = 3
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class PieceEncoder:
-    """Encodes whole texts with a byte-level BPE tokenizer of the tokenizers library, remembering pieces.
+    """Encodes whole texts with a byte-level BPE tokenizer of the tokenizers library, remembering words.
 
-    A byte-level BPE splits a text at single blanks and line ends before it merges, so a blank with the word behind
-    it has the same ids in any text. New pieces are encoded by the library, strung together; known ones are looked
-    up. Texts with any other white space, whose split depends on more than the piece, go to the library whole. The
-    memory is emptied at ``most`` pieces, which changes nothing but the speed.
+    A byte-level BPE cuts a text at single blanks and line ends before it merges, so a word with the blank or line
+    end before it has the same ids in any text. New words are encoded by the library, strung together; known ones
+    are looked up by a 128-bit hash, whole batches at a time. Texts with other or repeated white space, whose cut
+    depends on more than the word, go to the library whole. A full memory is emptied, which costs only time.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, slots: int = 1 << 21) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        # bytes of text behind each id: a character of a byte-level token is a byte
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.width[i] = len(name)
+        self.hashers = [WordHasher(factor, seed) for seed, factor in enumerate(FACTORS)]
+        self.kinds = np.random.default_rng(7).integers(1, 2**63, 3, dtype=np.uint64)
+        self._reserve(slots)
+
+    def _reserve(self, slots: int) -> None:
+        self.slots = slots
+        self.keys = [np.zeros(slots, np.uint64) for _ in FACTORS]
+        self.at, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.ids, self.n_ids, self.n_words = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def _forget(self, words: int) -> None:
+        """Empty the memory, and make it larger if one group alone has more ``words`` than it should hold."""
+        while words > 0.6 * self.slots:
+            self._reserve(2 * self.slots)
+        for keys in self.keys:
+            keys.fill(0)
+        self.n_ids = self.n_words = 0
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        blank = [p for p in pieces if p[:1] == " "]
-        for p in pieces - set(blank):
-            self.known[p] = self._ids(p)
-        for at in range(0, len(blank), 2000):
-            part = blank[at : at + 2000]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, starts = np.array(found.ids, "<u4").tobytes(), np.array([a for a, _ in found.offsets])
-            cuts = np.searchsorted(starts, np.cumsum([0, *map(len, part)])).tolist()
-            for p, a, b in zip(part, cuts, cuts[1:]):
-                self.known[p] = ids[4 * a : 4 * b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; null as empty."""
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            pieces = [None if ODD_SPACE.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in (x or "" for x in texts[at : at + 64])]
-            new = set().union(*filter(None, pieces)) - self.known.keys()
-            if new:
-                if len(self.known) > self.most:
-                    self.known.clear()
-                    new = set().union(*filter(None, pieces))
-                self._learn(new)
-            known = self.known
-            out += [b"".join([known[x] for x in p]) if p is not None else self._ids(t) for p, t in zip(pieces, texts[at : at + 64])]
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The slot of each word, or of the free place where it belongs, as -1 - slot."""
+        slot = (h1 >> np.uint64(1)).astype(np.int64) & (self.slots - 1)
+        out, todo = np.empty(len(h1), np.int64), np.arange(len(h1))
+        while len(todo):
+            s, k1 = slot[todo], self.keys[0][slot[todo]]
+            free = k1 == 0
+            hit = (k1 == h1[todo]) & (self.keys[1][s] == h2[todo])
+            out[todo[hit]], out[todo[free]] = s[hit], -1 - s[free]
+            todo = todo[~(hit | free)]
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+        return out
+
+    def _learn(self, text: bytes, begin: np.ndarray, end: np.ndarray, kind: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        pick = np.unique(h1, return_index=True)[1]
+        for before, members in ((b" ", pick[kind[pick] == 1]), (b"\n", pick[kind[pick] != 1])):
+            for part in np.array_split(members, max(1, len(members) // 1000)):
+                if not len(part):
+                    continue
+                pieces = [before + text[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())]
+                ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in pieces])) + 1
+                first = np.concatenate([[0], cuts[:-1]])
+                # the first word of a text has no line end before it, which is an id of its own
+                bare = kind[part] == 0
+                while self.n_ids + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+                self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+                for i, a, n in zip(part.tolist(), (self.n_ids + first + bare).tolist(), (cuts - first - bare).tolist()):
+                    slot = int(h1[i] >> np.uint64(1)) & (self.slots - 1)
+                    while self.keys[0][slot]:
+                        slot = (slot + 1) & (self.slots - 1)
+                    self.keys[0][slot], self.keys[1][slot], self.at[slot], self.size[slot] = h1[i], h2[i], a, n
+                self.n_ids += len(ids)
+                self.n_words += len(part)
+
+    def encode(self, texts: list[str | None], most: int = 1 << 18) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; null as empty.
+
+        Taken in groups of about ``most`` characters, which bounds the memory; a longer text is a group of its own.
+        """
+        out, group, held = [], [], 0
+        for t in texts:
+            group.append(t)
+            held += len(t or "")
+            if held >= most:
+                out += self._encode_group(group)
+                group, held = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain: list[int] = []
+        for i, t in enumerate(texts):
+            if t:
+                if len(t) <= 1 << 22 and (t.isascii() or not WIDE_SPACE.search(t)):
+                    plain.append(i)
+                else:
+                    out[i] = self._ids(t)
+        if not plain:
+            return out
+        parts = [texts[i].encode() for i in plain]
+        text = b"\n".join([*parts, b""])
+        raw = np.frombuffer(text, np.uint8)
+        marks = BYTES[raw]
+        ends_of_texts = np.cumsum([len(x) + 1 for x in parts]) - 1
+        end = np.flatnonzero((marks == 1) | (marks == 2))
+        begin = np.concatenate([[0], end[:-1] + 1])
+        of = np.searchsorted(ends_of_texts, end)
+        odd = np.zeros(len(parts), bool)
+        odd[of[begin == end]] = True
+        odd[np.searchsorted(ends_of_texts, np.flatnonzero(marks == 3))] = True
+        for j in np.flatnonzero(odd).tolist():
+            out[plain[j]] = self._ids(texts[plain[j]])
+        kind = np.where(marks[begin - 1] == 1, 1, 2)
+        kind[0] = 0
+        kind[1:][of[1:] != of[:-1]] = 0
+        keep = ~odd[of]
+        begin, end, kind, of = begin[keep], end[keep], kind[keep], of[keep]
+        if not len(begin):
+            return out
+        h1, h2 = (hashed(raw, begin, end, self.kinds[kind]) for hashed in self.hashers)
+        slot = self._find(h1, h2)
+        if (new := slot < 0).any():
+            if self.n_words + int(new.sum()) > 0.6 * self.slots:
+                self._forget(len(slot))
+                new[:] = True
+            self._learn(text, begin[new], end[new], kind[new], h1[new], h2[new])
+            slot = self._find(h1, h2)
+        size = self.size[slot].astype(np.int64)
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        cuts = np.append((ends - size)[first], ends[-1]).tolist()
+        for j, a, b in zip(of[first].tolist(), cuts, cuts[1:]):
+            out[plain[j]] = flat[4 * a : 4 * b]
         return out
 
 
@@ -102,8 +199,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         coder, at = encoder(where), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
                 ids = coder.encode(part.column("text").to_pylist())
                 lengths = np.array([len(x) // 4 + 1 for x in ids], np.int32)
                 flat = np.frombuffer(end.join([*ids, b""]), "<i4")
