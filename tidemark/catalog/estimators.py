@@ -30,6 +30,19 @@ def ci_sql(estimate: str = "estimate", error: str = "std_error") -> str:
 CI = "estimate std_error ci95_low ci95_high"
 
 
+def normal_p_sql(z: str) -> str:
+    """Two-sided normal tail by the all-positive series of the error function; beyond 12 it is below 1e-32."""
+    half = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    terms = f"SELECT sum(exp(2 * k * ln(2.0::DOUBLE) + (2 * k + 1) * ln({half}) + lgamma(k + 1.0::DOUBLE) - lgamma(2 * k + 2.0::DOUBLE) - {half} * {half})) FROM generate_series(0, 400) AS g(k)"
+    return f"CASE WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 12 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * ({terms})) END"
+
+
+def student4_p_sql(t: str) -> str:
+    """Two-sided Student tail with four degrees of freedom, in closed form."""
+    u = f"({t} * {t} / (4 + {t} * {t}))"
+    return f"(1 - 1.5 * sqrt({u}) * (1 - {u} / 3))"
+
+
 def uniform_sql(*parts: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
 
@@ -71,9 +84,9 @@ def naive_did(t: Tables) -> DataFrame:
     sum(CASE WHEN treated = 0 AND post = 1 THEN v / n END) AS v01, sum(CASE WHEN treated = 1 AND post = 1 THEN v / n END) AS v11, sum(n) / (sum(n) - 4) AS f FROM c),
   r AS (SELECT n, 'const' AS term, m00 AS estimate, sqrt(f * v00) AS std_error FROM s UNION ALL SELECT n, 'treated', m10 - m00, sqrt(f * (v10 + v00)) FROM s
     UNION ALL SELECT n, 'post', m01 - m00, sqrt(f * (v01 + v00)) FROM s UNION ALL SELECT n, 'did', m11 - m10 - m01 + m00, sqrt(f * (v00 + v10 + v01 + v11)) FROM s)
-  SELECT *, {ci_sql()} FROM r""", CI, digits=5)
+  SELECT *, {ci_sql()}, {normal_p_sql('(estimate / std_error)')} AS p_value FROM r""", f"{CI} p_value", digits=5)
 def ols_hc1(t: Tables) -> DataFrame:
-    return regression.ols(roles.weekly_panel(t), "y", ["treated", "post", "did"]).drop("p_value")
+    return regression.ols(roles.weekly_panel(t), "y", ["treated", "post", "did"])
 
 
 WITHIN = """w AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY week) + avg(y) OVER () AS yt,
@@ -119,9 +132,10 @@ def pretrend_screen(t: Tables) -> DataFrame:
   r AS (SELECT 'L0_before_after' AS rung, * FROM l0 UNION ALL SELECT 'L1_naive_did', * FROM l1 UNION ALL SELECT 'L2_twfe', * FROM l2
     UNION ALL SELECT 'L3_event_study', avg_post, avg_post_se FROM a UNION ALL SELECT 'L4_pretrend_screen', avg_post, avg_post_se FROM a),
   fl AS (SELECT count(CASE WHEN abs(coef) > 1.96 * std_error THEN 1 END) > 0 AS flag FROM study WHERE rel_week < -1)
-  SELECT rung, estimate, std_error, {ci_sql()}, CASE WHEN rung = 'L4_pretrend_screen' AND flag THEN 'pretrend_flagged' WHEN estimate - 1.96 * std_error > 0 THEN 'yes' ELSE 'no_or_uncertain' END AS decision FROM r, fl""", CI)
+  SELECT rung, estimate, std_error, {ci_sql()}, CASE WHEN rung = 'L4_pretrend_screen' AND flag THEN 'pretrend_flagged' WHEN estimate - 1.96 * std_error > 0 THEN 'yes' ELSE 'no_or_uncertain' END AS decision,
+    {normal_p_sql('(estimate / std_error)')} AS p_value FROM r, fl""", f"{CI} p_value")
 def estimate_ladder(t: Tables) -> DataFrame:
-    return panel.run_ladder(full_panel(t), "unit", "week").drop("p_value")
+    return panel.run_ladder(full_panel(t), "unit", "week")
 
 
 @query("unit_permutation", f"""WITH {FULL}, c AS (SELECT unit, avg(CASE WHEN post = 1 THEN y END) - avg(CASE WHEN post = 0 THEN y END) AS d FROM p GROUP BY 1),
@@ -172,7 +186,13 @@ def cluster_robust_t(t: Tables) -> DataFrame:
     return clusters.crv1(full_panel(t), "unit", "week").drop("t_p_value", "sign_p_value")
 
 
-@query("cluster_sign_enumeration")
+@query("cluster_sign_enumeration", f"""WITH {FULL}, {WITHIN}, gi AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i FROM (SELECT DISTINCT unit FROM w)), v AS (SELECT unnest(generate_series(0, 31)) AS v),
+  x AS (SELECT v, unit, week, dt, CASE WHEN (v >> i::INT) & 1 = 1 THEN yt ELSE -yt END AS sr FROM v, w JOIN gi USING (unit)), bs AS (SELECT v, sum(dt * sr) / sum(dt * dt) AS beta FROM x GROUP BY 1),
+  e AS (SELECT x.v, unit, dt, beta, sr - avg(sr) OVER (PARTITION BY x.v, week) - beta * dt AS e FROM x JOIN bs ON bs.v = x.v), g AS (SELECT v, unit, any_value(beta) AS beta, sum(dt * e) AS score FROM e GROUP BY 1, 2),
+  ts AS (SELECT v, any_value(beta) AS beta, sqrt(any_value(u) / (any_value(u) - 1) * (any_value(n) - 1) / (any_value(n) - any_value(u) - any_value(t)) * sum(score * score)) / any_value(dd) AS se FROM g, b GROUP BY 1),
+  own AS (SELECT beta AS estimate, se AS std_error, beta / se AS t FROM ts WHERE v = 31)
+  SELECT estimate, std_error, 5 AS clusters, t, (SELECT avg(CASE WHEN abs(beta / se) >= abs(t) - 1e-10 THEN 1.0 ELSE 0.0 END) FROM ts) AS sign_p_value, {student4_p_sql('t')} AS t_p_value FROM own""",
+       "estimate std_error t sign_p_value t_p_value", digits=5)
 def cluster_sign_enumeration(t: Tables) -> DataFrame:
     return clusters.crv1(full_panel(t), "unit", "week")
 
