@@ -663,7 +663,7 @@ def stacked_panel(t: Tables) -> DataFrame:
 @query("overlap_audit", """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem), n AS (SELECT count(*) AS c FROM a JOIN b USING (k))
   SELECT (SELECT count(*) FROM a) AS size_a, (SELECT count(*) FROM b) AS size_b, c AS size_both, c / (SELECT count(*) FROM b) AS share_of_b FROM n""", "share_of_b")
 def overlap_audit(t: Tables) -> DataFrame:
-    nested_side = t.lineitem.groupBy("l_returnflag").agg(F.collect_set(F.struct(F.col("l_suppkey").alias("k"))).alias("hits"))
+    nested_side = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.struct(F.col("l_suppkey").alias("k"))).alias("hits"))
     return sets.overlap(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")), sets.explode_nested_key(nested_side, "hits", "k", "k"), "k")
 
 

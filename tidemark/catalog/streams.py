@@ -44,8 +44,9 @@ def stream_decoded_logs(t: Tables) -> DataFrame:
 def stream_ledger(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "ledger-updates")
     updates = relational.ledger(t)
-    for flag in ("A", "N", "R"):
-        updates.where(F.col("coverage_type") == flag).coalesce(1).write.mode("append").parquet(folder)
     snapshots = jobs.LedgerSnapshots(shared_folder(t.spark, "ledger"), ["unit_id", "coverage_type"], "status", "rows", "seen_at")
-    jobs.stream_ledger(jobs.read_stream(t.spark, folder, updates.schema, files_per_batch=1), snapshots, shared_folder(t.spark, "ledger-mark"))
+    mark = shared_folder(t.spark, "ledger-mark")
+    for flag in ("A", "N", "R"):  # every delivery is picked up by a restarted stream as a batch of its own
+        updates.where(F.col("coverage_type") == flag).write.mode("append").parquet(folder)
+        jobs.stream_ledger(jobs.read_stream(t.spark, folder, updates.schema), snapshots, mark)
     return snapshots.latest(t.spark)

@@ -94,8 +94,8 @@ def asof_lookup(
 ) -> DataFrame:
     """Value in force at a block: the last change at or before it, else the value before the first change.
 
-    Both sides are cut in buckets of blocks. A bucket carries the value in force at its start, so a row meets only
-    the changes of its own bucket: an equi join and a max, whatever the size of either side.
+    Both sides are cut in buckets of blocks. A bucket carries the value in force at its start, and inside it changes
+    and distinct blocks are put in one order with a running maximum: linear in both, no pair of them is formed.
     """
     bucket = F.floor(F.col(block) / blocks_per_bucket)
     changes = history.select(
@@ -113,13 +113,10 @@ def asof_lookup(
         .select("__bucket", "__carried")
     )
     rows = left.withColumn("__bucket", bucket)
-    near = (
-        rows.select("__bucket", F.col(block).alias("__block")).distinct()
-        .join(changes, "__bucket")
-        .where(F.col("change.at") <= F.col("__block"))
-        .groupBy("__block")
-        .agg(F.max("change").alias("__near"))
-    )
+    asked = rows.select("__bucket", F.col(block).alias("__block"), F.lit(1).alias("__asked")).distinct()
+    given = changes.select("__bucket", F.col("change.at").alias("__block"), F.lit(0).alias("__asked"), "change")
+    so_far = Window.partitionBy("__bucket").orderBy("__block", "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    near = asked.unionByName(given, allowMissingColumns=True).withColumn("__near", F.max("change").over(so_far)).where("__asked = 1").select("__block", "__near")
     return (
         rows.join(starts, "__bucket", "left")
         .join(near, F.col(block) == F.col("__block"), "left")
