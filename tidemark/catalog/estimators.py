@@ -9,7 +9,7 @@ from tidemark.catalog import roles
 from tidemark.catalog.market import POST_EVENT
 from tidemark.catalog.registry import Tables, query
 from tidemark.estimators import clusters, matching, panel, regression, replicates, resampling, staggered, synthetic, timeseries
-from tidemark.operators import aggregates, reshape
+from tidemark.operators import aggregates, joins, reshape
 from tidemark.plans import market
 
 EVENT = roles.PANEL_EVENT
@@ -467,7 +467,7 @@ def matched_att(t: Tables) -> DataFrame:
 @query("cell_match_rows", f"""WITH {DESIGN}, k AS (SELECT nation, decile, count(*) AS control_n, avg(outcome) AS control_outcome_mean, count(outcome) AS control_outcome_n FROM design WHERE treated = 0 GROUP BY 1, 2)
   SELECT mint, nation, decile, outcome, control_n, control_outcome_mean, control_outcome_n FROM design JOIN k USING (nation, decile) WHERE treated = 1""", "control_outcome_mean")
 def cell_match_rows(t: Tables) -> DataFrame:
-    rows = matching.cell_match_means(design(t), "treated", CELL, ["outcome"])
+    rows = joins.cell_match(design(t), "treated", CELL, ["outcome"])
     return rows.select("mint", "nation", "decile", "outcome", "control_n", "control_outcome_mean", "control_outcome_n")
 
 

@@ -517,7 +517,7 @@ def grouped_statistics(t: Tables) -> DataFrame:
 
 @query("exact_quantiles", "SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.75) AS p75, quantile_cont(l_extendedprice, 0.9) AS p90, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1, 2", "p25 p75 p90 p99", digits=4)
 def exact_quantiles(t: Tables) -> DataFrame:
-    return aggregates.quantile_frame(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p25": 0.25, "p75": 0.75, "p90": 0.9, "p99": 0.99})
+    return ranking.quantiles(t.lineitem, ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p25": 0.25, "p75": 0.75, "p90": 0.9, "p99": 0.99})
 
 
 @query("distinct_counts", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n_l_suppkey, count(DISTINCT l_partkey) AS n_l_partkey, count(DISTINCT l_orderkey) AS n_l_orderkey FROM lineitem GROUP BY 1")
@@ -604,7 +604,7 @@ def partition_share(t: Tables) -> DataFrame:
   SELECT l_suppkey, l_shipdate, q, sum(q) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance FROM d""", "q balance")
 def running_balance(t: Tables) -> DataFrame:
     daily = t.lineitem.groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_quantity").alias("q"))
-    return windows.running_sum(daily, ["l_suppkey"], F.trunc("l_shipdate", "month"), [F.asc("l_shipdate")], "q", "balance")
+    return ranking.running_sum(daily, ["l_suppkey"], F.trunc("l_shipdate", "month"), [F.asc("l_shipdate")], "q", "balance")
 
 
 @query("absolute_rank", "SELECT c_custkey, rank() OVER (ORDER BY abs(c_acctbal) DESC) AS abs_rank FROM customer")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import safe_rate
 from tidemark.operators import ranking, reshape
 from tidemark.session import settle
 
@@ -87,8 +86,3 @@ def rate_quintiles(events: DataFrame, creator: str, days: int) -> DataFrame:
     return reshape.rank_bins(rates, "rate", 5, creator, "quintile").groupBy("quintile").agg(
         F.count("*").alias("creators"), F.avg("rate").alias("mean_rate"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate")
     )
-
-
-def rebuilt_share(cells: DataFrame, keys: list[str], weight: str, value: str) -> DataFrame:
-    """An aggregate rebuilt from its cells: weighted mean per key."""
-    return cells.groupBy(*keys).agg(safe_rate(F.sum(F.col(weight) * F.col(value)), F.sum(weight)).alias("rebuilt"))

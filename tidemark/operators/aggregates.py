@@ -28,10 +28,6 @@ def agg_stats(df: DataFrame, keys: Sequence[str], columns: Sequence[str], quanti
     return ranking.with_quantiles(stats, group, parts)
 
 
-def quantile_frame(df: DataFrame, keys: Sequence[str], column: str, probabilities: dict[str, float]) -> DataFrame:
-    return ranking.quantiles(df, keys, column, probabilities)
-
-
 def n_unique(df: DataFrame, keys: Sequence[str], columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Distinct non-null values per key. Exact mode deduplicates (column, value) pairs once for all columns."""
     if approximate:

@@ -28,10 +28,6 @@ def group_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> Dat
     return df.join(df.groupBy(*keys).agg(F.avg(value).alias(name)), list(keys))
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], value: str, name: str) -> DataFrame:
-    return ranking.running_sum(df, keys, bucket, order, value, name)
-
-
 def abs_rank(df: DataFrame, value: str, name: str = "abs_rank") -> DataFrame:
     """Rank by descending magnitude, ties sharing the smallest rank."""
     ranked = ranking.value_counts_with_rank(

@@ -20,6 +20,7 @@ INTERACTIONS = (("M4xM6", 0, 2), ("M5xM7", 1, 3))
 METRICS = (
     "unsafe_causal_affirmation", "unsupported_welfare_claim", "correct_boundary", "missing_slot_recall", "evidence_id_precision",
     "evidence_id_recall", "operational_claim_retention", "over_abstention", "safe_utility",
+    "parse_failure",
 )
 RUN_STATES = ("ok", "parse_failed", "provider_error", "registered_not_run")
 ANSWER = (
