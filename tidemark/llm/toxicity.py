@@ -116,7 +116,7 @@ def evidence(ratios: np.ndarray, text: str | None, window: int) -> tuple[float,
 class ToxicityModel:
     """Log ratios (4 MB, fixed) and the logistic calibration of the evidence."""
 
-    def __init__(self, ratios: np.ndarray, window: int = 8, prior: float = 0.5) -> None:
+    def __init__(self, ratios: np.ndarray, window: int = 8, prior: float = 0.0) -> None:
         self.ratios, self.window, self.prior, self.weights = ratios, window, prior, None
 
     @staticmethod
@@ -149,7 +149,7 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", window: int = 8, calibration_rows: int = 6000, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Both class models from all labelled documents, calibrated on at most ``calibration_rows`` of them.
 
-    Without documents of both classes nothing can be compared, and every score is the smoothed share of toxic labels.
+    Without documents of both classes nothing can be compared: every score is the share of toxic labels, 0 without labels.
     """
     counts = class_counts(docs, labels, label, doc_id, text)
     model = ToxicityModel(log_ratios(counts), window)
@@ -166,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", windo
     found = facts.orderBy(F.xxhash64("id", F.lit(3)), "id", "mean", "top", "size").limit(calibration_rows).toArrow()
     y = (found.column("label").to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
-        model.prior = float((y.sum() + 0.5) / (len(y) + 1))
+        model.prior = float(y.sum() / (len(y) + 1))
         return model
     return model.calibrate(np.column_stack([found.column(c).to_numpy() for c in ("mean", "top", "size")]), y)
 
