@@ -65,16 +65,16 @@ def weekly_panel(t: Tables) -> DataFrame:
 @query("mean_difference", f"""WITH {roles.WEEKS}, s AS (SELECT unit, count(CASE WHEN post = 1 THEN y END) AS n1, count(CASE WHEN post = 0 THEN y END) AS n0,
   avg(CASE WHEN post = 1 THEN y END) - avg(CASE WHEN post = 0 THEN y END) AS estimate,
   sqrt(var_samp(CASE WHEN post = 1 THEN y END) / count(CASE WHEN post = 1 THEN y END) + var_samp(CASE WHEN post = 0 THEN y END) / count(CASE WHEN post = 0 THEN y END)) AS std_error
-  FROM weekly GROUP BY 1) SELECT *, {ci_sql()} FROM s""", CI)
+  FROM weekly GROUP BY 1) SELECT *, {ci_sql()}, {normal_p_sql('(estimate / std_error)')} AS p_value FROM s""", f"{CI} p_value")
 def mean_difference(t: Tables) -> DataFrame:
-    return panel.mean_diff(roles.weekly_panel(t), ["unit"], "y", "post")
+    return timeseries.with_p(panel.mean_diff(roles.weekly_panel(t), ["unit"], "y", "post"))
 
 
 @query("naive_did", f"""WITH {roles.WEEKS}, c AS (SELECT treated, post, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM weekly GROUP BY 1, 2),
   s AS (SELECT CAST(sum(n) AS BIGINT) AS n_rows, sum(CASE WHEN treated = post THEN m ELSE -m END) AS estimate, sqrt(sum(v / n) * sum(n) / (sum(n) - 4)) AS std_error FROM c)
-  SELECT *, {ci_sql()} FROM s""", CI)
+  SELECT *, {ci_sql()}, {normal_p_sql('(estimate / std_error)')} AS p_value FROM s""", f"{CI} p_value")
 def naive_did(t: Tables) -> DataFrame:
-    return panel.did(roles.weekly_panel(t))
+    return timeseries.with_p(panel.did(roles.weekly_panel(t)))
 
 
 @query("ols_hc1", f"""WITH {roles.WEEKS}, c AS (SELECT treated, post, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM weekly GROUP BY 1, 2),
@@ -96,9 +96,9 @@ b AS (SELECT sum(dt * yt) / sum(dt * dt) AS estimate, sum(dt * dt) AS dd, count(
 
 @query("twfe_did", f"""WITH {FULL}, {WITHIN},
   s AS (SELECT any_value(estimate) AS estimate, sqrt(sum(dt * dt * (yt - estimate * dt) * (yt - estimate * dt)) * any_value(n) / (any_value(n) - any_value(u) - any_value(t))) / any_value(dd) AS std_error,
-    any_value(n) AS n_rows, any_value(u) AS n_units, any_value(t) AS n_periods FROM w, b) SELECT *, {ci_sql()} FROM s""", CI)
+    any_value(n) AS n_rows, any_value(u) AS n_units, any_value(t) AS n_periods FROM w, b) SELECT *, {ci_sql()}, {normal_p_sql('(estimate / std_error)')} AS p_value FROM s""", f"{CI} p_value")
 def twfe_did(t: Tables) -> DataFrame:
-    return panel.twfe(full_panel(t), "unit", "week")
+    return timeseries.with_p(panel.twfe(full_panel(t), "unit", "week"))
 
 
 STUDY = f"""{FULL}, c AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY week) + avg(y) OVER () AS yt, treated - avg(treated) OVER () AS c FROM p),
@@ -240,14 +240,14 @@ hv AS (SELECT {k}sqrt(greatest({lags}, 0)) AS std_error FROM hl {group}),
 hac AS (SELECT hf.* EXCLUDE (q), std_error FROM hf JOIN hv {join})"""
 
 
-@query("hac_post_effect", f"""WITH {DAILY}, {hac_sql('gap', '', 'post', 'gap', 'isodow(day)')} SELECT *, {ci_sql()} FROM hac""", CI)
+@query("hac_post_effect", f"""WITH {DAILY}, {hac_sql('gap', '', 'post', 'gap', 'isodow(day)')} SELECT *, {ci_sql()}, {normal_p_sql('(estimate / std_error)')} AS p_value FROM hac""", f"{CI} p_value")
 def hac_post_effect(t: Tables) -> DataFrame:
-    return timeseries.hac_effect(daily_gap(t).withColumn("k", F.lit(0)), ["k"], "day", "gap").drop("k")
+    return timeseries.with_p(timeseries.hac_effect(daily_gap(t).withColumn("k", F.lit(0)), ["k"], "day", "gap").drop("k"))
 
 
-@query("hac_pretrend", f"""WITH {DAILY}, pre AS (SELECT *, date_diff('day', DATE '1970-01-01', day)::DOUBLE AS d, 1 AS one FROM gap WHERE post = 0), {hac_sql('pre', '', 'd', 'gap', 'one')} SELECT *, {ci_sql()} FROM hac""", CI, digits=8)
+@query("hac_pretrend", f"""WITH {DAILY}, pre AS (SELECT *, date_diff('day', DATE '1970-01-01', day)::DOUBLE AS d, 1 AS one FROM gap WHERE post = 0), {hac_sql('pre', '', 'd', 'gap', 'one')} SELECT *, {ci_sql()}, {normal_p_sql('(estimate / std_error)')} AS p_value FROM hac""", f"{CI} p_value", digits=8)
 def hac_pretrend(t: Tables) -> DataFrame:
-    return timeseries.hac_trend(daily_gap(t).where("post = 0").withColumn("k", F.lit(0)), ["k"], "day", "gap").drop("k")
+    return timeseries.with_p(timeseries.hac_trend(daily_gap(t).where("post = 0").withColumn("k", F.lit(0)), ["k"], "day", "gap").drop("k"))
 
 
 @query("timing_gate", f"""WITH {roles.PANEL}, r AS (SELECT unit, day, ln(1 + volume) AS y FROM regional),
