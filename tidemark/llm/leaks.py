@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, row_keys
+from tidemark.llm.common import partitions, release_memory, row_keys
 from tidemark.llm.hashing import WordHasher
 from tidemark.session import settle
 
@@ -27,7 +27,7 @@ def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
     for text in [*texts, None]:
         group.append((text or "").lower().encode())
         held += len(group[-1])
-        if held > 1 << 20 or len(out) + len(group) > len(texts):
+        if held > 1 << 18 or len(out) + len(group) > len(texts):
             raw = np.frombuffer(b" ".join([b"", *group, b""]), np.uint8)
             inside = LETTERS[raw].astype(np.int8)
             step = np.diff(inside)
@@ -146,7 +146,10 @@ def _coded(docs: DataFrame, block: Benchmark) -> DataFrame:
         out = []
         for at in range(0, len(texts), 256):
             out += [shared.value.ids(h).tobytes() for h in hashed_words(texts[at : at + 256].to_pylist())]
-        return pa.array(out, pa.binary())
+        coded = pa.array(out, pa.binary())
+        del out
+        release_memory()
+        return coded
 
     return settle(docs.select("k1", "k2", "doc_id", code("text").alias("ids")))
 
@@ -208,6 +211,7 @@ def _product(coded: DataFrame, latent: Latent, window: int, spread: np.ndarray,
         pieces = total.reshape(-1, rows * width)
         some = np.flatnonzero(pieces.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([pieces[i].tobytes() for i in some], pa.binary())], ["piece", "part"])
+        release_memory()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -229,11 +233,16 @@ def _product(coded: DataFrame, latent: Latent, window: int, spread: np.ndarray,
 def _axes(coded: DataFrame, latent: Latent, window: int, rank: int, extra: int, block: Benchmark, seed: int = 0) -> np.ndarray:
     """Latent axes [FEATURES, rank], over their singular values so that common words do not outweigh the rest.
 
-    A randomised SVD: one pass over all passages takes a Gaussian matrix to the range of A'A, a second one its
-    orthonormal basis, whose Nystrom form gives the eigenvectors. Only FEATURES x (rank + extra) numbers reach the driver.
+    A randomised SVD by subspace iteration: random combinations of the items' passages start it, as what leaks lies in
+    their space; one pass over all passages of all documents takes their orthonormal basis through A'A, and the
+    Nystrom form of the result gives the eigenvectors. FEATURES x (rank + extra) numbers reach the driver.
     """
-    spread = np.random.default_rng(seed).normal(size=(FEATURES, rank + extra))
-    spread = np.linalg.qr(_product(coded, latent, window, spread, block))[0]
+    rng, start = np.random.default_rng(seed), np.zeros((FEATURES, rank + extra))
+    for ids in block.items:
+        passage, feature, weight = latent.sparse(ids, windows(len(ids), window, window), window)
+        np.add.at(start, feature, weight[:, None] * rng.normal(size=(int(passage.max(initial=-1)) + 1, rank + extra))[passage])
+    # items may span fewer dimensions than asked for; the rest is random
+    spread = np.linalg.qr(start + 1e-6 * np.linalg.norm(start) / FEATURES * rng.normal(size=start.shape))[0]
     y = _product(coded, latent, window, spread, block)
     y += 1e-9 * max(np.linalg.norm(y), 1e-12) * spread
     core = spread.T @ y
@@ -288,12 +297,13 @@ def _search(coded: DataFrame, latent: Latent, block: Benchmark, window: int, str
                 [batch.column(n).take(take) for n in ("k1", "k2", "doc_id")] + [pa.array(cells[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cells[1:])],
                 ["k1", "k2", "doc_id", "item_id", "cosine", "overlap", "answer_overlap"],
             )
+        release_memory()
 
     kind = coded.schema["doc_id"].dataType.simpleString()
     return coded.mapInArrow(match, f"k1 long, k2 long, doc_id {kind}, item_id long, cosine double, overlap double, answer_overlap double")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride: int = 8, rank: int = 128, least_mass: float = 0.25, least_cosine: float = 0.5, least_overlap: float = 0.6, least_answer: float = 0.5, block_items: int = 20_000, block_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride: int = 8, rank: int = 64, least_mass: float = 0.25, least_cosine: float = 0.5, least_overlap: float = 0.6, least_answer: float = 0.5, block_items: int = 20_000, block_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Which documents hold which benchmark items: k1, k2 (the row's key), doc_id, item_id, cosine, overlap, answer_overlap.
 
     Passages are ``window`` words every ``stride`` words of whole texts, and the same of items. Term weights are counts
@@ -326,7 +336,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride:
         coded = _coded(rows, block)
         df, n = _document_frequencies(coded, len(block.vocabulary))
         latent = Latent(np.log((n + 1) / (df + 1)) + 0.1, float(np.log(n + 1) + 0.1))
-        latent.axes = _axes(coded, latent, window, rank, 16, block)
+        latent.axes = _axes(coded, latent, window, rank, 8, block)
         out = out.unionByName(_search(coded, latent, block, window, stride, least_mass, least_cosine, least_overlap, least_answer))
     return out
 
