@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, partitions, row_keys
+from tidemark.llm.common import components, partitions, release_memory, row_keys
 from tidemark.session import settle
 
 GENERATOR = 0xC75  # of the perfect binary (23, 12, 7) Golay code
@@ -44,7 +44,9 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(text: Column, words: int = 3) -> Column:
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
+        prints = pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
+        release_memory()
+        return prints
 
     return of(text)
 
@@ -161,6 +163,7 @@ def links(prints: DataFrame) -> DataFrame:
                 yield within(keys[:cut], values[:cut])
             held_keys, held = keys[cut:], values[cut:]
         yield within(held_keys, held)
+        release_memory()
 
     # a key set is some 150 rows, so the few fingerprints of a file are dealt out before they are multiplied
     keyed = prints.select("fp").repartition(partitions(prints.sparkSession)).mapInArrow(explode, "key long, fp long")

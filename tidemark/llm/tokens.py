@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import partitions, release_memory
 from tidemark.llm.hashing import WordHasher
 from tidemark.session import settle
 
@@ -33,7 +33,7 @@ class PieceEncoder:
     depends on more than the word, go to the library whole. A full memory is emptied, which costs only time.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 21) -> None:
+    def __init__(self, path: str, slots: int = 1 << 19) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -208,6 +208,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 numbers = pa.array(np.arange(at, at + part.num_rows, dtype=np.int64))
                 at += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("shard"), numbers, part.column("doc_id"), lists], ["shard", "row", "doc_id", "ids"])
+        # the worker lives on for other tasks: what the texts of this one held goes back to the system
+        release_memory()
 
     coded = placed.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(encode, f"shard int, row long, doc_id {kind}, ids array<int>")
     writer = coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_fold
+from tidemark.llm.common import crc_fold, release_memory
 from tidemark.llm.quality import labelled_sample
 
 SYMBOLS = 32
@@ -66,6 +66,7 @@ def class_counts(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
         for kind in (0, 1):
             cells = np.flatnonzero(sums[kind])
             yield pa.RecordBatch.from_arrays([pa.array(cells + kind * CELLS), pa.array(sums[kind, cells])], ["cell", "n"])
+        release_memory()
 
     summed = both.select("label", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * CELLS, np.int64)
@@ -178,6 +179,7 @@ def toxicity_score(docs: DataFrame, model: ToxicityModel, text: Column) -> Colum
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         out = [shared.value.scores([t.as_py() for t in texts[at : at + 512]]) for at in range(0, len(texts), 512)]
+        release_memory()
         return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
     return score(text)
