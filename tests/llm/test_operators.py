@@ -389,6 +389,31 @@ def test_leaks(spark):
     assert leaks.leaks(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_in_a_large_corpus(spark, monkeypatch):
+    """Short and changed items in long foreign documents are found with the document frequencies of millions of documents."""
+    r = np.random.default_rng(8)
+    items = [(i, " ".join("w%d" % k for k in r.integers(0, 900, int(r.integers(10, 21)) if i < 12 else 40))) for i in range(24)]
+    foreign = lambda n: " ".join("f%d" % k if r.random() < 0.6 else "w%d" % k for k in r.integers(0, 900, n))
+    rows, expected = [(1000, foreign(300), "s")], set()
+    for i, text in items:
+        for share in (0.0, 0.35):
+            words = text.split()
+            for k in r.choice(len(words), int(share * len(words)), replace=False):
+                words[k] = "x%d" % k
+            expected.add((len(rows), i))
+            rows.append((len(rows), foreign(int(r.integers(150, 400))) + " " + " ".join(words) + " " + foreign(150), "s"))
+    counted, n = leaks._document_frequencies, 12_000_000
+
+    def large(coded, terms):
+        df, seen = counted(coded, terms)
+        return df * n // seen, n
+
+    monkeypatch.setattr(leaks, "_document_frequencies", large)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in leaks.leaks(documents(spark, rows), bench, rank=24).collect()}
+    assert got == expected
+
+
 # ---- URL lists
 
 

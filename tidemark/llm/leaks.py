@@ -118,23 +118,89 @@ class Latent:
         norm = np.sqrt(inside + outside * self.unknown**2)
         return passage, self.feature[term], weight / np.maximum(norm, 1e-12)[passage]
 
-    def embed(self, ids: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
-        """Unit vectors of passages in the latent space."""
-        passage, feature, weight = self.sparse(ids, begin, window)
-        out = np.zeros((len(begin), self.axes.shape[1]), np.float32)
-        if len(passage):  # sorted by passage
-            first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            out[passage[first]] = np.add.reduceat(weight[:, None].astype(np.float32) * self.axes[feature], first)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-    def mass(self, ids: np.ndarray, begin: np.ndarray, window: int) -> np.ndarray:
-        """Share of each passage's squared weight on benchmark terms, words outside counting as the rarest."""
-        squares = self.idf[ids] ** 2
-        known = np.concatenate([[0.0], np.cumsum(squares)])
-        other = np.concatenate([[0], np.cumsum(ids == 0)])
-        end = np.minimum(begin + window, len(ids))
-        inside, outside = known[end] - known[begin], (other[end] - other[begin]) * self.unknown**2
-        return inside / np.maximum(inside + outside, 1e-12)
+    def sums(self, ids: np.ndarray, step: int) -> np.ndarray:
+        """Sums of the words' vectors over every ``step`` words; words outside the benchmark add nothing."""
+        at = np.flatnonzero(ids)
+        vectors = self.axes[self.feature[ids[at]]]
+        vectors *= self.idf[ids[at]].astype(np.float32)[:, None]
+        out = np.zeros((-(-len(ids) // step), vectors.shape[1]), np.float32)
+        if len(at):
+            place = at // step
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            out[place[first]] = np.add.reduceat(vectors, first)
+        return out
+
+
+def passage_vectors(sums: np.ndarray, parts: int, stride: int) -> np.ndarray:
+    """Unit vectors of passages of ``parts`` sums that begin at every ``stride``-th sum; the last ones run over the end.
+
+    The length of a passage and its words outside the benchmark do not change its direction.
+    """
+    count = -(-len(sums) // stride)
+    padded = np.concatenate([sums, np.zeros((parts, sums.shape[1]), np.float32)])
+    out = padded[: (count - 1) * stride + 1 : stride].copy()
+    for k in range(1, parts):
+        out += padded[k : k + (count - 1) * stride + 1 : stride]
+    return out / np.maximum(np.sqrt(np.einsum("ij,ij->i", out, out)), 1e-12)[:, None]
+
+
+def scales(window: int, stride: int) -> list[tuple[int, int]]:
+    """(words, stride) of the passages, halved down to six words: an item is looked for in passages no longer than itself."""
+    out = [(window, stride)]
+    while out[-1][0] >= 12 and out[-1][1] > 1:
+        out.append((out[-1][0] // 2, out[-1][1] // 2))
+    return out
+
+
+class Queries:
+    """The passages of a block's items in the latent space, by the scale that suits the item."""
+
+    def __init__(self, latent: Latent, block: Benchmark, window: int, stride: int) -> None:
+        sizes = scales(window, stride)
+        suits = [next((k for k, (w, _) in enumerate(sizes) if w <= len(ids)), len(sizes) - 1) for ids in block.items]
+        self.lengths = np.array([len(ids) for ids in block.items])
+        self.words, self.begins = np.concatenate(block.items), np.cumsum(self.lengths) - self.lengths
+        self.terms = len(block.vocabulary) + 1
+        self.scales: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for k, (w, s) in enumerate(sizes):
+            passages = [(i, b) for i, ids in enumerate(block.items) if suits[i] == k for b in windows(len(ids), w, s)]
+            if passages:
+                vectors = np.concatenate([passage_vectors(latent.sums(block.items[i][b : b + w], w), 1, 1) for i, b in passages])
+                self.scales.append((w, s, vectors, np.array([i for i, _ in passages], np.int64)))
+
+    def candidates(self, latent: Latent, ids: np.ndarray, least_cosine: float, least_overlap: float) -> Iterator[tuple[int, int, int, float]]:
+        """(start, words, item, cosine) of the passages of ``ids`` near an item's passage, once for each item and start.
+
+        No subsequence is longer than what occurs at all, so a stretch of the text and its surroundings is compared only
+        with the items of whose words they hold ``least_overlap``.
+        """
+        step = int(np.gcd.reduce([x for w, s, _, _ in self.scales for x in (w, s)]))
+        longest, reach, stride = max(w for w, _, _, _ in self.scales), int(self.lengths.max()), max(s for _, s, _, _ in self.scales)
+        slab = -(-max(256, reach) // stride) * stride
+        present = np.zeros(self.terms, bool)
+        for at in range(0, len(ids), slab):
+            around = ids[max(0, at - reach) : at + slab + longest + reach]
+            present[around] = True
+            possible = np.add.reduceat(present[self.words], self.begins, dtype=np.int64) >= least_overlap * self.lengths
+            present[around] = False
+            if not possible.any():
+                continue
+            sums = latent.sums(ids[at : at + slab + longest], step)
+            inside = -(-min(slab, len(ids) - at) // step)
+            for w, s, vectors, owner in self.scales:
+                some = np.flatnonzero(possible[owner])
+                if not len(some):
+                    continue
+                cosines = (passage_vectors(sums, w // step, s // step)[: -(-inside * step // s)] @ vectors[some].T).ravel()
+                near = np.flatnonzero(cosines >= least_cosine)
+                if not len(near):
+                    continue
+                # by start and item; the owners of a scale ascend, so equal ones are neighbours
+                key = near // len(some) * len(self.lengths) + owner[some[near % len(some)]]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                start, item = np.divmod(key[first], len(self.lengths))
+                for b, i, c in zip((at + start * s).tolist(), item.tolist(), np.maximum.reduceat(cosines[near], first).tolist()):
+                    yield b, w, i, c
 
 
 def _coded(docs: DataFrame, block: Benchmark) -> DataFrame:
@@ -253,44 +319,37 @@ def _axes(coded: DataFrame, latent: Latent, window: int, rank: int, extra: int,
     return (axes[:, :rank][:, sound] / singular[:rank][sound]).astype(np.float32)
 
 
-def _search(coded: DataFrame, latent: Latent, block: Benchmark, window: int, stride: int, least_mass: float, least_cosine: float, least_overlap: float, least_answer: float) -> DataFrame:
+def _leaks_of(ids: np.ndarray, latent: Latent, block: Benchmark, queries: Queries, least_cosine: float, least_overlap: float, least_answer: float) -> dict[int, tuple[float, float, float]]:
+    """Cosine, overlap and answer overlap of the items that a text of these word ids holds."""
+    best: dict[int, tuple[float, float, float]] = {}
+    for start, size, i, cosine in queries.candidates(latent, ids, least_cosine, least_overlap):
+        words = block.items[i].tolist()
+        region = ids[max(0, start - len(words)) : start + size + len(words)].tolist()
+        near = set(region)
+        if sum(map(near.__contains__, words)) < least_overlap * len(words):
+            continue  # the same bound for these surroundings
+        overlap = lcs_length(words, region) / len(words)
+        if overlap < least_overlap or (i in best and best[i][1] >= overlap):
+            continue
+        answer = words[block.answers[i] :] or words
+        share = lcs_length(answer, region) / len(answer)
+        if share >= least_answer:
+            best[i] = (cosine, overlap, share)
+    return best
+
+
+def _search(coded: DataFrame, latent: Latent, block: Benchmark, window: int, stride: int, least_cosine: float, least_overlap: float, least_answer: float) -> DataFrame:
     """Leaks (k1, k2, doc_id, item_id, cosine, overlap, answer_overlap) of a block, at most one row per row and item."""
-    passages = [(i, b) for i, ids in enumerate(block.items) for b in windows(len(ids), window, stride)]
-    queries = np.concatenate([latent.embed(block.items[i], np.array([b]), window) for i, b in passages] or [np.zeros((0, latent.axes.shape[1]), np.float32)])
-    owners = np.array([i for i, _ in passages], np.int64)
-    shared = coded.sparkSession.sparkContext.broadcast((latent, block, queries, owners))
+    shared = coded.sparkSession.sparkContext.broadcast((latent, block, Queries(latent, block, window, stride)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, items, q, owner = shared.value
         for batch in batches:
             rows: list[int] = []
             found: list[tuple] = []
             for r, raw in enumerate(batch.column("ids")):
-                ids = np.frombuffer(raw.as_py(), np.int32)
-                begin = windows(len(ids), window, stride)
-                begin = begin[lat.mass(ids, begin, window) >= least_mass]
-                if not len(begin):
-                    continue
-                best: dict[int, tuple] = {}
-                for at in range(0, len(begin), 256):
-                    part = begin[at : at + 256]
-                    cosines = lat.embed(ids, part, window) @ q.T
-                    for p, c in zip(*np.nonzero(cosines >= least_cosine)):
-                        i, start = int(owner[c]), int(part[p])
-                        words = items.items[i].tolist()
-                        region = ids[max(0, start - len(words)) : start + window + len(words)].tolist()
-                        near = set(region)
-                        if sum(map(near.__contains__, words)) < least_overlap * len(words):
-                            continue  # no subsequence is longer than what occurs at all
-                        overlap = lcs_length(words, region) / len(words)
-                        if overlap < least_overlap or (i in best and best[i][1] >= overlap):
-                            continue
-                        answer = words[items.answers[i] :] or words
-                        share = lcs_length(answer, region) / len(answer)
-                        if share >= least_answer:
-                            best[i] = (float(cosines[p, c]), overlap, share)
+                best = _leaks_of(np.frombuffer(raw.as_py(), np.int32), *shared.value, least_cosine, least_overlap, least_answer)
                 rows += [r] * len(best)
-                found += [(items.names[i], *v) for i, v in best.items()]
+                found += [(shared.value[1].names[i], *v) for i, v in best.items()]
             cells = list(zip(*found)) or [[], [], [], []]
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -303,20 +362,20 @@ def _search(coded: DataFrame, latent: Latent, block: Benchmark, window: int, str
     return coded.mapInArrow(match, f"k1 long, k2 long, doc_id {kind}, item_id long, cosine double, overlap double, answer_overlap double")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride: int = 8, rank: int = 64, least_mass: float = 0.25, least_cosine: float = 0.5, least_overlap: float = 0.6, least_answer: float = 0.5, block_items: int = 20_000, block_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride: int = 8, rank: int = 64, least_cosine: float = 0.5, least_overlap: float = 0.6, least_answer: float = 0.5, block_items: int = 20_000, block_bytes: int = 8 << 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Which documents hold which benchmark items: k1, k2 (the row's key), doc_id, item_id, cosine, overlap, answer_overlap.
 
-    Passages are ``window`` words every ``stride`` words of whole texts, and the same of items. Term weights are counts
-    times the idf over all documents; the latent axes are fitted on all passages. A passage is a candidate if
-    ``least_mass`` of its squared weight lies on benchmark terms (else its cosine to any item is below the root of
-    that) and its latent cosine to an item's passage is ``least_cosine``. An item is leaked if the longest common
-    subsequence of its words with the surroundings has ``least_overlap`` of them, and the same of its answer (last
-    sentence or line) has ``least_answer``, so paraphrases with changed, added or dropped words are found.
+    Passages are ``window`` words every ``stride`` words of whole texts, and the same of items; items shorter than that are
+    looked for in passages of half or a quarter of it. Term weights are counts times the idf over all documents; the
+    latent axes are fitted on all passages. Every passage whose latent cosine to an item's passage is ``least_cosine``
+    is a candidate, whatever else stands in it and however many documents there are. An item
+    is leaked if the longest common subsequence of its words with the surroundings has ``least_overlap`` of them, and the
+    same of its answer (last sentence or line) has ``least_answer``, so paraphrases with changed, added or dropped words
+    are found.
 
     The benchmark is taken in blocks of bounded size, each broadcast and searched against all documents; a larger
     benchmark costs more blocks, not more memory. Null and empty texts and items hold nothing; an item id that is
-    null is reported as null; equal rows are one row. Items of one id are each searched. Items shorter than a quarter
-    of a window can only be found in texts that are about as short, for want of weight.
+    null is reported as null; equal rows are one row. Items of one id are each searched.
     """
     k1, k2 = row_keys(F.col(doc_id), F.col(text))
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null and text <> ''")
@@ -337,7 +396,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride:
         df, n = _document_frequencies(coded, len(block.vocabulary))
         latent = Latent(np.log((n + 1) / (df + 1)) + 0.1, float(np.log(n + 1) + 0.1))
         latent.axes = _axes(coded, latent, window, rank, 8, block)
-        out = out.unionByName(_search(coded, latent, block, window, stride, least_mass, least_cosine, least_overlap, least_answer))
+        out = out.unionByName(_search(coded, latent, block, window, stride, least_cosine, least_overlap, least_answer))
     return out
 
 
