@@ -414,6 +414,23 @@ def test_leaks_in_a_large_corpus(spark, monkeypatch):
     assert got == expected
 
 
+def test_leaks_without_the_answer(spark):
+    """Copies that lack the guessed answer: whole heads, nearly whole items and one-word answers count, weak overlaps do not."""
+    prose = lambda k, n: " ".join("w%d" % i for i in range(k, k + n))
+    items = [(0, prose(0, 21) + ". " + prose(21, 9)), (1, prose(100, 27) + ". w127"), (2, prose(200, 21) + ". " + prose(221, 9)), (3, prose(300, 21) + ". " + prose(321, 4))]
+    foreign = " ".join("f%d" % i for i in range(60))
+    changed = lambda words, at: " ".join("x%d" % i if i in at else w for i, w in enumerate(words.split()))
+    cut = [
+        prose(0, 21),  # the whole head, 70 %
+        changed(prose(100, 27), range(2, 27, 4)),  # 71 %, without the one word of the answer
+        changed(prose(200, 21), (1, 8, 15)) + " x x x x x x x x x",  # 60 % and no answer
+        prose(300, 21).replace("w310", "x"),  # 80 % of the item
+    ]
+    rows = [(i, f"{foreign} {t} {foreign}", "s") for i, t in enumerate(cut)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in leaks.leaks(documents(spark, rows), bench, rank=24).collect()} == {(0, 0), (1, 1), (3, 3)}
+
+
 # ---- URL lists
 
 

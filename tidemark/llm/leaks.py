@@ -40,6 +40,11 @@ def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
     return out[: len(texts)]
 
 
+SURE_OVERLAP = 0.8  # an item of which so much is found is leaked, whatever its answer
+WHOLE_HEAD = 0.9  # so is one of which so much is found before its answer
+LEAST_ANSWER_WORDS = 4  # shorter last sentences say too little to confirm or deny an item
+
+
 def lcs_length(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit vectors over ``a``."""
     places: dict[int, int] = {}
@@ -331,9 +336,10 @@ def _leaks_of(ids: np.ndarray, latent: Latent, block: Benchmark, queries: Querie
         overlap = lcs_length(words, region) / len(words)
         if overlap < least_overlap or (i in best and best[i][1] >= overlap):
             continue
-        answer = words[block.answers[i] :] or words
+        head, answer = words[: block.answers[i]], words[block.answers[i] :] or words
         share = lcs_length(answer, region) / len(answer)
-        if share >= least_answer:
+        sure = overlap >= SURE_OVERLAP or len(answer) < LEAST_ANSWER_WORDS or (head and lcs_length(head, region) >= WHOLE_HEAD * len(head))
+        if sure or share >= least_answer:
             best[i] = (cosine, overlap, share)
     return best
 
@@ -369,9 +375,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 24, stride:
     looked for in passages of half or a quarter of it. Term weights are counts times the idf over all documents; the
     latent axes are fitted on all passages. Every passage whose latent cosine to an item's passage is ``least_cosine``
     is a candidate, whatever else stands in it and however many documents there are. An item
-    is leaked if the longest common subsequence of its words with the surroundings has ``least_overlap`` of them, and the
-    same of its answer (last sentence or line) has ``least_answer``, so paraphrases with changed, added or dropped words
-    are found.
+    is leaked if the longest common subsequence of its words with the surroundings has ``least_overlap`` of them, so
+    paraphrases with changed, added or dropped words are found. Overlaps below SURE_OVERLAP are confirmed by the same of
+    the answer, which must have ``least_answer``, unless the part before the answer is there nearly whole. The answer is
+    only guessed (the last sentence or line); one of fewer than LEAST_ANSWER_WORDS words is not asked for.
 
     The benchmark is taken in blocks of bounded size, each broadcast and searched against all documents; a larger
     benchmark costs more blocks, not more memory. Null and empty texts and items hold nothing; an item id that is
