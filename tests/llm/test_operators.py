@@ -283,6 +283,21 @@ def test_mixing(spark):
     assert mixing.mixed_counts(documents(spark, [])).count() == 0
 
 
+def test_mixed_documents_keep_equal_rows_apart(spark):
+    text = " ".join("w%d" % i for i in range(300))
+    docs = documents(spark, [(1, text, "a")] * 3 + [(2, "b " * 700, "b"), (3, text, "a")])
+    for options in ({}, {"block_words": 7, "seed": 3}):
+        taken = {}
+        for x in mixing.mixed_documents(docs, **options).collect():
+            words = [int(w[1:]) for w in x.text.split()] if x.source == "a" else []
+            assert words == sorted(set(words))  # no piece twice in one row
+            taken[x.doc_id] = taken.get(x.doc_id, 0) + len(x.text.split())
+        counts = {}
+        for x in mixing.mixed_counts(docs, **options).collect():
+            counts[x.doc_id] = counts.get(x.doc_id, 0) + x.taken
+        assert taken == {i: n for i, n in counts.items() if n}
+
+
 def test_permutations():
     for n in (1, 2, 3, 5, 64, 1000):
         image = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 99))

@@ -112,8 +112,8 @@ def mixed_spans(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     """The mix of ``docs`` as (documents, spans).
 
     documents: k1, k2 (the row's 128-bit key), n_rows (equal rows), doc_id, source, size, source_size, target.
-    spans: k1, k2, shard, source, epoch, block, lo, hi: one row per use of a part of a document; the use covers its
-    words lo .. hi - 1 (from 0).
+    spans: k1, k2, copy (of equal rows, from 1), shard, source, epoch, block, lo, hi: one row per use of a part of a
+    document; the use covers its words lo .. hi - 1 (from 0).
 
     Documents of a source follow each other by id in one stream of words that is cut into blocks of ``block_words``
     (the last one may be shorter). Blocks are arithmetic on word positions: only sizes and positions move, never texts.
@@ -136,10 +136,10 @@ def mixed_spans(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     parts = placed.withColumn("block", F.explode(F.sequence(first, last)))
     lo = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
     hi = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
-    parts = parts.select("k1", "k2", "source", "block", lo.alias("lo"), hi.alias("hi"), F.xxhash64("source", F.col("source").isNull()).alias("stream"))
+    parts = parts.select("k1", "k2", "copy", "source", "block", lo.alias("lo"), hi.alias("hi"), F.xxhash64("source", F.col("source").isNull()).alias("stream"))
     slots = slots.withColumn("stream", F.xxhash64("source", F.col("source").isNull()))
     # both sides grow with the corpus, and Spark can't know how far a run of slots explodes: never broadcast
-    spans = parts.join(slots.drop("source").hint("merge"), ["stream", "block"]).select("k1", "k2", "shard", "source", "epoch", "block", "lo", "hi")
+    spans = parts.join(slots.drop("source").hint("merge"), ["stream", "block"]).select("k1", "k2", "copy", "shard", "source", "epoch", "block", "lo", "hi")
     documents = sized.join(plan.select(F.col("source").alias("__source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     return documents, spans
 
@@ -160,10 +160,11 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     The text of a row is the whole text if the epoch takes all of it, else the taken words joined by blanks in their
     order; ``n_chars``, where there is one, is recounted. Documents that the mix leaves out are gone, documents that
-    it takes twice are there twice. Equal rows of ``docs`` are one row here, with what the mix takes of any of them.
+    it takes twice are there twice. Of equal rows of ``docs`` (same id, source and text) each is a document of its own
+    here; where they differ in other columns, one of them gives these columns to all.
     """
     documents, spans = mixed_spans(docs, doc_id=doc_id, text=text, source=source, **options)
-    used = spans.groupBy("k1", "k2", "epoch").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("parts"))
+    used = spans.groupBy("k1", "k2", "copy", "epoch").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("parts"))
     used = used.select(F.col("k1").alias("__use_1"), F.col("k2").alias("__use_2"), F.col("parts").alias("__parts"))
     k1, k2 = row_keys(F.col(f"`{doc_id}`"), F.col(f"`{source}`"), F.col(f"`{text}`"))
     keyed = docs.withColumns({"__k1": k1, "__k2": k2})
