@@ -1,10 +1,12 @@
 """Operators on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names, brute force."""
 
+import functools
 import hashlib
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -179,15 +181,71 @@ def test_scores_separate_held_out_documents(spark, kind):
 
 def test_kneser_ney_sums_to_one_and_counts_everything(spark):
     docs, labels = labelled(spark)
-    counts = toxicity.class_counts(docs, labels)
+    counts, contexts = toxicity.class_counts(docs, labels)
     chosen = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
-    brute = np.zeros_like(counts)
+    brute, met = np.zeros_like(counts), {}
+    cell_of = functools.cache(lambda w, i: int(toxicity.expressions(pa.array([w]), toxicity.hasher())[0][i, 0]))
     for r in docs.collect():
         if r.doc_id in chosen:
-            np.add.at(brute[chosen[r.doc_id]], toxicity.grams(r.text), 1)
+            words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").lower()) or [""]
+            for i, n in enumerate(toxicity.LENGTHS):
+                for w in words:
+                    cell = cell_of(w[: n or None], i)
+                    brute[chosen[r.doc_id], cell] += 1
+                    met.setdefault(cell, set())
     assert (counts == brute).all()
-    lower_order = np.full(toxicity.SYMBOLS**3, 1 / toxicity.SYMBOLS)
-    assert np.allclose(toxicity._smoothed(counts[1], lower_order).reshape(-1, toxicity.SYMBOLS).sum(1), 1)
+    assert set(np.flatnonzero(contexts)) == set(met) and contexts.max() <= toxicity.CONTEXTS
+    models = toxicity.ClassModels(counts, contexts)
+    for kind in (0, 1):
+        for i in range(len(toxicity.LENGTHS)):
+            assert np.isclose(models.shares(kind, i).sum(), 1)
+    assert np.allclose(models.shared.sum(1), 1)
+
+
+def test_stems_end_at_characters():
+    cells = lambda t: toxicity.expressions(pa.array([t]), toxicity.hasher())[0][:, 0] % toxicity.CELLS
+    word, four, five = cells("Réeuxment")
+    assert (word, four, five) == (cells("réeuxment")[0], cells("réeu")[0], cells("réeux")[0])
+    assert len({int(x) for x in cells("日本語")}) == 1
+    assert toxicity.expressions(pa.array(["", None, "a b"]), toxicity.hasher())[2].tolist() == [0, 1, 2, 2]
+
+
+def test_toxic_documents_are_found_in_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.scored_toxicity(docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    toxic = [r for r in held if r.toxic]
+    assert np.mean([r.predicted for r in toxic]) >= 0.9
+    assert np.mean([r.toxic for r in held if r.predicted]) >= 0.9
+    for lang in {r.lang for r in toxic}:
+        assert np.mean([r.predicted for r in toxic if r.lang == lang]) >= 0.8, lang
+
+
+def test_word_memory_keeps_frequent_words_and_stays_right():
+    coder = tokens.PieceEncoder(tokens.public_path(), slots=1 << 10)
+    library, r = coder.tokenizer, np.random.default_rng(4)
+    right = lambda t: np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    for at in range(0, 6000, 200):
+        texts = [" ".join(["the", "of", *(f"w{at + int(x)}" for x in r.integers(0, 300, 20))]) + "\nend" for _ in range(15)]
+        assert coder.encode(texts) == [right(t) for t in texts]
+        assert coder.young.n_words <= coder.young.most and coder.young.slots == 1 << 10
+    seen = coder.young.n_words
+    assert coder.encode(["of the"]) == [right("of the")] and coder.young.n_words <= seen + 2
+    many = " ".join(f"x{i}" for i in range(3000))
+    assert coder.encode([many]) == [right(many)]
+
+
+def test_long_words_with_equal_hashes_get_their_own_ids():
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((word + other).encode(), np.uint8)
+    for factor, seed in zip(tokens.FACTORS, (0, 1)):
+        h = hashing.WordHasher(factor, seed)(raw, np.array([0, 2048]), np.array([2048, 4096]))
+        assert h[0] == h[1]
+    coder = tokens.PieceEncoder(tokens.public_path())
+    for t in (word, other, "x " + word, "x " + other + " y"):
+        assert coder.encode([t]) == [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
 def test_attention_gradients():

@@ -12,13 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.bytewords import as_strings, joined, run_sums, spans, text_groups
+from tidemark.llm.bytewords import TERM, as_strings, joined, run_sums, spans, text_groups
 from tidemark.llm.common import release_memory, running_totals
 from tidemark.session import settle
 
-#: bytes of a term: digits, letters, and all of every character beyond ASCII
-TERM = np.zeros(256, bool)
-TERM[ord("0") : ord("9") + 1] = TERM[ord("A") : ord("Z") + 1] = TERM[ord("a") : ord("z") + 1] = TERM[0x80:] = True
 LAST_ID = 2**63 - 1
 
 

@@ -24,16 +24,57 @@ WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+class WordTable:
+    """Ids of words by a 128-bit hash, open addressing in arrays; a fixed number of slots, filled to 0.6 at most."""
+
+    def __init__(self, slots: int) -> None:
+        self.slots, self.most = slots, int(0.6 * slots)
+        self.keys = [np.zeros(slots, np.uint64) for _ in FACTORS]
+        self.at, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.ids, self.n_ids, self.n_words = np.zeros(1 << 16, "<u4"), 0, 0
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 for unknown ones."""
+        slot = (h1 >> np.uint64(1)).astype(np.int64) & (self.slots - 1)
+        out, todo = np.full(len(h1), -1), np.arange(len(h1))
+        while len(todo):
+            s, k1 = slot[todo], self.keys[0][slot[todo]]
+            hit = (k1 == h1[todo]) & (self.keys[1][s] == h2[todo])
+            out[todo[hit]] = s[hit]
+            todo = todo[~hit & (k1 != 0)]
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+        return out
+
+    def insert(self, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        """Distinct words not yet known; word i has the ``size[i]`` ids from ``first[i]`` on."""
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        slot, todo = (h1 >> np.uint64(1)).astype(np.int64) & (self.slots - 1), np.arange(len(h1))
+        while len(todo):
+            free = todo[self.keys[0][slot[todo]] == 0]
+            # of several words that want one slot, the last stays
+            self.keys[0][slot[free]], self.keys[1][slot[free]] = h1[free], h2[free]
+            won = free[(self.keys[0][slot[free]] == h1[free]) & (self.keys[1][slot[free]] == h2[free])]
+            self.at[slot[won]], self.size[slot[won]] = self.n_ids + first[won], size[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+        self.n_ids += len(ids)
+        self.n_words += len(h1)
+
+
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE tokenizer of the tokenizers library, remembering words.
 
     A byte-level BPE cuts a text at single blanks and line ends before it merges, so a word with the blank or line
     end before it has the same ids in any text. New words are encoded by the library, strung together; known ones
     are looked up by a 128-bit hash, whole batches at a time. Texts with other or repeated white space, whose cut
-    depends on more than the word, go to the library whole. A full memory is emptied, which costs only time.
+    depends on more than the word, and texts with a word of more than ``longest`` bytes go to the library whole: the
+    hash is sure to tell short words apart only. Memory is two tables of ``slots``: when the young one is full it
+    becomes the old one, and words met again come over from there, so frequent words stay whatever the vocabulary.
     """
 
-    def __init__(self, path: str, slots: int = 1 << 19) -> None:
+    def __init__(self, path: str, slots: int = 1 << 20, longest: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,60 +86,43 @@ class PieceEncoder:
             self.width[i] = len(name)
         self.hashers = [WordHasher(factor, seed) for seed, factor in enumerate(FACTORS)]
         self.kinds = np.random.default_rng(7).integers(1, 2**63, 3, dtype=np.uint64)
-        self._reserve(slots)
-
-    def _reserve(self, slots: int) -> None:
-        self.slots = slots
-        self.keys = [np.zeros(slots, np.uint64) for _ in FACTORS]
-        self.at, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
-        self.ids, self.n_ids, self.n_words = np.zeros(1 << 16, "<u4"), 0, 0
-
-    def _forget(self, words: int) -> None:
-        """Empty the memory, and make it larger if one group alone has more ``words`` than it should hold."""
-        while words > 0.6 * self.slots:
-            self._reserve(2 * self.slots)
-        for keys in self.keys:
-            keys.fill(0)
-        self.n_ids = self.n_words = 0
+        self.longest = longest
+        self.young, self.old = WordTable(slots), WordTable(slots)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The slot of each word, or of the free place where it belongs, as -1 - slot."""
-        slot = (h1 >> np.uint64(1)).astype(np.int64) & (self.slots - 1)
-        out, todo = np.empty(len(h1), np.int64), np.arange(len(h1))
-        while len(todo):
-            s, k1 = slot[todo], self.keys[0][slot[todo]]
-            free = k1 == 0
-            hit = (k1 == h1[todo]) & (self.keys[1][s] == h2[todo])
-            out[todo[hit]], out[todo[free]] = s[hit], -1 - s[free]
-            todo = todo[~(hit | free)]
-            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
-        return out
-
-    def _learn(self, text: bytes, begin: np.ndarray, end: np.ndarray, kind: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        pick = np.unique(h1, return_index=True)[1]
-        for before, members in ((b" ", pick[kind[pick] == 1]), (b"\n", pick[kind[pick] != 1])):
+    def _learn(self, text: bytes, begin: np.ndarray, end: np.ndarray, kind: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Bring the words of a group into the young table and give their slots; -1 where two words share a hash."""
+        slot = self.young.find(h1, h2)
+        pick = np.flatnonzero(slot < 0)
+        pick = pick[np.unique(h1[pick], return_index=True)[1]]
+        if self.young.n_words + len(pick) > self.young.most:
+            pick = np.unique(h1, return_index=True)[1]
+            slots = self.young.slots
+            while len(pick) > 0.6 * slots:
+                slots *= 2
+            self.old, self.young = self.young, WordTable(slots)
+        before = self.old.find(h1[pick], h2[pick])
+        met, where = pick[before >= 0], before[before >= 0]
+        if len(met):
+            size = self.old.size[where].astype(np.int64)
+            first = np.cumsum(size) - size
+            ids = self.old.ids[np.repeat(self.old.at[where] - first, size) + np.arange(int(size.sum()))]
+            self.young.insert(h1[met], h2[met], ids, first, size)
+        new = pick[before < 0]
+        for mark, members in ((b" ", new[kind[new] == 1]), (b"\n", new[kind[new] != 1])):
             for part in np.array_split(members, max(1, len(members) // 1000)):
                 if not len(part):
                     continue
-                pieces = [before + text[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())]
+                pieces = [mark + text[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())]
                 ids = np.array(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(x) for x in pieces])) + 1
+                cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(end[part] - begin[part] + 1)) + 1
                 first = np.concatenate([[0], cuts[:-1]])
                 # the first word of a text has no line end before it, which is an id of its own
-                bare = kind[part] == 0
-                while self.n_ids + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-                for i, a, n in zip(part.tolist(), (self.n_ids + first + bare).tolist(), (cuts - first - bare).tolist()):
-                    slot = int(h1[i] >> np.uint64(1)) & (self.slots - 1)
-                    while self.keys[0][slot]:
-                        slot = (slot + 1) & (self.slots - 1)
-                    self.keys[0][slot], self.keys[1][slot], self.at[slot], self.size[slot] = h1[i], h2[i], a, n
-                self.n_ids += len(ids)
-                self.n_words += len(part)
+                bare = (kind[part] == 0).astype(np.int64)
+                self.young.insert(h1[part], h2[part], ids, first + bare, cuts - first - bare)
+        return self.young.find(h1, h2)
 
     def encode(self, texts: list[str | None], most: int = 1 << 18) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null as empty.
@@ -136,26 +160,26 @@ class PieceEncoder:
         odd = np.zeros(len(parts), bool)
         odd[of[begin == end]] = True
         odd[np.searchsorted(ends_of_texts, np.flatnonzero(marks == 3))] = True
-        for j in np.flatnonzero(odd).tolist():
-            out[plain[j]] = self._ids(texts[plain[j]])
+        odd[of[end - begin > self.longest]] = True
         kind = np.where(marks[begin - 1] == 1, 1, 2)
         kind[0] = 0
         kind[1:][of[1:] != of[:-1]] = 0
         keep = ~odd[of]
         begin, end, kind, of = begin[keep], end[keep], kind[keep], of[keep]
-        if not len(begin):
-            return out
         h1, h2 = (hashed(raw, begin, end, self.kinds[kind]) for hashed in self.hashers)
-        slot = self._find(h1, h2)
-        if (new := slot < 0).any():
-            if self.n_words + int(new.sum()) > 0.6 * self.slots:
-                self._forget(len(slot))
-                new[:] = True
-            self._learn(text, begin[new], end[new], kind[new], h1[new], h2[new])
-            slot = self._find(h1, h2)
-        size = self.size[slot].astype(np.int64)
+        slot = self.young.find(h1, h2)
+        if (slot < 0).any():
+            slot = self._learn(text, begin, end, kind, h1, h2)
+            odd[of[slot < 0]] = True
+            keep = ~odd[of]
+            slot, of = slot[keep], of[keep]
+        for j in np.flatnonzero(odd).tolist():
+            out[plain[j]] = self._ids(texts[plain[j]])
+        if not len(of):
+            return out
+        size = self.young.size[slot].astype(np.int64)
         ends = np.cumsum(size)
-        flat = self.ids[np.repeat(self.at[slot] - (ends - size), size) + np.arange(ends[-1])].tobytes()
+        flat = self.young.ids[np.repeat(self.young.at[slot] - (ends - size), size) + np.arange(ends[-1])].tobytes()
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         cuts = np.append((ends - size)[first], ends[-1]).tolist()
         for j, a, b in zip(of[first].tolist(), cuts, cuts[1:]):
@@ -225,6 +249,9 @@ def token_digest(tokens: DataFrame) -> DataFrame:
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the files are written: what this worker remembered of words goes back to the system
+        _ENCODERS.clear()
+        release_memory()
         for batch in batches:
             lists = batch.column("ids")
             flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))
