@@ -15,12 +15,19 @@ from tidemark.plans import market
 EVENT = roles.PANEL_EVENT
 UNITS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
-# the weeks in which all five regions have orders
-FULL = f"""{roles.WEEKS}, p AS (SELECT * FROM weekly WHERE week IN (SELECT week FROM weekly GROUP BY 1 HAVING count(*) = 5))"""
+ALL_WEEKS = f"{roles.WEEKS}, p AS (SELECT * FROM weekly)"
+ROUNDS = 80
 
 
-def full_panel(t: Tables) -> DataFrame:
-    return panel.complete_periods(roles.weekly_panel(t), "unit", "week")
+def swept_sql(name: str, source: str, columns: str, keys: str = "", unit: str = "unit", period: str = "week", outs: tuple[str, ...] = ("yt", "dt"), kept: str = "") -> str:
+    """A recursive table that takes unit and period means off in turn until nothing is left of either."""
+    k = f"{keys}, " if keys else ""
+    more = f", {kept}" if kept else ""
+    by_unit = ", ".join(f"{o} - avg({o}) OVER (PARTITION BY {k}{unit}) AS {o}" for o in outs)
+    by_period = ", ".join(f"{o} - avg({o}) OVER (PARTITION BY {k}{period}) AS {o}" for o in outs)
+    return f"""{name}_steps AS (SELECT 0 AS step, {k}{unit}, {period}{more}, {columns} FROM {source} UNION ALL
+  SELECT step, {k}{unit}, {period}{more}, {by_period} FROM (SELECT step + 1 AS step, {k}{unit}, {period}{more}, {by_unit} FROM {name}_steps WHERE step < {ROUNDS})),
+{name} AS (SELECT * EXCLUDE (step) FROM {name}_steps WHERE step = {ROUNDS})"""
 
 
 def ci_sql(estimate: str = "estimate", error: str = "std_error") -> str:
@@ -89,41 +96,43 @@ def ols_hc1(t: Tables) -> DataFrame:
     return regression.ols(roles.weekly_panel(t), "y", ["treated", "post", "did"])
 
 
-WITHIN = """w AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY week) + avg(y) OVER () AS yt,
-  did - avg(did) OVER (PARTITION BY unit) - avg(did) OVER (PARTITION BY week) + avg(did) OVER () AS dt FROM p),
+WITHIN = swept_sql("w", "p", "y AS yt, did::DOUBLE AS dt") + """,
 b AS (SELECT sum(dt * yt) / sum(dt * dt) AS estimate, sum(dt * dt) AS dd, count(*) AS n, count(DISTINCT unit) AS u, count(DISTINCT week) AS t FROM w)"""
 
 
-@query("twfe_did", f"""WITH {FULL}, {WITHIN},
+@query("twfe_did", f"""WITH RECURSIVE {ALL_WEEKS}, {WITHIN},
   s AS (SELECT any_value(estimate) AS estimate, sqrt(sum(dt * dt * (yt - estimate * dt) * (yt - estimate * dt)) * any_value(n) / (any_value(n) - any_value(u) - any_value(t))) / any_value(dd) AS std_error,
     any_value(n) AS n_rows, any_value(u) AS n_units, any_value(t) AS n_periods FROM w, b) SELECT *, {ci_sql()}, {normal_p_sql('(estimate / std_error)')} AS p_value FROM s""", f"{CI} p_value")
 def twfe_did(t: Tables) -> DataFrame:
-    return timeseries.with_p(panel.twfe(full_panel(t), "unit", "week"))
+    return timeseries.with_p(panel.twfe(roles.weekly_panel(t), "unit", "week"))
 
 
-STUDY = f"""{FULL}, c AS (SELECT *, y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY week) + avg(y) OVER () AS yt, treated - avg(treated) OVER () AS c FROM p),
-f AS (SELECT count(*) AS n, count(DISTINCT unit) AS u, count(DISTINCT week) AS t, count(DISTINCT rel_week) - 1 AS k, sum(c * c) / count(DISTINCT week) AS s FROM c),
-z AS (SELECT rel_week, sum(c * yt) / any_value(s) / count(DISTINCT week) AS z, count(DISTINCT week) AS m FROM c, f GROUP BY 1),
-e AS (SELECT rel_week, m, z - (SELECT z FROM z WHERE rel_week = -1) AS coef FROM z), g AS (SELECT sum(coef * m) / sum(m) AS center FROM e),
-q AS (SELECT rel_week, any_value(coef) AS coef, any_value(n) / (any_value(n) - (any_value(u) + any_value(t) - 1 + any_value(k))) / power(any_value(s), 2)
-    * sum(c * c * power(yt - c * (coef - center), 2)) / power(any_value(m), 2) AS v FROM c JOIN e USING (rel_week), f, g GROUP BY 1),
-a AS (SELECT avg(coef) AS avg_post, sqrt(sum(v) / power(count(*), 2) + (SELECT v FROM q WHERE rel_week = -1)) AS avg_post_se FROM q WHERE rel_week >= 0),
-study AS (SELECT rel_week, CASE WHEN rel_week = -1 THEN 0 ELSE coef END AS coef, CASE WHEN rel_week = -1 THEN 0 ELSE sqrt(v + (SELECT v FROM q WHERE rel_week = -1)) END AS std_error,
-  avg_post, avg_post_se FROM q, a)"""
+# one region is treated, so its weeks are groups of their own beside the other regions: an effect is the gap of two such
+# groups, and its weight on each row is the group's dummy freed of the weeks and of all groups but the reference
+STUDY = f"""{ALL_WEEKS}, grp AS (SELECT *, CASE WHEN treated = 1 THEN 'w' || rel_week ELSE unit END AS grp FROM p),
+{swept_sql("fit", "grp", "y AS e", "", "grp", "week", ("e",), "unit, rel_week")},
+ks AS (SELECT DISTINCT rel_week AS k FROM p WHERE rel_week <> -1), xs AS (SELECT k, unit, week, CASE WHEN treated = 1 AND rel_week = k THEN 'w-1' ELSE grp END AS grp, CASE WHEN treated = 1 AND rel_week = k THEN 1.0::DOUBLE ELSE 0 END AS x FROM grp, ks),
+{swept_sql("xw", "xs", "x", "k", "grp", "week", ("x",), "unit")},
+wt AS (SELECT k, unit, week, x / sum(x * x) OVER (PARTITION BY k) AS w FROM xw),
+f AS (SELECT count(*) / (count(*) - (count(DISTINCT unit) + count(DISTINCT week) - 1 + count(DISTINCT rel_week) - 1))::DOUBLE AS f FROM p),
+ce AS (SELECT k AS rel_week, sum(w * y) AS coef, sqrt(any_value(f) * sum(w * w * e * e)) AS std_error FROM wt JOIN p USING (unit, week) JOIN fit USING (unit, week), f GROUP BY 1),
+av AS (SELECT unit, week, avg(w) AS w FROM wt WHERE k >= 0 GROUP BY 1, 2),
+a AS (SELECT sum(w * y) AS avg_post, sqrt(any_value(f) * sum(w * w * e * e)) AS avg_post_se FROM av JOIN p USING (unit, week) JOIN fit USING (unit, week), f),
+study AS (SELECT rel_week, coef, std_error, avg_post, avg_post_se FROM (SELECT * FROM ce UNION ALL SELECT -1, 0, 0), a)"""
 
 
-@query("event_study", f"WITH {STUDY} SELECT *, {ci_sql('coef')} FROM study", "coef std_error avg_post avg_post_se ci95_low ci95_high")
+@query("event_study", f"WITH RECURSIVE {STUDY} SELECT *, {ci_sql('coef')} FROM study", "coef std_error avg_post avg_post_se ci95_low ci95_high")
 def event_study(t: Tables) -> DataFrame:
-    return panel.event_study(full_panel(t), "unit", "week")
+    return panel.event_study(roles.weekly_panel(t), "unit", "week")
 
 
-@query("pretrend_screen", f"""WITH {STUDY} SELECT count(*) AS weeks_checked, count(CASE WHEN abs(coef) > 1.96 * std_error THEN 1 END) AS significant_weeks,
+@query("pretrend_screen", f"""WITH RECURSIVE {STUDY} SELECT count(*) AS weeks_checked, count(CASE WHEN abs(coef) > 1.96 * std_error THEN 1 END) AS significant_weeks,
   max(abs(coef)) AS max_abs, avg(abs(coef)) AS mean_abs, count(CASE WHEN abs(coef) > 1.96 * std_error THEN 1 END) > 0 AS pretrend_flag FROM study WHERE rel_week < -1""", "max_abs mean_abs")
 def pretrend_screen(t: Tables) -> DataFrame:
-    return panel.pretrend_screen(panel.event_study(full_panel(t), "unit", "week"))
+    return panel.pretrend_screen(panel.event_study(roles.weekly_panel(t), "unit", "week"))
 
 
-@query("estimate_ladder", f"""WITH {STUDY}, {WITHIN},
+@query("estimate_ladder", f"""WITH RECURSIVE {STUDY}, {WITHIN},
   l0 AS (SELECT avg(CASE WHEN post = 1 THEN y END) - avg(CASE WHEN post = 0 THEN y END) AS estimate,
     sqrt(var_samp(CASE WHEN post = 1 THEN y END) / count(CASE WHEN post = 1 THEN y END) + var_samp(CASE WHEN post = 0 THEN y END) / count(CASE WHEN post = 0 THEN y END)) AS std_error FROM p WHERE treated = 1),
   cc AS (SELECT treated, post, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM p GROUP BY 1, 2),
@@ -135,15 +144,16 @@ def pretrend_screen(t: Tables) -> DataFrame:
   SELECT rung, estimate, std_error, {ci_sql()}, CASE WHEN rung = 'L4_pretrend_screen' AND flag THEN 'pretrend_flagged' WHEN estimate - 1.96 * std_error > 0 THEN 'yes' ELSE 'no_or_uncertain' END AS decision,
     {normal_p_sql('(estimate / std_error)')} AS p_value FROM r, fl""", f"{CI} p_value")
 def estimate_ladder(t: Tables) -> DataFrame:
-    return panel.run_ladder(full_panel(t), "unit", "week")
+    return panel.run_ladder(roles.weekly_panel(t), "unit", "week")
 
 
-@query("unit_permutation", f"""WITH {FULL}, c AS (SELECT unit, avg(CASE WHEN post = 1 THEN y END) - avg(CASE WHEN post = 0 THEN y END) AS d FROM p GROUP BY 1),
-  e AS (SELECT unit AS pseudo_treated_unit, CASE WHEN unit = 'ASIA' THEN 1 ELSE 0 END AS is_actual_treated, d - (sum(d) OVER () - d) / (count(*) OVER () - 1) AS estimate FROM c)
+@query("unit_permutation", f"""WITH RECURSIVE {ALL_WEEKS}, c AS (SELECT g.unit AS pseudo, p.unit, p.week, y, CASE WHEN p.unit = g.unit AND post = 1 THEN 1.0::DOUBLE ELSE 0 END AS did FROM p, (SELECT DISTINCT unit FROM p) g),
+  {swept_sql("w", "c", "y AS yt, did AS dt", "pseudo")},
+  e AS (SELECT pseudo AS pseudo_treated_unit, CASE WHEN pseudo = 'ASIA' THEN 1 ELSE 0 END AS is_actual_treated, sum(dt * yt) / sum(dt * dt) AS estimate FROM w GROUP BY 1)
   SELECT *, rank() OVER (ORDER BY abs(estimate) DESC) AS abs_rank, (SELECT avg(CASE WHEN abs(x.estimate) >= (SELECT abs(estimate) FROM e WHERE is_actual_treated = 1) - 1e-12 THEN 1.0 ELSE 0.0 END) FROM e x) AS p_two_sided FROM e""",
        "estimate p_two_sided")
 def unit_permutation(t: Tables) -> DataFrame:
-    return panel.permute_units(full_panel(t), "unit", "ASIA")
+    return panel.permute_units(roles.weekly_panel(t), "unit", "ASIA", "week")
 
 
 SHIFTS = [(d, f"1998-06-{8 + d:02d}") for d in range(-7, 8)]
@@ -158,12 +168,10 @@ SPEC_ROWS = ", ".join(
 )
 
 
-@query("sensitivity_grid", f"""WITH {roles.WEEKS}, spec(spec_id, event, win, tu, us) AS (VALUES {SPEC_ROWS}),
+@query("sensitivity_grid", f"""WITH RECURSIVE {roles.WEEKS}, spec(spec_id, event, win, tu, us) AS (VALUES {SPEC_ROWS}),
   r AS (SELECT spec_id, unit, week, y, CASE WHEN unit = tu THEN 1 ELSE 0 END AS treated, CASE WHEN week >= event THEN 1 ELSE 0 END AS post FROM weekly, spec
     WHERE date_diff('day', event, week) BETWEEN -win AND win AND (len(us) = 0 OR list_contains(us, unit))),
-  p AS (SELECT *, treated * post AS did FROM r JOIN (SELECT spec_id, week FROM r GROUP BY 1, 2 HAVING count(*) = (SELECT count(DISTINCT q.unit) FROM r q WHERE q.spec_id = r.spec_id)) USING (spec_id, week)),
-  w AS (SELECT *, y - avg(y) OVER (PARTITION BY spec_id, unit) - avg(y) OVER (PARTITION BY spec_id, week) + avg(y) OVER (PARTITION BY spec_id) AS yt,
-    did - avg(did) OVER (PARTITION BY spec_id, unit) - avg(did) OVER (PARTITION BY spec_id, week) + avg(did) OVER (PARTITION BY spec_id) AS dt FROM p),
+  p AS (SELECT *, treated * post AS did FROM r), {swept_sql("w", "p", "y AS yt, did::DOUBLE AS dt", "spec_id")},
   b AS (SELECT spec_id, sum(dt * yt) / sum(dt * dt) AS estimate, sum(dt * dt) AS dd, count(*) AS n, count(DISTINCT unit) AS u, count(DISTINCT week) AS t FROM w GROUP BY 1),
   s AS (SELECT spec_id, any_value(estimate) AS estimate, sqrt(sum(dt * dt * power(yt - estimate * dt, 2)) * any_value(n) / (any_value(n) - any_value(u) - any_value(t))) / any_value(dd) AS std_error,
     any_value(n) AS n_rows, any_value(u) AS n_units, any_value(t) AS n_periods FROM w JOIN b USING (spec_id) GROUP BY 1) SELECT *, {ci_sql()} FROM s""", CI)
@@ -171,30 +179,31 @@ def sensitivity_grid(t: Tables) -> DataFrame:
     return panel.sensitivity_grid(roles.weekly_panel(t), "unit", "week", SPECS)
 
 
-@query("wild_cluster", f"""WITH {FULL}, {WITHIN}, g AS (SELECT unit, sum(dt * yt) / any_value(dd) AS c, row_number() OVER (ORDER BY unit) - 1 AS i FROM w, b GROUP BY 1),
+@query("wild_cluster", f"""WITH RECURSIVE {ALL_WEEKS}, {WITHIN}, g AS (SELECT unit, sum(dt * yt) / any_value(dd) AS c, row_number() OVER (ORDER BY unit) - 1 AS i FROM w, b GROUP BY 1),
   v AS (SELECT unnest(generate_series(0, 31)) AS v), d AS (SELECT v, sum(CASE WHEN (v >> i::INT) & 1 = 1 THEN c ELSE -c END) AS x FROM v, g GROUP BY 1)
   SELECT (SELECT estimate FROM b) AS estimate, 5 AS cluster_count, count(*) AS sign_assignments, avg(CASE WHEN abs(x) >= abs((SELECT estimate FROM b)) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p_value,
   quantile_cont(x, 0.025) AS ci95_low, quantile_cont(x, 0.975) AS ci95_high FROM d""", "estimate p_value ci95_low ci95_high")
 def wild_cluster(t: Tables) -> DataFrame:
-    return clusters.wild_cluster(full_panel(t), "unit", "week")
+    return clusters.wild_cluster(roles.weekly_panel(t), "unit", "week")
 
 
-@query("cluster_robust_t", f"""WITH {FULL}, {WITHIN}, g AS (SELECT unit, sum(dt * (yt - estimate * dt)) / any_value(dd) AS score, any_value(n) AS n, any_value(u) AS u, any_value(t) AS t, any_value(estimate) AS estimate FROM w, b GROUP BY 1),
+@query("cluster_robust_t", f"""WITH RECURSIVE {ALL_WEEKS}, {WITHIN}, g AS (SELECT unit, sum(dt * (yt - estimate * dt)) / any_value(dd) AS score, any_value(n) AS n, any_value(u) AS u, any_value(t) AS t, any_value(estimate) AS estimate FROM w, b GROUP BY 1),
   s AS (SELECT any_value(estimate) AS estimate, sqrt(sum(score * score) * any_value(u) / (any_value(u) - 1) * (any_value(n) - 1) / (any_value(n) - any_value(u) - any_value(t))) AS std_error FROM g)
   SELECT estimate, std_error, 5 AS clusters, estimate / std_error AS t FROM s""", "estimate std_error t", digits=5)
 def cluster_robust_t(t: Tables) -> DataFrame:
-    return clusters.crv1(full_panel(t), "unit", "week").drop("t_p_value", "sign_p_value")
+    return clusters.crv1(roles.weekly_panel(t), "unit", "week").drop("t_p_value", "sign_p_value")
 
 
-@query("cluster_sign_enumeration", f"""WITH {FULL}, {WITHIN}, gi AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i FROM (SELECT DISTINCT unit FROM w)), v AS (SELECT unnest(generate_series(0, 31)) AS v),
+@query("cluster_sign_enumeration", f"""WITH RECURSIVE {ALL_WEEKS}, {WITHIN}, gi AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS i FROM (SELECT DISTINCT unit FROM w)), v AS (SELECT unnest(generate_series(0, 31)) AS v),
   x AS (SELECT v, unit, week, dt, CASE WHEN (v >> i::INT) & 1 = 1 THEN yt ELSE -yt END AS sr FROM v, w JOIN gi USING (unit)), bs AS (SELECT v, sum(dt * sr) / sum(dt * dt) AS beta FROM x GROUP BY 1),
-  e AS (SELECT x.v, unit, dt, beta, sr - avg(sr) OVER (PARTITION BY x.v, week) - beta * dt AS e FROM x JOIN bs ON bs.v = x.v), g AS (SELECT v, unit, any_value(beta) AS beta, sum(dt * e) AS score FROM e GROUP BY 1, 2),
+  {swept_sql("sx", "x", "sr", "v", "unit", "week", ("sr",), "dt")},
+  g AS (SELECT v, unit, any_value(beta) AS beta, sum(dt * (sr - beta * dt)) AS score FROM sx JOIN bs USING (v) GROUP BY 1, 2),
   ts AS (SELECT v, any_value(beta) AS beta, sqrt(any_value(u) / (any_value(u) - 1) * (any_value(n) - 1) / (any_value(n) - any_value(u) - any_value(t)) * sum(score * score)) / any_value(dd) AS se FROM g, b GROUP BY 1),
   own AS (SELECT beta AS estimate, se AS std_error, beta / se AS t FROM ts WHERE v = 31)
   SELECT estimate, std_error, 5 AS clusters, t, (SELECT avg(CASE WHEN abs(beta / se) >= abs(t) - 1e-10 THEN 1.0 ELSE 0.0 END) FROM ts) AS sign_p_value, {student4_p_sql('t')} AS t_p_value FROM own""",
        "estimate std_error t sign_p_value t_p_value", digits=5)
 def cluster_sign_enumeration(t: Tables) -> DataFrame:
-    return clusters.crv1(full_panel(t), "unit", "week")
+    return clusters.crv1(roles.weekly_panel(t), "unit", "week")
 
 
 @query("synthetic_gaps")
@@ -202,9 +211,9 @@ def synthetic_gaps(t: Tables) -> DataFrame:
     return synthetic.synthetic_gaps(roles.weekly_panel(t), "unit", "week", EVENT, "ASIA")
 
 
-@query("synthetic_inputs", f"WITH {FULL} SELECT unit, post, count(*) AS n, avg(y) AS mean FROM p GROUP BY 1, 2", "mean")
+@query("synthetic_inputs", f"WITH RECURSIVE {ALL_WEEKS} SELECT unit, post, count(*) AS n, avg(y) AS mean FROM p GROUP BY 1, 2", "mean")
 def synthetic_inputs(t: Tables) -> DataFrame:
-    return full_panel(t).groupBy("unit", "post").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
+    return roles.weekly_panel(t).groupBy("unit", "post").agg(F.count("*").alias("n"), F.avg("y").alias("mean"))
 
 
 DAILY = f"""{roles.PANEL}, gap AS (SELECT day, ln(1 + avg(CASE WHEN unit = 'ASIA' THEN volume END)) - ln(1 + avg(CASE WHEN unit = 'EUROPE' THEN volume END)) AS gap,
@@ -297,11 +306,11 @@ def aggregation_bins(t: Tables) -> DataFrame:
     return timeseries.bin_composition(relative_gap(t))
 
 
-@query("panel_decomposition", f"""WITH {FULL}, d AS (SELECT *, avg(y) OVER (PARTITION BY week) AS dm, avg(y) OVER (PARTITION BY unit) AS um, avg(y) OVER () AS g, date_diff('day', DATE '1970-01-01', week)::DOUBLE AS x FROM p)
+@query("panel_decomposition", f"""WITH RECURSIVE {ALL_WEEKS}, d AS (SELECT *, avg(y) OVER (PARTITION BY week) AS dm, avg(y) OVER (PARTITION BY unit) AS um, avg(y) OVER () AS g, date_diff('day', DATE '1970-01-01', week)::DOUBLE AS x FROM p)
   SELECT unit, count(*) AS n, any_value(um) AS unit_mean, any_value(um) - any_value(g) AS unit_effect, regr_slope(y, x) AS slope_per_day, stddev_samp(y) AS sd, stddev_samp(y - dm - um + g) AS resid_sd, corr(y, dm) AS corr_with_day_mean FROM d GROUP BY 1""",
        "unit_mean unit_effect slope_per_day sd resid_sd corr_with_day_mean", digits=8)
 def panel_decomposition(t: Tables) -> DataFrame:
-    return timeseries.decompose_panel(full_panel(t), "unit", "week")
+    return timeseries.decompose_panel(roles.weekly_panel(t), "unit", "week")
 
 
 @query("weekday_effects", f"""WITH {roles.PANEL}, l AS (SELECT day, ln(1 + volume) AS y FROM regional), d AS (SELECT day, avg(y) AS m FROM l GROUP BY 1)
@@ -310,10 +319,10 @@ def weekday_effects(t: Tables) -> DataFrame:
     return timeseries.weekday_effects(roles.regional_days(t).withColumn("y", F.log1p("volume")), "day").withColumn("weekday", F.col("weekday").cast("bigint"))
 
 
-@query("effect_size_gate", f"""WITH {FULL}, d AS (SELECT unit, stddev_samp(y) AS sd FROM p GROUP BY 1), e(effect_name, effect) AS (VALUES ('small', 0.05::DOUBLE), ('medium', 0.15::DOUBLE), ('large', 0.5::DOUBLE))
+@query("effect_size_gate", f"""WITH RECURSIVE {ALL_WEEKS}, d AS (SELECT unit, stddev_samp(y) AS sd FROM p GROUP BY 1), e(effect_name, effect) AS (VALUES ('small', 0.05::DOUBLE), ('medium', 0.15::DOUBLE), ('large', 0.5::DOUBLE))
   SELECT unit, sd, effect_name, effect / sd AS sd_units, effect / sd < 0.25 AS below_gate, effect / sd > 1.0 AS above_gate FROM d, e""", "sd sd_units")
 def effect_size_gate(t: Tables) -> DataFrame:
-    spread = full_panel(t).groupBy("unit").agg(F.stddev_samp("y").alias("sd"))
+    spread = roles.weekly_panel(t).groupBy("unit").agg(F.stddev_samp("y").alias("sd"))
     return timeseries.effect_gate(spread, "sd", {"small": 0.05, "medium": 0.15, "large": 0.5})
 
 
@@ -605,10 +614,9 @@ def mechanism_audit(t: Tables) -> DataFrame:
     return matching.mechanism_audit(rows, "graduated_at", 50)
 
 
-@query("frequency_sensitivity", f"""WITH {roles.PANEL}, m AS (SELECT unit, strftime(date_trunc('month', day), '%Y-%m-%d') AS period, 'monthly' AS layer, ln(1 + sum(volume)) AS y, max(treated) AS treated, CASE WHEN date_trunc('month', day) >= DATE '{EVENT}' THEN 1 ELSE 0 END AS post FROM regional GROUP BY ALL),
+@query("frequency_sensitivity", f"""WITH RECURSIVE {roles.PANEL}, m AS (SELECT unit, strftime(date_trunc('month', day), '%Y-%m-%d') AS period, 'monthly' AS layer, ln(1 + sum(volume)) AS y, max(treated) AS treated, CASE WHEN date_trunc('month', day) >= DATE '{EVENT}' THEN 1 ELSE 0 END AS post FROM regional GROUP BY ALL),
   wk AS (SELECT unit, strftime(date_trunc('week', day), '%Y-%m-%d') AS period, 'weekly' AS layer, ln(1 + sum(volume)) AS y, max(treated) AS treated, CASE WHEN date_trunc('week', day) >= DATE '{EVENT}' THEN 1 ELSE 0 END AS post FROM regional GROUP BY ALL),
-  r AS (SELECT * FROM m UNION ALL SELECT * FROM wk), p AS (SELECT *, treated * post AS did FROM r JOIN (SELECT layer, period FROM r GROUP BY 1, 2 HAVING count(*) = 5) USING (layer, period)),
-  w AS (SELECT *, y - avg(y) OVER (PARTITION BY layer, unit) - avg(y) OVER (PARTITION BY layer, period) + avg(y) OVER (PARTITION BY layer) AS yt, did - avg(did) OVER (PARTITION BY layer, unit) - avg(did) OVER (PARTITION BY layer, period) + avg(did) OVER (PARTITION BY layer) AS dt FROM p),
+  r AS (SELECT * FROM m UNION ALL SELECT * FROM wk), p AS (SELECT *, treated * post AS did FROM r), {swept_sql("w", "p", "y AS yt, did::DOUBLE AS dt", "layer", "unit", "period")},
   b AS (SELECT layer, sum(dt * yt) / sum(dt * dt) AS estimate, sum(dt * dt) AS dd, count(*) AS n, count(DISTINCT unit) AS u, count(DISTINCT period) AS t FROM w GROUP BY 1),
   s AS (SELECT layer, any_value(estimate) AS estimate, sqrt(sum(dt * dt * power(yt - estimate * dt, 2)) * any_value(n) / (any_value(n) - any_value(u) - any_value(t))) / any_value(dd) AS std_error, any_value(n) AS n_rows, any_value(u) AS n_units, any_value(t) AS n_periods FROM w JOIN b USING (layer) GROUP BY 1)
   SELECT *, {ci_sql()} FROM s""", CI)

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.estimators.panel import _within
 from tidemark.estimators.tails import student_p
+from tidemark.estimators.twoway import meetings, square, two_way_residuals
 from tidemark.session import settle
 
 MOST_CLUSTERS = 16
@@ -18,8 +18,8 @@ MOST_CLUSTERS = 16
 
 def _residualized(df: DataFrame, unit: str, period: str, y: str, d: str) -> DataFrame:
     """Columns r (outcome) and w (treatment), both free of unit and period effects."""
-    rows = df.where(F.col(y).isNotNull())
-    return settle(_within(rows, [], unit, period, {y: "r", d: "w"}).select(unit, period, "r", "w"))
+    rows = settle(df.where(F.col(y).isNotNull()).select(unit, period, F.col(y).alias("__y"), F.col(d).alias("__d")))
+    return settle(two_way_residuals(rows, unit, period, {"__y": "r", "__d": "w"}).select(unit, period, "r", "w"))
 
 
 def _signs(clusters: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def _signs(clusters: DataFrame) -> DataFrame:
 
 
 def wild_cluster(df: DataFrame, unit: str, period: str, y: str = "y", d: str = "did") -> DataFrame:
-    """Exact wild cluster bootstrap over all Rademacher sign vectors, restricted residuals, balanced panel.
+    """Exact wild cluster bootstrap over all Rademacher sign vectors, restricted residuals; units may miss periods.
 
     The bootstrap estimate is linear in the signs: b* = sum_g s_g c_g with c_g = sum(w r) / sum(w^2), so a panel of
     any size becomes one number per cluster before anything is enumerated.
@@ -58,21 +58,33 @@ def wild_cluster(df: DataFrame, unit: str, period: str, y: str = "y", d: str = "
 def crv1(df: DataFrame, unit: str, period: str, y: str = "y", d: str = "did") -> DataFrame:
     """Cluster-robust t with the usual finite-sample factor, t(G-1) tail, and the exact sign enumeration on t.
 
-    For a sign vector the cluster score needs three sums: own cross products, cross products with the other
-    clusters on the same date (the date effect is re-estimated), and squared treatment.
+    Signs change whole clusters, and unit and period effects are fitted anew for each sign vector. That fit is linear
+    in the signs, so a cluster's score needs its own cross products, one number per other cluster (through the
+    periods and, where units miss periods, the unit effects), and its squared treatment.
     """
     rows = _residualized(df, unit, period, y, d)
-    facts = rows.agg(F.struct(
-        F.sum(F.col("w") * F.col("w")).alias("s"), F.sum(F.col("w") * F.col("r")).alias("wr"), F.count("*").alias("n"),
-        F.count_distinct(unit).alias("g"), F.count_distinct(period).alias("t"),
-    )).scalar()
-    own = rows.groupBy(unit).agg(F.sum(F.col("w") * F.col("r")).alias("a"), F.sum(F.col("w") * F.col("w")).alias("d"))
-    # residuals of one date as an array: one entry per cluster, at most MOST_CLUSTERS
-    dates = rows.groupBy(period).agg(F.sort_array(F.collect_list(F.struct(unit, "r"))).alias("rs"))
-    cross = rows.join(dates, period).select(unit, "w", F.posexplode("rs").alias("h", "other")).groupBy(unit, "h").agg(
-        F.sum(F.col("w") * F.col("other.r")).alias("b")
-    ).groupBy(unit).agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "b"))), lambda p: p["b"]).alias("b"))
-    one = own.join(cross, unit).agg(F.sort_array(F.collect_list(F.struct(unit, "a", "d", "b"))).alias("c")).withColumn("f", facts)
+    facts = rows.agg(
+        F.sum(F.col("w") * F.col("w")).alias("s"), F.count("*").alias("n"), F.count_distinct(unit).alias("g"), F.count_distinct(period).alias("t")
+    ).first()
+    if facts["g"] > MOST_CLUSTERS:
+        raise ValueError(f"exact enumeration supports at most {MOST_CLUSTERS} clusters")
+    cells = settle(rows.groupBy(unit, period).agg(F.count("*").alias("__n"), F.sum("r").alias("__r"), F.sum("w").alias("__w")))
+    own = {r[unit]: r for r in rows.groupBy(unit).agg(F.sum(F.col("w") * F.col("r")).alias("a"), F.sum(F.col("w") * F.col("w")).alias("d"), F.count("*").alias("n")).collect()}
+    names = sorted(own)
+    # period by period, what each cluster puts beside each other one: w r, w n and n r over the rows of the period
+    totals = cells.groupBy(period).agg(F.sum("__n").alias("__total"))
+    left = cells.join(totals, period).select(period, F.col(unit).alias("a"), (F.col("__w") / F.col("__total")).alias("__w"), (F.col("__n") / F.col("__total")).alias("__m"))
+    right = cells.select(period, F.col(unit).alias("b"), "__n", "__r")
+    met = left.join(right, period).groupBy("a", "b").agg(
+        F.sum(F.col("__w") * F.col("__r")).alias("wr"), F.sum(F.col("__w") * F.col("__n")).alias("wn"), F.sum(F.col("__m") * F.col("__r")).alias("nr")
+    ).toArrow()
+    wr, wn, nr = (square(met, names, v) for v in ("wr", "wn", "nr"))
+    system = np.diag([float(own[u]["n"]) for u in names]) - square(meetings(cells, unit, period, []).toArrow(), names)
+    cross = wr + wn @ np.linalg.pinv(system, rcond=1e-11) @ nr
+    c = [(float(own[u]["a"]), float(own[u]["d"]), [float(x) for x in cross[i]]) for i, u in enumerate(names)]
+    one = df.sparkSession.createDataFrame(
+        [(c, (float(facts["s"]), facts["n"], facts["g"], facts["t"]))], "c array<struct<a: double, d: double, b: array<double>>>, f struct<s: double, n: bigint, g: bigint, t: bigint>"
+    )
     k = F.col("f.g") + F.col("f.t")
     factor = F.col("f.g") / (F.col("f.g") - 1) * (F.col("f.n") - 1) / (F.col("f.n") - k)
 
@@ -82,7 +94,7 @@ def crv1(df: DataFrame, unit: str, period: str, y: str = "y", d: str = "did") ->
     def scores(signs):
         beta = total(F.zip_with(signs, "c", lambda s, c: s * c["a"])) / F.col("f.s")
         score = F.transform("c", lambda c, i: (
-            F.get(signs, i) * c["a"] - total(F.zip_with(signs, c["b"], lambda s, b: s * b)) / F.col("f.g") - beta * c["d"]
+            F.get(signs, i) * c["a"] - total(F.zip_with(signs, c["b"], lambda s, b: s * b)) - beta * c["d"]
         ) / F.col("f.s"))
         return beta, F.sqrt(factor * total(F.transform(score, lambda x: x * x)))
 

@@ -1,7 +1,7 @@
 """Difference-in-differences on unit x period panels, without design matrices.
 
-On a balanced panel two-way fixed effects are removed by subtracting unit and period means. Point estimates and
-their HC1 errors then are sums, so a spec, a pseudo-treated unit or a sample is just another grouping key.
+Two-way fixed effects are swept out of the columns first, on panels with gaps too. Point estimates and their HC1
+errors then are sums, so a spec, a pseudo-treated unit or a sample is just another grouping key.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.estimators.tails import normal_p
+from tidemark.estimators.twoway import MOST_LEVELS, meetings, square, two_way_residuals
 from tidemark.functions.scalars import rel_day, rel_week
 from tidemark.operators import windows
 from tidemark.session import settle
@@ -39,20 +41,6 @@ def with_interval(df: DataFrame, estimate: str = "estimate", error: str = "std_e
     return df.withColumn("ci95_low", low).withColumn("ci95_high", high)
 
 
-def complete_periods(panel: DataFrame, unit: str, period: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows of the periods in which every unit is observed: the balanced part of the panel, settled."""
-    panel = settle(panel)
-    seen = panel.where(F.col("y").isNotNull()).select(*keys, unit, period).distinct()
-    counts = seen.groupBy(*keys, period).agg(F.count("*").alias("__seen"))
-    units = seen.select(*keys, unit).distinct()
-    if keys:
-        total = units.groupBy(*keys).agg(F.count("*").alias("__units"))
-        full = counts.join(total, list(keys)).where("__seen = __units").select(*keys, period)
-    else:
-        full = counts.where(F.col("__seen") == units.agg(F.count("*")).scalar()).select(period)
-    return settle(panel.join(full, [*keys, period], "left_semi"))
-
-
 def mean_diff(df: DataFrame, keys: Sequence[str], y: str, group: str) -> DataFrame:
     """Two-sample mean difference (group 1 minus group 0) with unequal variances."""
     def side(v: int) -> Column:
@@ -81,29 +69,13 @@ def did(df: DataFrame, keys: Sequence[str] = (), y: str = "y") -> DataFrame:
     return with_interval(out.select(*keys, "n_rows", "estimate", error.alias("std_error")))
 
 
-def _within(df: DataFrame, keys: Sequence[str], unit: str, period: str, columns: dict[str, str]) -> DataFrame:
-    """Subtract unit and period means and add the grand mean, for several columns at once."""
-    def means(by: Sequence[str], mark: str) -> DataFrame:
-        return df.groupBy(*by).agg(*[F.avg(c).alias(f"__{mark}_{c}") for c in columns])
-
-    joined = df.join(means([*keys, unit], "u"), [*keys, unit]).join(means([*keys, period], "t"), [*keys, period])
-    if keys:
-        joined = joined.join(means(keys, "g"), list(keys))
-    else:
-        grand = means([], "g").select(F.struct("*")).scalar()
-        joined = joined.withColumn("__grand", grand).select("*", *[F.col(f"__grand.__g_{c}").alias(f"__g_{c}") for c in columns])
-    for c, out in columns.items():
-        joined = joined.withColumn(out, F.col(c) - F.col(f"__u_{c}") - F.col(f"__t_{c}") + F.col(f"__g_{c}"))
-    return joined.drop(*[f"__{m}_{c}" for m in "utg" for c in columns], "__grand")
-
-
 def twfe(df: DataFrame, unit: str, period: str, keys: Sequence[str] = (), y: str = "y", d: str = "did") -> DataFrame:
-    """Two-way fixed-effects DiD on balanced groups with HC1 errors that count every dummy.
+    """Two-way fixed-effects DiD with HC1 errors that count every dummy; units may miss periods.
 
     Not estimable (null) when one of the four treated x post cells is empty.
     """
-    panel = df.where(F.col(y).isNotNull())
-    rows = settle(_within(panel, keys, unit, period, {y: "__y", d: "__d"}))
+    panel = settle(df.where(F.col(y).isNotNull()))
+    rows = settle(two_way_residuals(panel, unit, period, {y: "__y", d: "__d"}, keys))
     slopes = rows.groupBy(*keys).agg(
         F.sum(F.col("__d") * F.col("__y")).alias("__dy"), F.sum(F.col("__d") * F.col("__d")).alias("__dd"), F.count("*").alias("n_rows"),
         *[F.max(((F.col("treated") == a) & (F.col("post") == b)).cast("int")).alias(f"__c{a}{b}") for a in (0, 1) for b in (0, 1)],
@@ -130,47 +102,41 @@ def twfe(df: DataFrame, unit: str, period: str, keys: Sequence[str] = (), y: str
 
 
 def event_study(df: DataFrame, unit: str, period: str, y: str = "y", reference: int = -1) -> DataFrame:
-    """Treated x relative-week effects with unit and period effects on a balanced panel, HC1.
+    """Treated x relative-week effects with unit and period effects, HC1; units may miss periods.
 
-    A treated dummy times a period dummy factors in its unit and period part, so each effect is the treated-minus-
-    control gap of its weeks less that of the reference weeks, and its error needs only squared residuals per week.
-    The zero reference row is included; ``avg_post`` and ``avg_post_se`` repeat the equal-weight post average.
+    Outcome and week terms are freed of unit and period effects together; sums of their products, one number per
+    pair of weeks, are all that is solved. The zero reference row is included; ``avg_post`` and ``avg_post_se``
+    repeat the equal-weight post average.
     """
-    panel = df.where(F.col(y).isNotNull())
-    facts = panel.agg(
-        F.count("*").alias("n"), F.count_distinct(unit).alias("units"), F.count_distinct(period).alias("periods"), F.avg("treated").alias("tau")
-    )
-    fact = facts.select(F.struct("*")).scalar()
-    rows = _within(panel, [], unit, period, {y: "__y"}).withColumn("__f", fact).withColumn("__c", F.col("treated") - F.col("__f.tau"))
-    rows = settle(rows.select(unit, period, "rel_week", "__y", "__c", "__f"))
-    scale = F.col("__f.tau") * (1 - F.col("__f.tau")) * F.col("__f.units")
-    gaps = rows.groupBy("rel_week").agg(
-        F.sum(F.col("__c") * F.col("__y")).alias("__cy"), F.count_distinct(period).alias("weeks_periods"), F.first(scale).alias("__s")
-    ).withColumn("__z", F.col("__cy") / F.col("__s") / F.col("weeks_periods"))
-    base = gaps.where(F.col("rel_week") == reference).agg(F.first(F.struct("__z", "weeks_periods"))).scalar()
-    effects = gaps.withColumn("__b", base).withColumn("coef", F.col("__z") - F.col("__b.__z"))
-    center = effects.agg(F.sum(F.col("coef") * F.col("weeks_periods")) / F.sum("weeks_periods")).scalar()
-    small = settle(effects.select("rel_week", "coef", "weeks_periods", center.alias("__center")))
-    e = F.col("__y") - F.col("__c") * (F.col("coef") - F.col("__center"))
-    squares = rows.join(small, "rel_week").groupBy("rel_week").agg(
-        F.sum(F.col("__c") * F.col("__c") * e * e).alias("q"), F.first("coef").alias("coef"), F.first("weeks_periods").alias("m"),
-        F.first(scale).alias("s"), F.first("__f").alias("f"),
-    )
-    # parameters: units + periods - 1 effects and one term per week but the reference
-    squares = settle(squares)
-    terms = squares.agg(F.count("*")).scalar() - 1
-    factor = F.col("f.n") / (F.col("f.n") - (F.col("f.units") + F.col("f.periods") - 1 + terms)) / (F.col("s") * F.col("s"))
-    part = squares.withColumn("v", factor * F.col("q") / (F.col("m") * F.col("m")))
-    ref = part.where(F.col("rel_week") == reference).agg(F.first("v")).scalar()
-    post = part.where("rel_week >= 0").agg(F.struct(
-        F.avg("coef").alias("avg"), (F.sum("v") / F.pow(F.count("*"), F.lit(2))).alias("v"))).scalar()
-    is_ref = F.col("rel_week") == reference
-    out = part.withColumn("__ref", ref).withColumn("__post", post).select(
-        "rel_week", F.when(is_ref, 0.0).otherwise(F.col("coef")).alias("coef"),
-        F.when(is_ref, 0.0).otherwise(F.sqrt(F.col("v") + F.col("__ref"))).alias("std_error"),
-        F.col("__post.avg").alias("avg_post"), F.sqrt(F.col("__post.v") + F.col("__ref")).alias("avg_post_se"),
-    )
-    return with_interval(out, "coef")
+    panel = settle(df.where(F.col(y).isNotNull()).select(unit, period, "rel_week", "treated", F.col(y).cast("double").alias("__y")))
+    weeks = sorted(r.rel_week for r in panel.select("rel_week").distinct().collect())
+    terms = [w for w in weeks if w != reference]
+    size = len(terms)
+    marks = {f"__x{i}": f"__r{i}" for i in range(size)}
+    wide = panel.select(unit, period, "__y", *[F.when(F.col("rel_week") == w, F.col("treated")).otherwise(0).cast("double").alias(f"__x{i}") for i, w in enumerate(terms)])
+    swept = two_way_residuals(wide, unit, period, {"__y": "__ry", **marks})
+    rows = settle(swept.select(unit, period, "__ry", F.array(*marks.values()).alias("__x")))
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    x = lambda i: F.col("__x")[i]
+    sums = rows.agg(F.count("*"), F.count_distinct(unit), F.count_distinct(period), F.array(*[F.sum(x(i) * x(j)) for i, j in pairs]), F.array(*[F.sum(x(i) * F.col("__ry")) for i in range(size)])).first()
+
+    def symmetric(values) -> np.ndarray:
+        out = np.zeros((size, size))
+        for (i, j), v in zip(pairs, values):
+            out[i, j] = out[j, i] = v or 0.0
+        return out
+
+    bread = np.linalg.pinv(symmetric(sums[3]), rcond=1e-11)
+    beta = bread @ np.array([v or 0.0 for v in sums[4]])
+    e = F.col("__ry") - F.aggregate(F.zip_with("__x", F.array(*[F.lit(float(b)) for b in beta]), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    meat = rows.withColumn("__e", e * e).agg(F.array(*[F.sum(F.col("__e") * x(i) * x(j)) for i, j in pairs])).first()[0]
+    n, k = sums[0], sums[1] + sums[2] - 1 + size
+    cov = bread @ symmetric(meat) @ bread * (n / (n - k) if n > k else float("nan"))
+    late = np.array([float(w >= 0) for w in terms]) / max(1, sum(w >= 0 for w in weeks))
+    average, error = float(late @ beta), float(np.sqrt(max(late @ cov @ late, 0.0)))
+    found = {w: (float(beta[i]), float(np.sqrt(max(cov[i, i], 0.0)))) for i, w in enumerate(terms)} | {reference: (0.0, 0.0)}
+    table = [(w, *found[w], average, error) for w in weeks]
+    return with_interval(df.sparkSession.createDataFrame(table, "rel_week int, coef double, std_error double, avg_post double, avg_post_se double"), "coef")
 
 
 def pretrend_screen(effects: DataFrame) -> DataFrame:
@@ -184,20 +150,28 @@ def pretrend_screen(effects: DataFrame) -> DataFrame:
     )
 
 
-def permute_units(df: DataFrame, unit: str, actual: str, y: str = "y") -> DataFrame:
-    """Two-way DiD with each unit in turn as the treated one, on a balanced panel.
+def permute_units(df: DataFrame, unit: str, actual: str, period: str, y: str = "y") -> DataFrame:
+    """Two-way DiD with each unit in turn as the treated one; units may miss periods.
 
-    A unit's estimate is its own post-minus-pre change less the mean change of the others: one pass over the rows.
+    All pseudo-treatments share the unit x unit system of the panel. A unit's estimate needs its own residual sum
+    after the event and the share of its treatment that unit and period effects do not explain, which follows from
+    how often units meet before and after it. So the rows are swept once whatever the number of units.
     """
-    def mean(post: int) -> Column:
-        return F.avg(F.when(F.col("post") == post, F.col(y)))
-    change = df.groupBy(unit).agg((mean(1) - mean(0)).alias("change"))
-    total = change.agg(F.struct(F.sum("change").alias("s"), F.count("change").alias("n"))).scalar()
-    est = change.withColumn("__t", total).select(
-        F.col(unit).alias("pseudo_treated_unit"), (F.col(unit) == actual).cast("int").alias("is_actual_treated"),
-        (F.col("change") - (F.col("__t.s") - F.col("change")) / (F.col("__t.n") - 1)).alias("estimate"),
-    )
-    return placebo_rank(settle(est), "estimate")
+    panel = settle(df.where(F.col(y).isNotNull()).select(unit, period, "post", F.col(y).cast("double").alias("__y")))
+    swept = two_way_residuals(panel, unit, period, {"__y": "__r"})
+    own = {r[unit]: r["s"] for r in swept.where("post = 1").groupBy(unit).agg(F.sum("__r").alias("s")).collect()}
+    cells = settle(panel.groupBy(unit, period, "post").agg(F.count("*").alias("__n")))
+    sizes = cells.groupBy(unit).agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col("post")).alias("late")).collect()
+    if len(sizes) > MOST_LEVELS:
+        raise ValueError(f"{len(sizes)} units, more than {MOST_LEVELS}")
+    names = sorted(r[unit] for r in sizes)
+    count = {r[unit]: (float(r["n"]), float(r["late"])) for r in sizes}
+    both, late = (square(meetings(cells, unit, period, [], where).toArrow(), names) for where in (None, "post = 1"))
+    after = np.diag([count[u][1] for u in names]) - late
+    explained = np.einsum("ij,ik,kj->j", after, np.linalg.pinv(np.diag([count[u][0] for u in names]) - both, rcond=1e-11), after)
+    free = np.diag(after) - explained
+    table = [(u, int(u == actual), float(own.get(u, 0.0) / d) if d > 1e-9 else None) for u, d in zip(names, free)]
+    return placebo_rank(settle(df.sparkSession.createDataFrame(table, f"pseudo_treated_unit {df.schema[unit].dataType.simpleString()}, is_actual_treated int, estimate double")), "estimate")
 
 
 def placebo_rank(est: DataFrame, value: str) -> DataFrame:
@@ -232,7 +206,7 @@ def sensitivity_grid(panel: DataFrame, unit: str, date: str, specs: Sequence[Spe
         F.col("s.window").alias("w"), F.col("s.units").alias("u"),
     ).where(F.col("rel_day").between(-F.col("w"), F.col("w")) & ((F.size("u") == 0) | F.array_contains("u", F.col(unit))))
     rows = rows.withColumn("post", (F.col("rel_day") >= 0).cast("int")).withColumn("did", F.col("treated") * F.col("post"))
-    return twfe(complete_periods(rows, unit, date, ["spec_id"]), unit, date, ["spec_id"])
+    return twfe(rows, unit, date, ["spec_id"])
 
 
 def date_shift_specs(event_days: Sequence[tuple[int, str]], window: int, treated: str) -> list[Spec]:
@@ -271,7 +245,7 @@ def frequency_sensitivity(layers: dict[str, DataFrame], unit: str, period: str)
     """The same TWFE on panels of different frequency."""
     tagged = [df.select(F.lit(name).alias("layer"), unit, F.col(period).cast("string").alias("period"), "y", "treated", "post", "did") for name, df in layers.items()]
     rows = reduce(DataFrame.unionByName, tagged)
-    return twfe(complete_periods(rows, unit, "period", ["layer"]), unit, "period", ["layer"])
+    return twfe(rows, unit, "period", ["layer"])
 
 
 def run_ladder(panel: DataFrame, unit: str, period: str) -> DataFrame:

@@ -145,7 +145,7 @@ def bin_composition(gap: DataFrame, day: str = "rel_day") -> DataFrame:
 
 
 def decompose_panel(panel: DataFrame, unit: str, date: str, y: str = "y") -> DataFrame:
-    """Per unit: mean, slope per day, residual spread after unit and day effects and weekday effects, on a balanced panel."""
+    """Per unit: mean, slope per day, spread of what unit and day means leave, and the tie to the day mean."""
     panel = settle(panel)
     day_mean = panel.groupBy(date).agg(F.avg(y).alias("__day"))
     unit_mean = panel.groupBy(unit).agg(F.avg(y).alias("__unit"))
