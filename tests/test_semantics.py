@@ -236,6 +236,57 @@ def test_event_study_equals_dummy_regression(spark):
     assert np.allclose([got[w].std_error for w in weeks], se)
 
 
+def gappy_panel(spark):
+    """Every unit misses some days, so that no day is complete, and one day has a single unit."""
+    _, rows = toy_panel(spark)
+    kept = [r for i, r in enumerate(rows) if (r[1].day * 7 + int(r[0][1]) * 11) % 4 and not (r[1].day == 9 and r[0] != "u2")]
+    assert not any(sum(r[1] == d for r in kept) == 4 for d in {r[1] for r in kept})
+    return panel.event_clock(spark.createDataFrame(kept, "unit string, day date, y double, treated int"), "day", "2024-01-16"), kept
+
+
+def test_estimates_on_a_panel_with_gaps_equal_dummy_regressions(spark):
+    df, rows = gappy_panel(spark)
+    event = dt.date(2024, 1, 16)
+    late = lambda r: r[1] >= event
+    beta, se = dummy_ols(rows, [lambda r: float(r[3] and late(r))])
+    got = panel.twfe(df, "unit", "day").first()
+    assert np.allclose([got.estimate, got.std_error], [beta[0], se[0]]) and got.n_rows == len(rows)
+    week = lambda r: math.floor((r[1] - event).days / 7)
+    weeks = sorted({week(r) for r in rows} - {-1})
+    beta, se = dummy_ols(rows, [lambda r, w=w: float(r[3] and week(r) == w) for w in weeks])
+    study = {r.rel_week: r for r in panel.event_study(df, "unit", "day").collect()}
+    assert np.allclose([study[w].coef for w in weeks], beta) and np.allclose([study[w].std_error for w in weeks], se)
+    assert math.isclose(study[0].avg_post, np.mean([b for b, w in zip(beta, weeks) if w >= 0]))
+    chosen = {r.pseudo_treated_unit: r.estimate for r in panel.permute_units(df, "unit", "u0", "day").collect()}
+    for u in ("u0", "u1", "u2", "u3"):
+        assert math.isclose(chosen[u], dummy_ols(rows, [lambda r, u=u: float(r[0] == u and late(r))])[0][0], rel_tol=1e-8)
+
+
+def test_sign_enumeration_on_a_panel_with_gaps(spark):
+    df, rows = gappy_panel(spark)
+    units, days = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    fixed = np.array([[float(r[0] == u) for u in units] + [float(r[1] == d) for d in days] for r in rows])
+    free = np.eye(len(rows)) - fixed @ np.linalg.pinv(fixed)
+    w, y = free @ [float(r[3] and r[1] >= dt.date(2024, 1, 16)) for r in rows], free @ [r[2] for r in rows]
+    member = np.array([units.index(r[0]) for r in rows])
+    n, g, k = len(rows), len(units), len(units) + len(days)
+
+    def fit(values):
+        values = free @ values
+        b = w @ values / (w @ w)
+        scores = [(w * (values - b * w))[member == i].sum() for i in range(g)]
+        return b, math.sqrt(g / (g - 1) * (n - 1) / (n - k) * sum(s * s for s in scores)) / (w @ w)
+
+    b, se = fit(y)
+    signs = [np.array([1.0 if v >> i & 1 else -1.0 for i in range(g)]) for v in range(1 << g)]
+    ts = [np.divide(*fit(s[member] * y)) for s in signs]
+    got = clusters.crv1(df, "unit", "day").first()
+    assert np.allclose([got.estimate, got.std_error], [b, se])
+    assert math.isclose(got.sign_p_value, np.mean([abs(t) >= abs(b / se) - 1e-10 for t in ts]))
+    wild = clusters.wild_cluster(df, "unit", "day").first()
+    assert math.isclose(wild.p_value, np.mean([abs(w @ (s[member] * y) / (w @ w)) >= abs(b) - 1e-12 for s in signs]))
+
+
 def test_wild_cluster_enumerates_all_signs(spark):
     df, rows = toy_panel(spark)
     got = clusters.wild_cluster(df, "unit", "day").first()

@@ -6,11 +6,12 @@ errors then are sums, so a spec, a pseudo-treated unit or a sample is just anoth
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +102,30 @@ def twfe(df: DataFrame, unit: str, period: str, keys: Sequence[str] = (), y: str
     ))
 
 
+def _normal_equations(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, inverse and HC1 meat of ``__ry`` on the array ``__x``: tasks send sums of products, one row each."""
+
+    def summed(weigh) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((size, size + 1))
+            for batch in batches:
+                y, x = batch.column("__ry").to_numpy(), batch.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                out += weigh(x, y)
+            at = np.arange(size * (size + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.ravel())], ["at", "v"])
+
+        found = rows.select("__ry", "__x").mapInArrow(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(size * (size + 1))
+        out[found.column("at").to_numpy()] = found.column("v").to_numpy()
+        return out.reshape(size, size + 1)
+
+    sums = summed(lambda x, y: np.column_stack([x.T @ x, x.T @ y]))
+    bread = np.linalg.pinv(sums[:, :size], rcond=1e-11)
+    beta = bread @ sums[:, size]
+    meat = summed(lambda x, y: np.column_stack([(x * ((y - x @ beta) ** 2)[:, None]).T @ x, np.zeros(size)]))
+    return beta, bread, meat[:, :size]
+
+
 def event_study(df: DataFrame, unit: str, period: str, y: str = "y", reference: int = -1) -> DataFrame:
     """Treated x relative-week effects with unit and period effects, HC1; units may miss periods.
 
@@ -116,22 +141,10 @@ def event_study(df: DataFrame, unit: str, period: str, y: str = "y", reference:
     wide = panel.select(unit, period, "__y", *[F.when(F.col("rel_week") == w, F.col("treated")).otherwise(0).cast("double").alias(f"__x{i}") for i, w in enumerate(terms)])
     swept = two_way_residuals(wide, unit, period, {"__y": "__ry", **marks})
     rows = settle(swept.select(unit, period, "__ry", F.array(*marks.values()).alias("__x")))
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    x = lambda i: F.col("__x")[i]
-    sums = rows.agg(F.count("*"), F.count_distinct(unit), F.count_distinct(period), F.array(*[F.sum(x(i) * x(j)) for i, j in pairs]), F.array(*[F.sum(x(i) * F.col("__ry")) for i in range(size)])).first()
-
-    def symmetric(values) -> np.ndarray:
-        out = np.zeros((size, size))
-        for (i, j), v in zip(pairs, values):
-            out[i, j] = out[j, i] = v or 0.0
-        return out
-
-    bread = np.linalg.pinv(symmetric(sums[3]), rcond=1e-11)
-    beta = bread @ np.array([v or 0.0 for v in sums[4]])
-    e = F.col("__ry") - F.aggregate(F.zip_with("__x", F.array(*[F.lit(float(b)) for b in beta]), lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    meat = rows.withColumn("__e", e * e).agg(F.array(*[F.sum(F.col("__e") * x(i) * x(j)) for i, j in pairs])).first()[0]
-    n, k = sums[0], sums[1] + sums[2] - 1 + size
-    cov = bread @ symmetric(meat) @ bread * (n / (n - k) if n > k else float("nan"))
+    facts = rows.agg(F.count("*").alias("n"), F.count_distinct(unit).alias("u"), F.count_distinct(period).alias("t")).first()
+    beta, bread, meat = _normal_equations(rows, size)
+    n, k = facts["n"], facts["u"] + facts["t"] - 1 + size
+    cov = bread @ meat @ bread * (n / (n - k) if n > k else float("nan"))
     late = np.array([float(w >= 0) for w in terms]) / max(1, sum(w >= 0 for w in weeks))
     average, error = float(late @ beta), float(np.sqrt(max(late @ cov @ late, 0.0)))
     found = {w: (float(beta[i]), float(np.sqrt(max(cov[i, i], 0.0)))) for i, w in enumerate(terms)} | {reference: (0.0, 0.0)}
