@@ -13,15 +13,21 @@ class WordHasher:
         self.letters = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
         self.powers = self.inverse = np.ones(1, np.uint64)
 
-    def __call__(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, add: np.ndarray | int = 0) -> np.ndarray:
-        """Odd hashes of raw[begin:end]; ``add`` tells apart equal words that are to count as different."""
+    def sums(self, raw: np.ndarray) -> np.ndarray:
+        """Running sums of a buffer, from which any of its slices is hashed."""
         if len(self.powers) < len(raw):
             n = 1 << int(len(raw)).bit_length()
             self.powers, self.inverse = (
                 np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64) for base in (self.factor, pow(self.factor, -1, 2**64))
             )
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.letters[raw] * self.powers[: len(raw)], dtype=np.uint64)])
+        return np.concatenate([[np.uint64(0)], np.cumsum(self.letters[raw] * self.powers[: len(raw)], dtype=np.uint64)])
+
+    def between(self, sums: np.ndarray, begin: np.ndarray, end: np.ndarray, add: np.ndarray | int = 0) -> np.ndarray:
+        """Odd hashes of the slices begin:end; ``add`` tells apart equal words that are to count as different."""
         h = (sums[end] - sums[begin]) * self.inverse[begin] + np.asarray(add, np.uint64)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return (h ^ (h >> np.uint64(32))) | np.uint64(1)
+
+    def __call__(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, add: np.ndarray | int = 0) -> np.ndarray:
+        return self.between(self.sums(raw), begin, end, add)

@@ -19,6 +19,8 @@ LENGTHS = (0, 4, 5)
 BITS = 19
 CELLS = 1 << BITS
 CONTEXTS = 64
+#: bytes of text taken at a time
+GROUP = 1 << 17
 #: log ratios (nats) beyond which an expression speaks for the toxic class, and speaks clearly
 STRONG, CLEAR = 2.0, 3.0
 
@@ -37,10 +39,10 @@ def expressions(texts: pa.Array, hashed: WordHasher) -> tuple[np.ndarray, np.nda
     begin, end, of = (np.concatenate([x, y])[order] for x, y in ((begin, marks[bare]), (end, marks[bare]), (of, bare)))
     lead = (raw & 0xC0) != 0x80
     places, number = np.append(np.flatnonzero(lead), len(raw)), np.cumsum(lead) - 1
-    cells = np.empty((len(LENGTHS), len(begin)), np.int64)
+    cells, sums = np.empty((len(LENGTHS), len(begin)), np.int64), hashed.sums(raw)
     for i, n in enumerate(LENGTHS):
         stop = np.minimum(end, places[np.minimum(number[begin] + n, len(places) - 1)]) if n else end
-        h = hashed(raw, begin, stop)
+        h = hashed.between(sums, begin, stop)
         if not n:
             context = np.concatenate([[0], (h[:-1] >> np.uint64(50)).astype(np.int64) % CONTEXTS])
             context[np.concatenate([[True], of[1:] != of[:-1]])] = 0
@@ -65,10 +67,10 @@ def class_counts(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, size = hasher(), len(LENGTHS) * CELLS
-        sums, masks = np.zeros((2, size), np.int64), np.zeros(size, np.uint64)
+        sums, masks = np.zeros((2, size), np.int32), np.zeros(size, np.uint64)
         for batch in batches:
             at = 0
-            for texts in text_groups(batch.column("text")):
+            for texts in text_groups(batch.column("text"), GROUP):
                 cells, context, of = expressions(texts, hashed)
                 kind = batch.column("label").slice(at, len(texts)).to_numpy()[of]
                 at += len(texts)
@@ -76,7 +78,7 @@ def class_counts(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
                     np.add.at(sums, (kind, row), 1)
                     np.bitwise_or.at(masks, row, np.uint64(1) << context.astype(np.uint64))
         held = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(held), *map(pa.array, sums[:, held]), pa.array(masks[held].view(np.int64))], ["cell", "ordinary", "toxic", "seen"])
+        yield pa.RecordBatch.from_arrays([pa.array(held), *map(pa.array, sums[:, held].astype(np.int64)), pa.array(masks[held].view(np.int64))], ["cell", "ordinary", "toxic", "seen"])
         release_memory()
 
     summed = both.select("label", "text").mapInArrow(count, "cell long, ordinary long, toxic long, seen long").groupBy("cell")
@@ -173,7 +175,7 @@ class ToxicityModel:
         if self.weights is None or not len(texts):
             return np.full(len(texts), self.prior)
         hashed, out = hasher(), []
-        for part in text_groups(texts):
+        for part in text_groups(texts, GROUP):
             cells, _, of = expressions(part, hashed)
             e = evidence(self.ratios[cells], np.searchsorted(of, np.arange(len(part))))
             out.append(1 / (1 + np.exp(-np.clip(self._design(e) @ self.weights, -30, 30))))
