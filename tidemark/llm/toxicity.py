@@ -18,7 +18,7 @@ from tidemark.llm.quality import labelled_sample
 LENGTHS = (0, 4, 5)
 BITS = 19
 CELLS = 1 << BITS
-CONTEXTS = 64
+CONTEXTS = 16
 #: bytes of text taken at a time
 GROUP = 1 << 17
 #: log ratios (nats) beyond which an expression speaks for the toxic class, and speaks clearly
@@ -63,7 +63,8 @@ def class_counts(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_i
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (crc_fold(F.col(doc_id)) != 0))
     known = known.groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).cast("int").alias("label"))
-    both = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).join(known, F.col("__doc") == F.col("__id"))
+    # labels grow with the documents: merged at every size, so that the plan does not turn where a broadcast ends
+    both = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).join(known.hint("merge"), F.col("__doc") == F.col("__id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, size = hasher(), len(LENGTHS) * CELLS
