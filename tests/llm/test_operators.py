@@ -412,14 +412,20 @@ def test_archive(spark):
     for i, _, t in rows:
         if i is not None:
             first[t or ""] = min(i, first.get(t or "", i))
-    expected = set()
+    expected = []
     for i, _, t in rows:
         t = t or ""
         raw = t.encode()
         again = i is not None and len(raw) >= 100 and first[t] != i
-        expected.add((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[t] if again else None))
-    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+        expected.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first[t] if again else None))
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
     pieces = warc.read_records(spark, path)
+    names = [r.id for r in pieces.where("segment is null or segment = 1").collect()]
+    assert len(names) == len(set(names)) == len(rows)
+    urls = [r.url for r in pieces.where("id like '<urn:page:6:%'").collect()]
+    assert sorted(urls) == ["u", "u", "u"]
+    referred = {r.refers for r in pieces.where("type = 'revisit'").collect() if not r.refers.startswith("<urn:page:6:")}
+    assert referred and referred <= set(names)
     assert pieces.where("segment > 1 and origin is null").count() == 0 and pieces.where("segment > 3").count() > 0
     missing = warc.reassembled(pieces.where("segment is null or segment <> 2"))
     with pytest.raises(Exception, match="segments missing"):
@@ -427,6 +433,66 @@ def test_archive(spark):
     assert warc.archived_pages(pages.limit(0), shared_folder(spark, "warc")).count() == 0
 
 
+def test_equal_rows_keep_their_urls(spark):
+    body = "long page " * 400
+    rows = [(1, f"http://h/{i}", body) for i in range(5)] + [(1, "http://h/0", body), (2, "http://i/", body)]
+    path = shared_folder(spark, "warc")
+    got = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), path, segment_bytes=700, chunk_bytes=300)
+    assert got.count() == len(rows)
+    whole = warc.pages_of(warc.reassembled(warc.read_records(spark, path)))
+    back = [(r.key, r.url, bytes(r.payload).decode()) for r in whole.where("record_type = 'response'").collect()]
+    assert sorted(back) == sorted(rows[:-1])
+
+
+def test_hot_payloads_meet_apart_from_others(spark):
+    rows = [(i, "u", ("hot" if i % 3 else f"pair {i // 6} ") * 60) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").select(F.col("page_id").alias("key"), "url", F.encode("html", "UTF-8").alias("payload"))
+    plain = {(r.key, r.refers_to, r.target) for r in warc.with_first_copies(pages, hot_share=1).collect()}
+    assert {(r.key, r.refers_to, r.target) for r in warc.with_first_copies(pages, hot_share=3).collect()} == plain
+    assert sum(r[1] == 1 for r in plain) == 59 and (0, None, True) in plain and (3, 0, False) in plain
+
+
+def _foreign(kind, name, block, *more, version="1.0"):
+    head = [("warc-type", kind), ("WARC-Record-ID", name), *more, ("Content-Length", str(len(block)))]
+    return f"WARC/{version}\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    plain = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    framed = b"HTTP/1.1 200 OK\r\ntransfer-encoding: gzip, Chunked\r\n\r\n" + warc.chunked(bytes(range(256)) * 300, 1000)
+    records = [
+        _foreign("warcinfo", "<urn:uuid:0>", b"software: other\r\n"),
+        _foreign("request", "<urn:uuid:1>", b"GET / HTTP/1.1\r\n\r\n", ("WARC-Target-URI", "http://a/")),
+        _foreign("response", "<urn:uuid:2>", plain, ("WARC-Target-URI", "http://a/"), ("WARC-Payload-Digest", "sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ")),
+        _foreign("response", "<urn:uuid:3>", framed, ("WARC-Target-URI", "http://b/\r\n\tc"), version="1.1"),
+        _foreign("resource", "<urn:uuid:4>", b"\r\nraw\xff", ("WARC-Target-URI", "file:x")),
+        _foreign("revisit", "<urn:uuid:5>", b"", ("WARC-Target-URI", "http://a/again"), ("WARC-Refers-To", "<urn:uuid:2>")),
+    ]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(map(warc.gzip_member, records)) + b"\0" * 9)
+    (tmp_path / "one-member.gz").write_bytes(warc.gzip_member(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = warc.read_records(spark, str(tmp_path))
+    assert found.count() == 3 * len(records)
+    assert warc.read_records(spark, str(tmp_path), "*.warc.gz").count() == len(records)
+    pages = [(r.id, r.url, r.record_type, r.payload and bytes(r.payload), r.key) for r in warc.pages_of(warc.reassembled(found)).collect()]
+    expected = [
+        ("<urn:uuid:2>", "http://a/", "response", b"hello", None),
+        ("<urn:uuid:3>", "http://b/ c", "response", bytes(range(256)) * 300, None),
+        ("<urn:uuid:4>", "file:x", "resource", b"\r\nraw\xff", None),
+        ("<urn:uuid:5>", "http://a/again", "revisit", None, None),
+    ]
+    assert sorted(pages, key=str) == sorted(expected * 3, key=str)
+    whole = b"".join(map(warc.gzip_member, records))
+    for step in (1, 7, 64, 1 << 14):
+        assert b"".join(warc.inflated(whole, step)) == b"".join(records)
+    for cut in (whole[:-4], b"".join(records)[:-9]):
+        with pytest.raises(ValueError, match="cut"):
+            list(warc.warc_records(cut))
+    with pytest.raises(ValueError, match="not a WARC"):
+        list(warc.warc_records(b"<html>\r\n\r\n"))
+
+
 # ---- decontamination
 
 
