@@ -7,10 +7,12 @@ import hashlib
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ LETTERS = [chr(0x100 + b) for b in range(256)]
 #: a cut is safe before a single blank between two visible characters, which always begins a new pre-token
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 STAND_IN = "\ue000"
+#: what the classes of letters and numbers hold of ASCII
+ASCII_CLASSES = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}
 
 
 def _varint(n: int) -> bytes:
@@ -73,6 +77,24 @@ def newer_characters() -> str:
     return "".join(sorted({c for k, t in zip(known, kinds) for c in k.findall(late) if not t.encode_ordinary(c)}))
 
 
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """The same split for ASCII texts in the standard library's faster module; none if the pattern knows other classes."""
+    inside, out = False, []
+    for part in re.findall(r"\\[pP]\{[^}]*\}|\\.|[\s\S]", pattern):
+        if part[:2] in (r"\p", r"\P"):
+            if part not in ASCII_CLASSES:
+                return None
+            part = ASCII_CLASSES[part] if inside else f"[{ASCII_CLASSES[part]}]"
+        elif part == "[" and inside:
+            return None
+        inside = part == "[" or (inside and part != "]")
+        out.append(part)
+    try:
+        return re.compile("".join(out), re.ASCII)
+    except re.error:
+        return None
+
+
 class Vocabulary:
     """What encoding needs, sent to the tasks as one broadcast of the size of the vocabulary file."""
 
@@ -91,52 +113,55 @@ class Codec:
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.model)
         self.pattern = regex.compile(vocabulary.pattern)
+        self.plain = ascii_pattern(vocabulary.pattern) or self.pattern
         self.newer = frozenset(vocabulary.newer)
         # a class within one plane is looked up at once, so the few characters beyond it are only asked for by range
         low = "".join(c for c in vocabulary.newer if ord(c) < 0x10000)
         self.suspect = re.compile(f"[{re.escape(low)}\U00010000-\U0010ffff]")
         self.ids = np.array(vocabulary.ids, "<i4")
-        self.bytes_of = dict(zip(vocabulary.ids, vocabulary.tokens))
-        self.letters = {b: c for b, c in enumerate(LETTERS)}
+        self.tokens = pa.array(vocabulary.tokens, pa.binary())
+        self.place = np.full(max(vocabulary.ids) + 1, -1, "<i4")
+        self.place[self.ids] = np.arange(len(self.ids))
         self.remembered, self.young, self.old = remembered, {}, {}
         # a pre-token that is a token takes its id at once, also where the merges would not reach it
-        found = self.pieces.encode([self._mapped(t) for t in vocabulary.tokens], out_type=int, num_threads=1)
+        found = self.pieces.encode(self._mapped(vocabulary.tokens), out_type=int, num_threads=1)
         self.whole = {t: self.ids[i : i + 1].tobytes() for i, (t, got) in enumerate(zip(vocabulary.tokens, found)) if got != [i]}
 
-    def _mapped(self, token: bytes) -> str:
-        return token.decode("latin-1").translate(self.letters)
+    def _mapped(self, tokens: list[bytes]) -> list[bytes]:
+        """The tokens in letters: byte b is the character 0x100 + b, two bytes of UTF-8."""
+        raw = np.frombuffer(b"".join(tokens), np.uint8)
+        pairs = np.empty((len(raw), 2), np.uint8)
+        pairs[:, 0], pairs[:, 1] = 0xC4 + (raw >> 6), 0x80 | (raw & 63)
+        return _pieces(pairs.tobytes(), 2, map(len, tokens))
 
     def pre_tokens(self, text: str) -> list[str]:
-        if text.isascii() or not self.suspect.search(text):
+        if text.isascii():
+            return self.plain.findall(text)
+        if not self.suspect.search(text):
             return self.pattern.findall(text)
         spans = [m.span() for m in self.pattern.finditer("".join([STAND_IN if c in self.newer else c for c in text]))]
         return [text[a:b] for a, b in spans]
 
-    def _learn(self, words: list[str]) -> None:
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, by the merges or whole."""
         raw = [w.encode() for w in words]
-        for w, b, got in zip(words, raw, self.pieces.encode([self._mapped(b) for b in raw], out_type=int, num_threads=1)):
-            self.young[w] = self.whole.get(b) or self.ids[got].tobytes()
+        found = self.pieces.encode(self._mapped(raw), out_type=int, num_threads=1)
+        ids = self.ids[np.fromiter(chain.from_iterable(found), np.int64)].tobytes()
+        return [self.whole.get(b, x) for b, x in zip(raw, _pieces(ids, 4, map(len, found)))]
 
     def _slice(self, text: str, longest: int = 64) -> bytes:
         words = self.pre_tokens(text)
-        young, kinds = self.young, set(words)
-        new = [w for w in kinds if w not in young]
-        if len(young) + len(new) > self.remembered:
-            self.old, self.young = young, {}
-            young, new = self.young, list(kinds)
-        if new:
-            fresh = []
-            for w in new:
-                if (ids := self.old.get(w)) is not None:
-                    young[w] = ids
-                else:
-                    fresh.append(w)
-            self._learn(fresh)
-        out = b"".join([young[w] for w in words])
-        for w in new:
-            if len(w) > longest:
-                del young[w]
-        return out
+        known = list(map(self.young.get, words))
+        new = list({w for w, ids in zip(words, known) if ids is None})
+        if not new:
+            return b"".join(known)
+        met = {w: ids for w in new if (ids := self.old.get(w)) is not None}
+        if fresh := [w for w in new if w not in met] if met else new:
+            met.update(zip(fresh, self._merged(fresh)))
+        if len(self.young) + len(met) > self.remembered:
+            self.old, self.young = self.young, {}
+        self.young.update((w, ids) for w, ids in met.items() if len(w) <= longest)
+        return b"".join([met[w] if ids is None else ids for w, ids in zip(words, known)])
 
     def encode(self, text: str, step: int = 1 << 19) -> bytes:
         """Ids of a whole text as little-endian 32-bit integers, taken in slices that bound the memory of a very long text."""
@@ -147,12 +172,25 @@ class Codec:
         out.append(self._slice(text[at:] if at else text))
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> bytes | None:
-        """The bytes of the ids; null if one of them is not of the vocabulary."""
-        try:
-            return b"".join([self.bytes_of[i] for i in ids])
-        except KeyError:
-            return None
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Bytes of lists of ids that lie one after another; null where an id is not of the vocabulary or absent (-1).
+
+        The bytes of all tokens taken from the vocabulary lie one after another too, so only the ends are computed.
+        """
+        inside = (ids >= 0) & (ids < len(self.place))
+        places = self.place[np.where(inside, ids, 0)]
+        wrong = ~inside | (places < 0)
+        taken = self.tokens.take(pa.array(np.where(wrong, 0, places)))
+        at = np.frombuffer(taken.buffers()[1], "<i4")[: len(ids) + 1][ends].astype("<i4")
+        strange = np.concatenate([[0], np.cumsum(wrong)])[ends]
+        valid = pa.array(strange[1:] == strange[:-1])
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [valid.buffers()[1], pa.py_buffer(at), taken.buffers()[2]])
+
+
+def _pieces(data: bytes, width: int, lengths: Iterable[int]) -> list[bytes]:
+    """``data`` cut into pieces of so many items of ``width`` bytes."""
+    ends = [width * n for n in accumulate(lengths)]
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _CODECS: dict[str, Codec] = {}
@@ -166,6 +204,12 @@ def _codec(key: str, shared) -> Codec:
     return _CODECS[key]
 
 
+def _encoded(codec: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another and where each text ends; one text at a time is a Python string."""
+    ids = [codec.encode(t) if (t := text.as_py()) else b"" for text in texts]
+    return np.frombuffer(b"".join(ids), "<i4"), np.cumsum([0, *[len(x) // 4 for x in ids]])
+
+
 def public_ranks(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
     """Place and split pattern of a public rank file."""
     import public_tokenizers
@@ -189,23 +233,39 @@ class BytePairCoder:
 
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
-            codec = _codec(key, shared)
-            ids = [codec.encode(t) if t else b"" for t in texts.to_pylist()]
-            ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            ids, ends = _encoded(_codec(key, shared), texts)
             release_memory()
-            return out
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
 
         return encode(text)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids array<int>, decoded binary>: the ids as by ``encode`` and what ``decode`` makes of them, in one pass.
+
+        As two columns in one plan Spark would encode twice, once for the ids and once below the decoding.
+        """
+        key, shared = self.key, self.shared
+
+        @F.arrow_udf("ids array<int>, decoded binary")
+        def both(texts: pa.Array) -> pa.Array:
+            codec = _codec(key, shared)
+            ids, ends = _encoded(codec, texts)
+            back = codec.decode(ids, ends)
+            release_memory()
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), back], ["ids", "decoded"])
+
+        return both(text)
+
     def decode(self, ids: Column) -> Column:
         """binary: the bytes of the ids; null for null and for ids outside the vocabulary."""
         key, shared = self.key, self.shared
 
         @F.arrow_udf("binary")
         def decode(lists: pa.Array) -> pa.Array:
-            codec = _codec(key, shared)
-            return pa.array([None if x is None else codec.decode(x) for x in lists.to_pylist()], pa.binary())
+            flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0)
+            ends = np.cumsum([0, *sizes.to_numpy(zero_copy_only=False)])
+            got = _codec(key, shared).decode(pc.fill_null(flat.cast(pa.int64()), -1).to_numpy(zero_copy_only=False), ends)
+            return pc.if_else(lists.is_valid(), got, pa.scalar(None, pa.binary()))
 
         return decode(ids)
 
@@ -223,6 +283,12 @@ def decoded(tokens: DataFrame, coder: BytePairCoder, ids: str = "ids") -> DataFr
     return tokens.withColumn("decoded", coder.decode(F.col(f"`{ids}`")))
 
 
+def round_trips(docs: DataFrame, coder: BytePairCoder, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (doc_id, ids, decoded) per row of ``docs``, as ``decoded(encoded(docs))`` gives, with each text encoded once."""
+    both = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), coder.round_trip(F.col(f"`{text}`")).alias("both"))
+    return both.select("doc_id", "both.ids", "both.decoded")
+
+
 def token_facts(tokens: DataFrame) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the decimal ids joined by commas and SHA-256 of the decoded bytes."""
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import BytePairCoder, decoded, encoded, token_facts
+from tidemark.llm.bpe import BytePairCoder, round_trips, token_facts
 from tidemark.llm.common import table
 from tidemark.llm.leaks import leaks
 from tidemark.llm.lines import drop_common_lines
@@ -178,8 +178,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op11_byte_pair_round_trip")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
-    coder = BytePairCoder(spark)
-    return token_facts(decoded(encoded(table(spark, folder, "documents"), coder), coder))
+    return token_facts(round_trips(table(spark, folder, "documents"), BytePairCoder(spark)))
 
 
 RANKED = r"""
