@@ -591,3 +591,22 @@ def test_url_lists(spark):
     assert got == {1: none, 2: ("block", "ads", 1), 3: ("block", "ads", 1), 4: none, 5: ("block", "ads", 1), 6: ("allow", "ok", 2), 7: none, 8: ("block", "a", 2), 9: none, 10: none, 11: none, 12: none}
     assert urls.filter_urls(pages.limit(0), lists).count() == 0
     assert {r.verdict for r in urls.filter_urls(pages, lists.limit(0)).collect()} == {"none"}
+
+
+def test_hashes_do_not_depend_on_pieces():
+    from tidemark.llm.hashing import PIECE, WordHasher
+
+    raw = np.random.default_rng(4).integers(0, 256, 3 * PIECE, dtype=np.uint8)
+    begin = np.array([0, 5, 9, PIECE - 3, PIECE + 2, 2 * PIECE - 1, 3 * PIECE - 4])
+    end = np.array([5, 9, 9, PIECE + 2, 2 * PIECE + 9, 2 * PIECE + 9, 3 * PIECE])
+    add = np.arange(len(begin)).astype(np.uint64)
+    hashed = WordHasher(0x9E3779B97F4A7C15, 5)
+    assert (hashed(raw, begin, end, add) == hashed.between(hashed.sums(raw), begin, end, add)).all()
+    assert not len(hashed(raw, begin[:0], end[:0]))
+
+
+def test_word_tables_change_places():
+    from tidemark.llm.tokens import PieceEncoder, public_path
+
+    small, texts = PieceEncoder(public_path(), slots=64), [" ".join(f"w{(i * 7 + j) % 90}" for j in range(30)) for i in range(60)]
+    assert small.encode(texts, most=100) == PieceEncoder(public_path()).encode(texts) == [small._ids(t) for t in texts]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+PIECE = 1 << 17  # bytes whose running sums are held at once
+
 
 class WordHasher:
     """64-bit polynomial hashes of slices of a buffer through running sums: a few vector operations per byte, none per word."""
@@ -30,4 +32,13 @@ class WordHasher:
         return (h ^ (h >> np.uint64(32))) | np.uint64(1)
 
     def __call__(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, add: np.ndarray | int = 0) -> np.ndarray:
-        return self.between(self.sums(raw), begin, end, add)
+        """Hashes of the slices begin:end, ``begin`` ascending. The buffer is taken in pieces, so that the tables of powers
+        stay small; a slice longer than a piece is a piece of its own."""
+        out, add, at = np.empty(len(begin), np.uint64), np.broadcast_to(np.asarray(add, np.uint64), len(begin)), 0
+        while at < len(begin):
+            low = begin[at]
+            to = max(at + 1, int(np.searchsorted(begin, low + PIECE)))
+            sums = self.sums(raw[low : end[at:to].max()])
+            out[at:to] = self.between(sums, begin[at:to] - low, end[at:to] - low, add[at:to])
+            at = to
+        return out

@@ -30,9 +30,16 @@ class WordTable:
     def __init__(self, slots: int) -> None:
         self.slots, self.most = slots, int(0.6 * slots)
         self.keys = [np.zeros(slots, np.uint64) for _ in FACTORS]
-        self.at, self.size = np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.at, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.ids, self.n_ids, self.n_words = np.zeros(1 << 16, "<u4"), 0, 0
 
+    def cleared(self) -> WordTable:
+        """Empty again, in the memory it has."""
+        for keys in self.keys:
+            keys.fill(0)
+        self.n_ids = self.n_words = 0
+        return self
+
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """The slot of each word, -1 for unknown ones."""
         slot = (h1 >> np.uint64(1)).astype(np.int64) & (self.slots - 1)
@@ -88,6 +95,8 @@ class PieceEncoder:
         self.kinds = np.random.default_rng(7).integers(1, 2**63, 3, dtype=np.uint64)
         self.longest = longest
         self.young, self.old = WordTable(slots), WordTable(slots)
+        # what reading the vocabulary took goes back to the system
+        release_memory()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -102,13 +111,13 @@ class PieceEncoder:
             slots = self.young.slots
             while len(pick) > 0.6 * slots:
                 slots *= 2
-            self.old, self.young = self.young, WordTable(slots)
+            self.old, self.young = self.young, self.old.cleared() if slots == self.old.slots else WordTable(slots)
         before = self.old.find(h1[pick], h2[pick])
         met, where = pick[before >= 0], before[before >= 0]
         if len(met):
             size = self.old.size[where].astype(np.int64)
             first = np.cumsum(size) - size
-            ids = self.old.ids[np.repeat(self.old.at[where] - first, size) + np.arange(int(size.sum()))]
+            ids = self.old.ids[np.repeat(self.old.at[where].astype(np.int64) - first, size) + np.arange(int(size.sum()))]
             self.young.insert(h1[met], h2[met], ids, first, size)
         new = pick[before < 0]
         for mark, members in ((b" ", new[kind[new] == 1]), (b"\n", new[kind[new] != 1])):
@@ -231,6 +240,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
                 numbers = pa.array(np.arange(at, at + part.num_rows, dtype=np.int64))
                 at += part.num_rows
+                del ids, flat
+                if begin % 1024 == 0:
+                    release_memory()
                 yield pa.RecordBatch.from_arrays([part.column("shard"), numbers, part.column("doc_id"), lists], ["shard", "row", "doc_id", "ids"])
         # the worker lives on for other tasks: what the texts of this one held goes back to the system
         release_memory()
