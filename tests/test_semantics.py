@@ -291,6 +291,8 @@ def test_wild_cluster_enumerates_all_signs(spark):
     df, rows = toy_panel(spark)
     got = clusters.wild_cluster(df, "unit", "day").first()
     assert got.sign_assignments == 16 and got.p_value in {k / 16 for k in range(2, 17, 2)}
+    beta, se = dummy_ols(rows, [lambda r: float(r[3] and r[1] >= dt.date(2024, 1, 16))])
+    assert np.allclose([got.estimate, got.std_error_hc1], [beta[0], se[0]])
     t = clusters.crv1(df, "unit", "day").first()
     assert math.isclose(t.estimate, got.estimate) and t.sign_p_value in {k / 16 for k in range(2, 17, 2)}
 

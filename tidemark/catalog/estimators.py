@@ -182,7 +182,8 @@ def sensitivity_grid(t: Tables) -> DataFrame:
 @query("wild_cluster", f"""WITH RECURSIVE {ALL_WEEKS}, {WITHIN}, g AS (SELECT unit, sum(dt * yt) / any_value(dd) AS c, row_number() OVER (ORDER BY unit) - 1 AS i FROM w, b GROUP BY 1),
   v AS (SELECT unnest(generate_series(0, 31)) AS v), d AS (SELECT v, sum(CASE WHEN (v >> i::INT) & 1 = 1 THEN c ELSE -c END) AS x FROM v, g GROUP BY 1)
   SELECT (SELECT estimate FROM b) AS estimate, 5 AS cluster_count, count(*) AS sign_assignments, avg(CASE WHEN abs(x) >= abs((SELECT estimate FROM b)) - 1e-12 THEN 1.0 ELSE 0.0 END) AS p_value,
-  quantile_cont(x, 0.025) AS ci95_low, quantile_cont(x, 0.975) AS ci95_high FROM d""", "estimate p_value ci95_low ci95_high")
+  quantile_cont(x, 0.025) AS ci95_low, quantile_cont(x, 0.975) AS ci95_high,
+  (SELECT sqrt(sum(dt * dt * (yt - estimate * dt) * (yt - estimate * dt)) * any_value(n) / any_value(n - u - t)) / any_value(dd) FROM w, b) AS std_error_hc1 FROM d""", "estimate p_value ci95_low ci95_high std_error_hc1")
 def wild_cluster(t: Tables) -> DataFrame:
     return clusters.wild_cluster(roles.weekly_panel(t), "unit", "week")
 

@@ -40,19 +40,26 @@ def wild_cluster(df: DataFrame, unit: str, period: str, y: str = "y", d: str = "
     """Exact wild cluster bootstrap over all Rademacher sign vectors, restricted residuals; units may miss periods.
 
     The bootstrap estimate is linear in the signs: b* = sum_g s_g c_g with c_g = sum(w r) / sum(w^2), so a panel of
-    any size becomes one number per cluster before anything is enumerated.
+    any size becomes one number per cluster before anything is enumerated. ``std_error_hc1`` is the robust error of
+    the unrestricted fit, null without degrees of freedom.
     """
     rows = _residualized(df, unit, period, y, d)
     scale = rows.agg(F.sum(F.col("w") * F.col("w"))).scalar()
+    ww, free = F.col("w") * F.col("w"), F.count("*") - F.count_distinct(unit) - F.count_distinct(period)
+    fitted = rows.agg(F.sum(F.col("w") * F.col("r")) / F.sum(ww)).scalar()
+    we = F.col("w") * (F.col("r") - fitted * F.col("w"))
+    spread = F.when(free > 0, F.try_divide(F.sqrt(F.sum(we * we) * F.count("*") / F.nullif(free, F.lit(0))), F.sum(ww)))
+    hc1 = rows.agg(spread.alias("std_error_hc1")).scalar()
     per = rows.groupBy(unit).agg(F.sum(F.col("w") * F.col("r")).alias("wr")).withColumn("c", F.col("wr") / scale)
     one = per.agg(F.sort_array(F.collect_list(F.struct(unit, "c"))).alias("pairs")).select(F.transform("pairs", lambda p: p["c"]).alias("c"))
     dot = F.aggregate(F.zip_with("s", "c", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     estimate = F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x)
     draws = _signs(one).select(dot.alias("b"), estimate.alias("estimate"), F.size("c").alias("cluster_count"))
-    return draws.groupBy("estimate", "cluster_count").agg(
+    out = draws.groupBy("estimate", "cluster_count").agg(
         F.count("*").alias("sign_assignments"), F.avg((F.abs("b") >= F.abs("estimate") - 1e-12).cast("double")).alias("p_value"),
         F.percentile("b", F.lit(0.025)).alias("ci95_low"), F.percentile("b", F.lit(0.975)).alias("ci95_high"),
     )
+    return out.withColumn("std_error_hc1", hc1)
 
 
 def crv1(df: DataFrame, unit: str, period: str, y: str = "y", d: str = "did") -> DataFrame:
