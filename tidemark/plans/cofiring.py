@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.estimators.resampling import poisson_copies
-from tidemark.functions.scalars import md5_uniform
+from tidemark.functions.scalars import md5_uniform, safe_rate
 from tidemark.operators import ranking
 from tidemark.session import settle
 
@@ -119,7 +119,9 @@ def touch_lift(outcomes: DataFrame, touched: DataFrame, value: str, ratio: int =
     """Percent lift of the mean outcome of touched mints over ``ratio`` times as many hash-ordered controls, with CI.
 
     ``outcomes``  mint, <value>. Controls are the untouched mints with the smallest key hashes: reproducible and
-    independent of partitioning. The interval resamples mints with Poisson weights, one aggregate for all draws.
+    independent of partitioning. The interval resamples mints with Poisson weights, one aggregate for all draws. A draw
+    that takes no mint of a side, or controls of mean zero, has no lift: it is null and no part of the interval.
+    Without any touched mint the one row has null lifts and counts of zero.
     """
     outcomes, touched = settle(outcomes), settle(touched)
     treated = outcomes.join(touched, "mint", "left_semi").withColumn("side", F.lit(1))
@@ -137,8 +139,11 @@ def touch_lift(outcomes: DataFrame, touched: DataFrame, value: str, ratio: int =
 
     def mean(side: int) -> Column:
         here = F.col("side") == side
-        return F.sum(F.when(here, w * F.col(value))) / F.sum(F.when(here, w))
+        return safe_rate(F.sum(F.when(here, w * F.col(value))), F.sum(F.when(here, w)))
 
-    lifts = settle(drawn.groupBy("draw").agg(((mean(1) / mean(0) - 1) * 100).alias("lift_pct"), F.count_if(F.col("side") == 1).alias("n_treated"), F.count_if(F.col("side") == 0).alias("n_control")))
+    lifts = settle(drawn.groupBy("draw").agg(((safe_rate(mean(1), mean(0)) - 1) * 100).alias("lift_pct"), F.count_if(F.col("side") == 1).alias("n_treated"), F.count_if(F.col("side") == 0).alias("n_control")))
     interval = ranking.quantiles(lifts.where("draw > 0"), [], "lift_pct", {"ci95_low": 0.025, "ci95_high": 0.975})
-    return ranking.with_quantiles(lifts.where("draw = 0").drop("draw"), [], interval)
+    point = lifts.where("draw = 0").agg(
+        F.max("lift_pct").alias("lift_pct"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n_treated", "n_control")]
+    )
+    return ranking.with_quantiles(point, [], interval)
