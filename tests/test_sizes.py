@@ -1,5 +1,6 @@
 """Inputs that larger or sparser tables bring."""
 
+from tidemark.estimators import resampling
 from tidemark.plans import cofiring
 
 
@@ -11,3 +12,16 @@ def test_touch_lift_of_few_touched_mints(spark):
     assert row[0].lift_pct is not None and row[0].ci95_low <= row[0].ci95_high
     none = cofiring.touch_lift(outcomes, spark.createDataFrame([], "mint long"), "volume").collect()
     assert [tuple(r) for r in none] == [(None, 0, 0, None, None)]
+
+
+def test_median_draws_of_gathered_and_spread_groups_agree(spark):
+    rows = [(None if g == 3 else g, i + 1000 * g, float((i * 37 + g) % 50) - 20.0) for g, n in enumerate((1, 2, 40, 7, 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, id long, v double")
+    shown = lambda out: {r.k: tuple(None if x is None else round(x, 9) for x in r[1:]) for r in out.collect()}
+    whole = shown(resampling.boot_median(df, ["k"], "v", "id", 20))
+    assert shown(resampling.boot_median(df, ["k"], "v", "id", 20, gathered=0)) == whole
+    assert shown(resampling.boot_median(df, ["k"], "v", "id", 20, gathered=21 * 40)) == whole
+    # rows are not multiplied by draws before the shuffle: one exchange, no generator
+    plan = resampling.boot_median(df, ["k"], "v", "id", 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Repartition") == 1
+    assert whole[2][0] == sorted(v for k, _, v in rows if k == 2)[19] / 2 + sorted(v for k, _, v in rows if k == 2)[20] / 2

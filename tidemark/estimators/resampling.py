@@ -8,12 +8,14 @@ before they are multiplied by draws.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.scalars import md5_sign, md5_uniform, safe_rate
 from tidemark.operators import ranking
@@ -62,19 +64,135 @@ def boot_mean(df: DataFrame, keys: Sequence[str], value: str, unit: str, draws:
     return ranking.with_quantiles(point, keys, interval(means.where("draw > 0"), keys, "m"))
 
 
-def boot_median(df: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int = 100, salt: str = "median") -> DataFrame:
-    """Median with a percentile interval.
+GATHERED = 4_000_000  # weights (rows x draws) of a group that one task may hold
 
-    Copies of equal values are interchangeable: a draw is a reweighted count table, and its weighted median comes from
-    the running weight, found in value buckets.
+
+def _drawn(rows: DataFrame, unit: str, draws: int, salt: str) -> DataFrame:
+    """Every row once per draw it is in, with its copies ``__w``; draw 0 is the data itself."""
+    long = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    drawn = long.withColumn("__u", md5_uniform(F.lit(salt), F.col("draw"), F.col(unit)))
+    return drawn.withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("__u")))).where("__w > 0").drop("__u")
+
+
+def _gathered_medians(rows: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int, salt: str, gathered: int) -> DataFrame:
+    """Median and interval of groups that fit in a task.
+
+    Rows are shuffled once and sorted by value; a task takes runs of whole groups and finds the medians of all draws
+    from running weights. The random numbers are hashed after the shuffle.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, unit, value, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    u = md5_uniform(F.lit(salt), F.col("draw"), F.col(unit))
-    weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("__u"))))
-    copies = weighted.where("__w > 0").select(*keys, "draw", value, F.explode(F.sequence(F.lit(1), F.col("__w"))).alias("__c"))
-    medians = settle(ranking.quantiles(copies, [*keys, "draw"], value, {"m": 0.5}))
-    point = medians.where("draw = 0").select(*keys, F.col("m").alias("median"))
-    return ranking.with_quantiles(point, keys, interval(medians.where("draw > 0"), keys, "m"))
+    codes = [F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.lit(d).cast("string"), F.col(unit).cast("string"))), 1, 8) for d in range(1, draws + 1)]
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, value).select(*keys, F.col(value).cast("double").alias("__v"), F.concat(*codes).alias("__code"))
+    limits = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(POISSON_TERMS)])
+    key_fields = [sorted_rows.schema[k] for k in keys]
+    more = ["median double", "draws bigint", "boot_se double", "ci95_low double", "ci95_high double"]
+    schema = StructType(key_fields + StructType.fromDDL(", ".join(more)).fields)
+    least = max(gathered // (draws + 1), 1)
+
+    def summary(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        values = table.column("__v").to_numpy()
+        text = "".join(table.column("__code").to_pylist())
+        uniform = np.frombuffer(bytes.fromhex(text), ">u4").reshape(len(values), draws) / 4294967296.0
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[starts, len(values)])
+        medians = np.full((len(starts), draws + 1), np.nan)
+        seen = np.zeros((len(starts), draws + 1), bool)
+        for d in range(draws + 1):
+            weight = np.searchsorted(limits, uniform[:, d - 1], side="right") if d else np.ones(len(values), np.int64)
+            upto = np.cumsum(weight)
+            base = upto[starts] - weight[starts]
+            total = np.add.reduceat(weight, starts)
+            upto = upto - np.repeat(base, sizes)
+            seen[:, d] = total > 0
+            ends = []
+            for rank in ((total - 1) // 2, total // 2):
+                rank = np.repeat(rank, sizes)
+                ends.append(values[(upto > rank) & (upto - weight <= rank)])
+            medians[seen[:, d], d] = ends[0] + (ends[1] - ends[0]) * np.where(total[total > 0] % 2 == 0, 0.5, 0.0)
+        ordered = np.sort(np.where(seen[:, 1:], medians[:, 1:], np.inf), axis=1)
+        n = seen[:, 1:].sum(axis=1)
+
+        def quantile(q: float) -> pa.Array:
+            spot = np.maximum(n - 1, 0) * q
+            low, high = [np.take_along_axis(ordered, f(spot).astype(np.int64)[:, None], 1)[:, 0] for f in (np.floor, np.ceil)]
+            with np.errstate(invalid="ignore"):
+                return pa.array(low + (high - low) * (spot - np.floor(spot)), mask=n == 0)
+
+        drawn = np.where(seen[:, 1:], medians[:, 1:], 0.0)
+        gap = np.where(seen[:, 1:], drawn - (drawn.sum(axis=1) / np.maximum(n, 1))[:, None], 0.0)
+        spread = np.sqrt((gap * gap).sum(axis=1) / np.maximum(n - 1, 1))
+        columns = [table.column(k).combine_chunks().take(pa.array(starts)) for k in keys]
+        columns += [pa.array(medians[:, 0]), pa.array(n, mask=n == 0), pa.array(spread, mask=n < 2), quantile(0.025), quantile(0.975)]
+        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = [], 0
+        for batch in batches:
+            kept.append(batch)
+            held += batch.num_rows
+            if held < least:
+                continue
+            table = pa.Table.from_batches(kept)
+            group = numbers(table)
+            whole = int(np.searchsorted(group, group[-1]))
+            if whole:
+                yield summary(table.slice(0, whole), group[:whole])
+                kept = table.slice(whole).to_batches()
+                held = held - whole
+        if held:
+            table = pa.Table.from_batches(kept)
+            yield summary(table, numbers(table))
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        return table.select(list(keys)).to_pandas().groupby(list(keys), dropna=False, sort=False).ngroup().to_numpy()
+
+    return sorted_rows.mapInArrow(run, schema)
+
+
+def _spread_medians(rows: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int, salt: str) -> DataFrame:
+    """Median and interval of groups of any size.
+
+    Weights per draw and value bucket are combined on the map side; only rows of the buckets that hold a median are
+    ranked.
+    """
+    # as one struct, keys with nulls meet like any others
+    parts = rows.withColumn("__k", F.struct(*keys) if keys else F.lit(1))
+    by = ["__k", "draw", "__bucket"]
+    drawn = _drawn(parts.withColumn("__bucket", ranking.value_bucket(F.col(value))), unit, draws, salt)
+    sums = drawn.groupBy(*by).agg(F.sum("__w").alias("__rows"))
+    whole = Window.partitionBy("__k", "draw")
+    ahead = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sums.withColumn("__ahead", F.coalesce(F.sum("__rows").over(ahead), F.lit(0))).withColumn("__total", F.sum("__rows").over(whole))
+    low, high = F.expr("(__total - 1) div 2"), F.expr("__total div 2")
+    hit = settle(totals.where(((F.col("__ahead") <= low) & (low < F.col("__ahead") + F.col("__rows"))) | ((F.col("__ahead") <= high) & (high < F.col("__ahead") + F.col("__rows")))))
+    levels = drawn.join(hit.select(*by, "__ahead", "__total"), by).groupBy(*by, value, "__ahead", "__total").agg(F.sum("__w").alias("__n"))
+    inside = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = levels.withColumn("__from", F.col("__ahead") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__from") + F.col("__n")), F.col(value).cast("double")))
+
+    medians = settle(placed.groupBy("__k", "draw").agg(at(low).alias("__l"), at(high).alias("__h")).select("__k", "draw", (F.col("__l") + (F.col("__h") - F.col("__l")) * 0.5).alias("m")))
+    point = medians.where("draw = 0").select("__k", F.col("m").alias("median"))
+    out = ranking.with_quantiles(point, ["__k"], interval(medians.where("draw > 0"), ["__k"], "m"))
+    return out.select(*[F.col(f"__k.{k}") for k in keys], *[c for c in out.columns if c != "__k"])
+
+
+def boot_median(
+    df: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int = 100, salt: str = "median", gathered: int = GATHERED
+) -> DataFrame:
+    """Median with a percentile interval; a draw reweights rows by Poisson copies.
+
+    Groups of up to ``gathered`` rows x draws are sorted whole in a task, larger ones are ranked by value buckets.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, value, unit)
+    if not keys:
+        return _spread_medians(rows, keys, value, unit, draws, salt)
+    large = settle(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > gathered // (draws + 1)).select(*[F.col(k).alias(f"__{k}") for k in keys]))
+    if large.isEmpty():
+        return _gathered_medians(rows, keys, value, unit, draws, salt, gathered)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    small = _gathered_medians(rows.join(large, same, "left_anti"), keys, value, unit, draws, salt, gathered)
+    return small.unionByName(_spread_medians(rows.join(large, same, "left_semi"), keys, value, unit, draws, salt))
 
 
 def cluster_draws(units: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], draws: int, salt: str) -> DataFrame:
