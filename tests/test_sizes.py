@@ -1,6 +1,9 @@
 """Inputs that larger or sparser tables bring."""
 
+from pyspark.sql import functions as F
+
 from tidemark.estimators import resampling
+from tidemark.functions.scalars import md5_uniform
 from tidemark.plans import cofiring
 
 
@@ -25,3 +28,17 @@ def test_median_draws_of_gathered_and_spread_groups_agree(spark):
     plan = resampling.boot_median(df, ["k"], "v", "id", 20)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Repartition") == 1
     assert whole[2][0] == sorted(v for k, _, v in rows if k == 2)[19] / 2 + sorted(v for k, _, v in rows if k == 2)[20] / 2
+
+
+def test_draw_sums_hash_a_call_once_and_keep_rows_single(spark):
+    rows = [(i, None if i % 7 == 0 else "ab"[i % 2], None if i % 5 == 0 else i / 3, float(i % 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, x double, y double")
+    sums = resampling.draw_sums(df, ["k"], ["x", "y"], "id", 3, "s")
+    # only groups x draws are generated, after the batches are summed
+    plan = sums._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("MapInArrow") and plan.count("Generate") == 1
+    long = df.unpivot(["id", "k"], ["x", "y"], "__metric", "value").where("value IS NOT NULL").crossJoin(spark.range(4).withColumnRenamed("id", "draw"))
+    copies = F.when(F.col("draw") == 0, 1).otherwise(resampling.poisson_copies(md5_uniform(F.lit("s"), F.col("draw"), F.col("id"))))
+    plain = long.groupBy("k", "__metric", "draw").agg(F.sum(copies * F.col("value")).alias("s"), F.sum(copies).alias("w"), F.count("*").alias("n"))
+    shown = lambda out: {(r.k, r["__metric"], r.draw): (round(r.s, 8), r.w, r.n) for r in out.collect()}
+    assert shown(sums) == shown(plain) and len(shown(sums)) == 24

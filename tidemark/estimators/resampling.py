@@ -33,6 +33,53 @@ def poisson_copies(uniform: Column) -> Column:
     return copies
 
 
+def draw_codes(unit: str, draws: int, salt: str) -> Column:
+    """The 32 bits of ``md5_uniform`` of every draw of a unit, as hex digits one behind the other."""
+    return F.concat(*[F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.lit(str(d)), F.col(unit).cast("string"))), 1, 8) for d in range(1, draws + 1)])
+
+
+def draw_copies(codes: pa.ChunkedArray | pa.Array, draws: int) -> np.ndarray:
+    """Rows x (draws + 1) Poisson copies of ``draw_codes``; the first column, draw 0, is the data itself."""
+    bits = np.frombuffer(bytes.fromhex("".join(codes.to_pylist())), ">u4").reshape(len(codes), draws)
+    limits = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(POISSON_TERMS)])
+    copies = np.searchsorted(limits, (bits / 4294967296.0).ravel(), side="right").reshape(bits.shape)
+    return np.concatenate([np.ones((len(codes), 1), np.int64), copies], axis=1)
+
+
+def draw_sums(df: DataFrame, by: Sequence[str], values: Sequence[str], unit: str, draws: int, salt: str) -> DataFrame:
+    """(by, __metric, draw, s, w, n): weighted sum, weights and rows of every value column, per group and draw.
+
+    Rows are not multiplied by draws: a unit's draws are hashed once for all value columns, a batch is summed as a
+    matrix, and the shuffle carries groups x draws.
+    """
+    by, values = list(by), list(values)
+    rows = df.select(*by, *[F.col(v).cast("double").alias(f"__{i}") for i, v in enumerate(values)], draw_codes(unit, draws, salt).alias("__code"))
+    schema = StructType([*[rows.schema[b] for b in by], *StructType.fromDDL("__metric string, s array<double>, w array<bigint>, n bigint").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            cell = table.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(table), np.int64)
+            order = np.argsort(cell, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])
+            copies = draw_copies(batch.column("__code"), draws)[order]
+            keys = [table.column(b).combine_chunks().take(pa.array(order[starts])) for b in by]
+            for i, name in enumerate(values):
+                column = batch.column(f"__{i}")
+                there = ~column.is_null().to_numpy(zero_copy_only=False)[order]
+                value = column.fill_null(0.0).to_numpy(zero_copy_only=False)[order]
+                weight = copies * there[:, None]
+                parts = [pa.array([name] * len(starts)), pa.array(list(np.add.reduceat(weight * value[:, None], starts, axis=0))),
+                         pa.array(list(np.add.reduceat(weight, starts, axis=0))), pa.array(np.add.reduceat(there.astype(np.int64), starts))]
+                yield pa.RecordBatch.from_arrays([*keys, *parts], names=[f.name for f in schema])
+
+    sums = rows.mapInArrow(run, schema).where("n > 0")
+    long = sums.select(*by, "__metric", "n", F.posexplode(F.arrays_zip("s", "w")).alias("draw", "__p"))
+    return long.groupBy(*by, "__metric", "draw").agg(F.sum("__p.s").alias("s"), F.sum("__p.w").alias("w"), F.sum("n").alias("n"))
+
+
 def interval(draws: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Percentile interval and spread of draws."""
     spread = draws.groupBy(*keys).agg(F.count("*").alias("draws"), F.stddev_samp(value).alias("boot_se"))
@@ -53,12 +100,9 @@ def _slots(units: DataFrame, keys: Sequence[str], draws: int, salt: str) -> Data
 def boot_mean(df: DataFrame, keys: Sequence[str], value: str, unit: str, draws: int = 200, salt: str = "mean") -> DataFrame:
     """Mean with a percentile interval; Poisson weights per unit and draw, combined on the map side.
 
-    No row is gathered: every draw of a key is a weighted sum, and the shuffle carries one row per draw and task.
+    No row is gathered: every draw of a key is a weighted sum, and the shuffle carries one row per draw and batch.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, unit, value, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    u = md5_uniform(F.lit(salt), F.col("draw"), F.col(unit))
-    weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(poisson_copies(F.col("__u"))))
-    sums = weighted.groupBy(*keys, "draw").agg(F.sum(F.col("__w") * F.col(value)).alias("s"), F.sum("__w").alias("w"), F.count("*").alias("n"))
+    sums = draw_sums(df.where(F.col(value).isNotNull()), keys, [value], unit, draws, salt).drop("__metric")
     means = settle(sums.withColumn("m", safe_rate(F.col("s"), F.col("w"))))
     point = means.where("draw = 0").select(*keys, "n", F.col("m").alias("mean"))
     return ranking.with_quantiles(point, keys, interval(means.where("draw > 0"), keys, "m"))
@@ -80,9 +124,7 @@ def _gathered_medians(rows: DataFrame, keys: Sequence[str], value: str, unit: st
     Rows are shuffled once and sorted by value; a task takes runs of whole groups and finds the medians of all draws
     from running weights. The random numbers are hashed after the shuffle.
     """
-    codes = [F.substring(F.md5(F.concat_ws(":", F.lit(salt), F.lit(d).cast("string"), F.col(unit).cast("string"))), 1, 8) for d in range(1, draws + 1)]
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, value).select(*keys, F.col(value).cast("double").alias("__v"), F.concat(*codes).alias("__code"))
-    limits = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(POISSON_TERMS)])
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, value).select(*keys, F.col(value).cast("double").alias("__v"), draw_codes(unit, draws, salt).alias("__code"))
     key_fields = [sorted_rows.schema[k] for k in keys]
     more = ["median double", "draws bigint", "boot_se double", "ci95_low double", "ci95_high double"]
     schema = StructType(key_fields + StructType.fromDDL(", ".join(more)).fields)
@@ -90,14 +132,13 @@ def _gathered_medians(rows: DataFrame, keys: Sequence[str], value: str, unit: st
 
     def summary(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         values = table.column("__v").to_numpy()
-        text = "".join(table.column("__code").to_pylist())
-        uniform = np.frombuffer(bytes.fromhex(text), ">u4").reshape(len(values), draws) / 4294967296.0
+        copies = draw_copies(table.column("__code"), draws)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         sizes = np.diff(np.r_[starts, len(values)])
         medians = np.full((len(starts), draws + 1), np.nan)
         seen = np.zeros((len(starts), draws + 1), bool)
         for d in range(draws + 1):
-            weight = np.searchsorted(limits, uniform[:, d - 1], side="right") if d else np.ones(len(values), np.int64)
+            weight = copies[:, d]
             upto = np.cumsum(weight)
             base = upto[starts] - weight[starts]
             total = np.add.reduceat(weight, starts)

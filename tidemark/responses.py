@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.estimators import resampling
-from tidemark.functions.scalars import as_double, md5_uniform, safe_rate
+from tidemark.functions.scalars import as_double, safe_rate
 from tidemark.operators import aggregates, ranking, reshape
 from tidemark.session import settle
 
@@ -109,16 +109,13 @@ def cell_scores(scores: DataFrame, keys: Sequence[str], call: str = "call_id", d
     return cell_counts(scores, keys).join(means.select(*keys, "metric", "n", "mean", "ci95_low", "ci95_high"), list(keys))
 
 
-def draw_sums(long: DataFrame, by: Sequence[str], draws: int, salt: str, call: str = "call_id") -> DataFrame:
-    """Weighted sums of every finest cell under each bootstrap draw; draw 0 is the data itself.
+def draw_sums(scores: DataFrame, by: Sequence[str], metrics: Sequence[str], draws: int, salt: str, call: str = "call_id") -> DataFrame:
+    """Weighted sums of every finest cell and metric under each bootstrap draw; draw 0 is the data itself.
 
     A call weighs its Poisson copies in a draw. The shuffle carries cells x draws, and every contrast below is computed
     from this small table: cells of a contrast are unions of finest cells, so their sums add up.
     """
-    rows = long.select(*by, call, "value", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    u = md5_uniform(F.lit(salt), F.col("draw"), F.col(call))
-    weighted = rows.withColumn("__u", u).withColumn("__w", F.when(F.col("draw") == 0, F.lit(1)).otherwise(resampling.poisson_copies(F.col("__u"))))
-    return settle(weighted.groupBy(*by, "draw").agg(F.sum(F.col("__w") * F.col("value")).alias("s"), F.sum("__w").alias("w"), F.count("*").alias("n")))
+    return settle(resampling.draw_sums(scores, by, metrics, call, draws, salt).withColumnRenamed("__metric", "metric"))
 
 
 def contrast_ci(sums: DataFrame, keys: Sequence[str], cell: str, weights: dict[str, float]) -> DataFrame:
@@ -143,7 +140,7 @@ def _tagged(sums: DataFrame, keep: Sequence[str], tags: Sequence[Column]) -> Dat
 
 def rung_deltas(scores: DataFrame, model: str, rung: str, draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Upper minus lower mean for adjacent rungs 0..7: a cell serves as upper of its step and as lower of the next."""
-    sums = draw_sums(long_scores(scores, [model, rung, "call_id"], metrics), [model, rung, "metric"], draws, "rung")
+    sums = draw_sums(scores, [model, rung], metrics, draws, "rung")
     steps = _tagged(sums, [model, "metric"], [
         F.struct(F.col(rung).alias("to_rung"), F.lit("upper").alias("role")), F.struct((F.col(rung) + 1).alias("to_rung"), F.lit("lower").alias("role")),
     ]).where(F.col("to_rung").between(1, 7))
@@ -160,7 +157,7 @@ def _bit(i: int) -> Column:
 
 def factorial_effects(scores: DataFrame, model: str, draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Main effect of each evidence bit and two interactions, pooled and per model."""
-    sums = draw_sums(long_scores(_factorial(scores), [model, "factorial_bits", "call_id"], metrics), [model, "factorial_bits", "metric"], draws, "factorial")
+    sums = draw_sums(_factorial(scores), [model, "factorial_bits"], metrics, draws, "factorial")
     panels = _tagged(sums, ["factorial_bits", "metric"], [F.struct(F.lit("pooled").alias("panel")), F.struct(F.col(model).cast("string").alias("panel"))])
     main = [F.struct(F.lit(f).alias("factor"), F.concat(F.lit("b"), _bit(i)).alias("cell")) for i, f in enumerate(FACTORS)]
     cross = [F.struct(F.lit(n).alias("factor"), F.concat(F.lit("b"), _bit(a), _bit(b)).alias("cell")) for n, a, b in INTERACTIONS]
@@ -220,7 +217,7 @@ def heterogeneity(effects: DataFrame) -> DataFrame:
 
 def model_interactions(scores: DataFrame, model: str, reference: str, draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Difference between a model's and the reference model's evidence effect, per factor and metric."""
-    sums = draw_sums(long_scores(_factorial(scores), [model, "factorial_bits", "call_id"], metrics), [model, "factorial_bits", "metric"], draws, "interaction")
+    sums = draw_sums(_factorial(scores), [model, "factorial_bits"], metrics, draws, "interaction")
     rows = _tagged(sums, [model, "metric"], [F.struct(F.lit(f).alias("factor"), _bit(i).alias("bit")) for i, f in enumerate(FACTORS)])
     # the reference serves every compared model; a design has a handful of models
     others = sums.where(F.col(model) != reference).agg(F.collect_set(model)).scalar()
@@ -232,7 +229,7 @@ def model_interactions(scores: DataFrame, model: str, reference: str, draws: int
 
 def control_comparisons(scores: DataFrame, model: str, rung: str, condition_kind: str, controls: Sequence[str], draws: int = 200, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Control minus blind mean per rung; ``condition_kind`` is ``blind`` or one of ``controls``."""
-    sums = draw_sums(long_scores(scores, [model, rung, condition_kind, "call_id"], metrics), [model, rung, condition_kind, "metric"], draws, "control")
+    sums = draw_sums(scores, [model, rung, condition_kind], metrics, draws, "control")
     blind = F.col(condition_kind) == "blind"
     rows = sums.withColumn("comparison", F.explode(F.when(blind, F.array(*[F.lit(c) for c in controls])).otherwise(F.array(condition_kind))))
     return contrast_ci(rows.withColumn("cell", F.when(blind, "blind").otherwise("control")), [model, rung, "comparison", "metric"], "cell", {"control": 1.0, "blind": -1.0})
