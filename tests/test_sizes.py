@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.estimators import resampling
 from tidemark.functions.scalars import md5_uniform
+from tidemark.operators import ranking
 from tidemark.plans import cofiring
 
 
@@ -42,3 +43,13 @@ def test_draw_sums_hash_a_call_once_and_keep_rows_single(spark):
     plain = long.groupBy("k", "__metric", "draw").agg(F.sum(copies * F.col("value")).alias("s"), F.sum(copies).alias("w"), F.count("*").alias("n"))
     shown = lambda out: {(r.k, r["__metric"], r.draw): (round(r.s, 8), r.w, r.n) for r in out.collect()}
     assert shown(sums) == shown(plain) and len(shown(sums)) == 24
+
+
+def test_concentration_in_one_window_and_in_buckets_agree(spark):
+    rows = [(g, h, float((i * 7 + g) % 9 + 1)) for g, n in enumerate((1, 3, 50, 12)) for h in (0, 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "mint long, h int, w double")
+    run = lambda n: ranking.concentration_with_crossing(df, ["mint", "h"], "w", (1, 10), 0.5, "half", n)
+    shown = lambda out: {(r.mint, r.h): (r.members, r.half, *[round(x, 12) for x in (r.total_weight, r.top1_share, r.top10_share, r.hhi)]) for r in out.collect()}
+    assert shown(run(1000)) == shown(run(0)) == shown(run(12)) and len(shown(run(0))) == 8
+    # all figures of a key come from one shuffle
+    assert run(1000)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

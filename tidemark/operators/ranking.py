@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 ONE = "__one"
 FINEST = 1e6  # values below 1/FINEST share the bucket of zero
 STEPS = 128  # buckets per unit of natural logarithm: each spans less than one percent
@@ -231,3 +233,38 @@ def crossing_count(df: DataFrame, keys: Sequence[str], weight: str, share: float
     )
     copies = F.greatest(F.lit(1), F.ceil((F.col("__need") - F.col("__w0")) / F.col(weight)))
     return rows.groupBy(*keys).agg(F.min(F.col("__n0") + copies).cast("bigint").alias(name))
+
+
+GATHERED = 1_000_000  # members of a key that one window may hold
+
+
+def concentration_with_crossing(
+    df: DataFrame, keys: Sequence[str], weight: str, tops: Sequence[int], share: float, name: str, gathered: int = GATHERED
+) -> DataFrame:
+    """``concentration`` and ``crossing_count`` of positive weights on one row per key.
+
+    Keys of up to ``gathered`` members are ranked in one window, one shuffle for all figures; larger ones take the two
+    operators above. ``df`` is read twice, so it should be settled.
+    """
+    large = settle(df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > gathered).drop("__n"))
+    small = df
+    if not large.isEmpty():
+        small = df.join(large, list(keys), "left_anti")
+    whole = Window.partitionBy(*keys)
+    down = whole.orderBy(F.col(weight).desc())
+    total = F.nullif(F.col("__total").cast("double"), F.lit(0.0))
+    ranked = small.select(
+        *keys, weight, F.row_number().over(down).alias("__rank"), F.sum(weight).over(whole).alias("__total"),
+        F.sum(weight).over(down.rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
+    )
+    need = F.col("__total") * F.lit(share) * F.lit(1 - 1e-12)
+    out = ranked.groupBy(*keys).agg(
+        F.count(weight).alias("members"), F.max("__total").alias("total_weight"),
+        *[F.try_divide(F.sum(F.when(F.col("__rank") <= k, F.col(weight))), F.max(total)).alias(f"top{k}_share") for k in tops],
+        F.try_divide(F.sum(F.col(weight) * F.col(weight)), F.max(total * total)).alias("hhi"),
+        F.min(F.when(F.col("__upto") >= need, F.col("__rank"))).cast("bigint").alias(name),
+    )
+    if small is df:
+        return out
+    rest = df.join(large, list(keys), "left_semi")
+    return out.unionByName(concentration(rest, keys, weight, tops).join(crossing_count(rest, keys, weight, share, name), list(keys)))

@@ -290,13 +290,11 @@ def holder_snapshots(tokens: DataFrame, balances: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("ts") <= F.col("t0") + _days(h), stamp)).alias(f"b_{h}") for h in SNAPSHOTS]
     )
     long = explode_horizons(owners, ["mint", "owner"], {"b": "b"}, SNAPSHOTS).select(
-        "mint", F.col("horizon_days").alias("snapshot_horizon_days"), "owner", F.col("b.amount").alias("balance")
+        "mint", F.col("horizon_days").alias("snapshot_horizon_days"), F.col("b.amount").alias("balance")
     ).where(F.col("balance") > 0)
-    long = settle(long)
     keys = ["mint", "snapshot_horizon_days"]
-    shape = ranking.concentration(long, keys, "balance", tops=(1, 10))
-    half = ranking.crossing_count(long, keys, "balance", 0.5, "nakamoto_50_count")
-    return shape.join(half, keys).select(
+    shape = ranking.concentration_with_crossing(settle(long), keys, "balance", (1, 10), 0.5, "nakamoto_50_count")
+    return shape.select(
         *keys, F.col("members").alias("holders"), F.col("top1_share").alias("top1_holder_share"),
         F.col("top10_share").alias("top10_holder_share"), F.col("hhi").alias("holder_hhi"), "nakamoto_50_count",
     )
