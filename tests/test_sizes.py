@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.catalog import market as market_queries
+from tidemark.catalog.registry import Tables
 from tidemark.estimators import resampling
 from tidemark.functions.scalars import md5_uniform
 from tidemark.operators import ranking
 from tidemark.plans import cofiring
+from tidemark.sources import readers
 
 
 def test_touch_lift_of_few_touched_mints(spark):
@@ -53,3 +56,11 @@ def test_concentration_in_one_window_and_in_buckets_agree(spark):
     assert shown(run(1000)) == shown(run(0)) == shown(run(12)) and len(shown(run(0))) == 8
     # all figures of a key come from one shuffle
     assert run(1000)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_holder_reconstruction_makes_text_of_clipped_rows_only(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(market_queries, "import_transfers", lambda rows: seen.append(rows) or readers.import_transfers(rows))
+    market_queries.holder_reconstruction(Tables(spark, "/root/testdata/sf0.001")).count()
+    blocks = seen[0].agg(F.min(F.col("blockNumber").cast("long")).alias("low"), F.max(F.col("blockNumber").cast("long")).alias("high")).first()
+    assert blocks.high - blocks.low <= 2 * (30 * 3000 + 2000)

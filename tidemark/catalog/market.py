@@ -201,13 +201,17 @@ SELECT {roles.hex_address_sql('c.brand')} AS token_id, h.horizon_days, coalesce(
 FROM cohort c CROSS JOIN horizons h LEFT JOIN g ON g.brand = c.brand AND g.horizon_days = h.horizon_days LEFT JOIN logs l ON l.brand = c.brand""",
        "holder_concentration_top10")
 def holder_reconstruction(t: Tables) -> DataFrame:
-    rows = shipments(t).select(
+    # clipped to the widest window while the columns are numbers: most shipments never become text
+    narrow = settle(shipments(t).select("brand", "l_suppkey", "o_custkey", "l_quantity", "block"))
+    ends = narrow.groupBy("brand").agg((F.min("block") + max(reshape.HORIZONS) * 3000 + market.BLOCK_SLACK).alias("__end"))
+    inside = settle(narrow.join(ends, "brand").where(F.col("block") <= F.col("__end")).drop("__end"))
+    rows = inside.select(
         roles.hex_address(F.col("brand")).alias("contract_address"), roles.hex_address(F.col("l_suppkey")).alias("from"),
         roles.hex_address(F.col("o_custkey") * 1000).alias("to"), F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("e18")).alias("value"),
         F.col("block").cast("string").alias("blockNumber"),
     )
-    transfers = settle(import_transfers(rows))
-    cohort = transfers.groupBy("token_id").agg(F.min("block_number").alias("launch_block"))
+    transfers = import_transfers(rows)
+    cohort = settle(transfers.groupBy("token_id").agg(F.min("block_number").alias("launch_block")))
     return market.holder_reconstruction(cohort, transfers, 3000)
 
 
