@@ -64,3 +64,6 @@ def test_holder_reconstruction_makes_text_of_clipped_rows_only(spark, monkeypatc
     market_queries.holder_reconstruction(Tables(spark, "/root/testdata/sf0.001")).count()
     blocks = seen[0].agg(F.min(F.col("blockNumber").cast("long")).alias("low"), F.max(F.col("blockNumber").cast("long")).alias("high")).first()
     assert blocks.high - blocks.low <= 2 * (30 * 3000 + 2000)
+    out = market_queries.holder_reconstruction(Tables(spark, "/root/testdata/sf0.001"))
+    # carries are resolved before the result is planned, not in each of its branches
+    assert "__padded" not in out._jdf.queryExecution().optimizedPlan().toString() and "pmod" not in out._jdf.queryExecution().optimizedPlan().toString()

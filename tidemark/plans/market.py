@@ -341,13 +341,14 @@ def holder_reconstruction(
     sums = settle(wide.with_limbs(moves, "text", "v").groupBy("token_id", "holder").agg(
         F.sum("log").alias("logs"), *[c for n in horizons for c in wide.sum_limbs("v", F.col("h") <= n, f"_{n}")]
     ))
-    held = (
-        explode_horizons(sums.where(F.col("holder") != ZERO_ADDRESS), ["token_id", "holder"], {p: p for p in wide.LIMBS}, horizons)
+    keys = ["token_id", "horizon_days"]
+    # written once: the sign test and both aggregates below would each resolve the carries again
+    numbers = settle(
+        explode_horizons(sums.where(F.col("holder") != ZERO_ADDRESS), ["token_id"], {p: p for p in wide.LIMBS}, horizons)
         .where(F.col("hi").isNotNull())
-        .withColumn("number", wide.carry(F.col("hi"), F.col("mid"), F.col("lo")))
-        .where(wide.is_positive(F.col("number")))
+        .select(*keys, wide.carry(F.col("hi"), F.col("mid"), F.col("lo")).alias("number"))
     )
-    keys = ["token_id", "horizon_days"]
+    held = numbers.where(wide.is_positive(F.col("number")))
     value = wide.to_double(F.col("number"))
     totals = held.groupBy(*keys).agg(F.count("*").alias("holder_count"), F.sum(value).alias("supply"))
     top = filters.top_rows(held, keys, [wide.order_key(F.col("number")).desc()], 10).groupBy(*keys).agg(F.sum(value).alias("top10"))
