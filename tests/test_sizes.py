@@ -1,12 +1,14 @@
 """Inputs that larger or sparser tables bring."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import market as market_queries
 from tidemark.catalog.registry import Tables
 from tidemark.estimators import resampling
 from tidemark.functions.scalars import md5_uniform
-from tidemark.operators import ranking
+from tidemark.operators import joins, ranking
 from tidemark.plans import cofiring
 from tidemark.sources import readers
 
@@ -67,3 +69,28 @@ def test_holder_reconstruction_makes_text_of_clipped_rows_only(spark, monkeypatc
     out = market_queries.holder_reconstruction(Tables(spark, "/root/testdata/sf0.001"))
     # carries are resolved before the result is planned, not in each of its branches
     assert "__padded" not in out._jdf.queryExecution().optimizedPlan().toString() and "pmod" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_positions_move_one_row_a_range_and_keep_rows_without_key(spark, monkeypatch):
+    rows = [(None if i % 5 == 0 else "ab"[i % 10 == 1], float("nan") if i == 7 else None if i == 9 else float(i * 13 % 40), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "pair string, v double, id long").repartition(7)
+    seen = []
+    settled = ranking.settle
+    monkeypatch.setattr(ranking, "settle", lambda out: seen.append(settled(out)) or seen[-1])
+    place = lambda r: (float("inf") if math.isnan(r[1]) else r[1])
+    for keys in ([], ["pair"]):
+        for down in (False, True):
+            got = {r.id: r.n for r in ranking.global_index(df, "v", "id", keys=keys, descending=down, name="n").collect()}
+            groups = {}
+            for r in sorted((r for r in rows if r[1] is not None), key=lambda r: (-place(r) if down else place(r), r[2])):
+                groups.setdefault(r[0] if keys else 0, []).append(r[2])
+            assert got == {i: n for ids in groups.values() for n, i in enumerate(ids, 1)}
+            # rows meet one shift for each key and range, not one for each value
+            assert seen[-1].count() <= len(groups) * seen[-2].select("__range").distinct().count() <= len(groups) * 8
+
+
+def test_treated_rows_without_pair_fall_back(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id int, pair string, block int")
+    treated, controls = [(1, None, 10), (2, "a", 11), (3, None, 12)], [(7, "a", 5), (8, None, 6)]
+    got = {r.id: (r.control_id, r.match_kind) for r in joins.match_without_replacement(frame(treated), frame(controls), "pair", "block", "id").collect()}
+    assert got == {1: (8, "fallback"), 2: (7, "same_pair"), 3: (None, "unmatched")}

@@ -440,7 +440,7 @@ design AS (SELECT c_custkey AS mint, c_nationkey AS nation, c_acctbal AS bal, CA
 
 def design(t: Tables) -> DataFrame:
     big = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), *[F.max((F.col("o_totalprice") > v).cast("int")).alias(c) for c, v in (("hit", 480000), ("hit_low", 450000), ("hit_high", 495000))])
-    binned = reshape.rank_bins(t.customer, "c_acctbal", 10, "c_custkey", "decile")
+    binned = reshape.rank_bins(t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_acctbal", 10, "c_custkey", "decile")
     zero = lambda c, name: F.coalesce(F.col(c), F.lit(0)).alias(name)
     return binned.join(big, F.col("o_custkey") == F.col("c_custkey"), "left").select(
         F.col("c_custkey").alias("mint"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("bal"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("treated"),

@@ -710,7 +710,7 @@ def rank_quantile_bins(t: Tables) -> DataFrame:
 
 @query("global_positions", "SELECT l.event_id, row_number() OVER (ORDER BY value, event_id) AS row_index FROM events l")
 def global_positions(t: Tables) -> DataFrame:
-    return ranking.global_index(t.events, "value", "event_id").select("event_id", "row_index")
+    return ranking.global_index(t.events.select("event_id", "value"), "value", "event_id").select("event_id", "row_index")
 
 
 @query("censored_outcomes", f"""WITH {roles.LAUNCHES} SELECT mint, CASE WHEN created_at > TIMESTAMP '2001-06-01' - INTERVAL 7 DAY THEN NULL ELSE coalesce(ship <= created_at + INTERVAL 7 DAY, false) END AS within_7d,

@@ -162,7 +162,8 @@ def match_same_pair(treated: DataFrame, controls: DataFrame, pair: str, block: s
     """n-th treated row of a pair with its n-th most recent control of the same pair.
 
     Exactly the sequential rule while every pair has enough controls. Positions come from
-    ``ranking.global_index``, so a hot pair is ranked in segments, then the sides meet on (pair, position).
+    ``ranking.global_index``, so a hot pair is ranked in ranges, then the sides meet on (pair, position). A treated row
+    of no pair has no control.
     """
     left = ranking.global_index(treated, block, tie, keys=[pair], name="__place")
     right = ranking.global_index(controls, block, tie, keys=[pair], descending=True, name="__place")

@@ -3,7 +3,7 @@
 A window sorts each of its partitions in one task, so a key that owns a third of the rows stalls it. The operators
 here first shrink equal values to counts (combined on the map side), then cut the value axis in fixed log-scale
 buckets: one small window runs over the bucket totals of a key, another inside a bucket. Buckets are a function of
-the value alone, so retries and repeated branches agree on them.
+the value alone, so retries and repeated branches agree on them. Positions of single rows come from a layout by range.
 """
 
 from __future__ import annotations
@@ -111,47 +111,28 @@ def with_quantiles(stats: DataFrame, keys: Sequence[str], *parts: DataFrame) ->
     return stats
 
 
-def _split_points(df: DataFrame, column: str, parts: int) -> list[float]:
-    """Approximate split points of a numeric column: at most ``parts`` numbers on the driver."""
-    marks = df.select(F.col(column).cast("double").alias("v")).approxQuantile(
-        "v", [i / parts for i in range(1, parts)], 0.5 / parts
-    )
-    return sorted(set(marks))
-
-
-def _segment(column: Column, marks: Sequence[float]) -> Column:
-    if not marks:
-        return F.lit(0)
-    array = F.array(*[F.lit(m) for m in marks])
-    return F.size(F.filter(array, lambda m: m < column.cast("double")))
-
-
 def global_index(
-    df: DataFrame, order: str, tie: str, keys: Sequence[str] = (), descending: bool = False, segments: int = 64, name: str = "row_index"
+    df: DataFrame, order: str, tie: str, keys: Sequence[str] = (), descending: bool = False, name: str = "row_index"
 ) -> DataFrame:
-    """1-based position of every row ordered by (``order``, ``tie``), globally or per key.
+    """1-based position of every row with an ``order`` value by (``order``, ``tie``), globally or per key.
 
-    ``order`` and ``tie`` are numeric and ``tie`` is unique within equal ``order``; ties always rank ascending. Runs
-    one small action for the split points of ``tie``. The largest window partition is one (key, value, tie segment),
-    so heavy ties are split too.
+    ``tie`` is unique within equal ``order``; ties always rank ascending. A null key is a key of its own. Rows are laid
+    out by range of (key, order, tie), so neither a hot key nor a heavy tie meets in one task, sorted and written with
+    their number; one small row per key and range shifts the numbers of a range. All columns are written: hand over
+    the needed ones.
     """
-    marks = _split_points(df, tie, segments)
-    parts, group = _keys(df, keys)
-    parts = parts.where(F.col(order).isNotNull()).withColumn("__seg", _segment(F.col(tie), marks))
-    counts = _counts(parts, group, order, ["__seg"])
     direction = F.desc(order) if descending else F.asc(order)
-    earlier = F.coalesce(F.sum("__n").over(_inside(group, direction, F.asc("__seg"))), F.lit(0))
-    offsets = (
-        counts.join(_bucket_totals(counts, group, descending), [*group, "__bucket"])
-        .withColumn("__offset", F.col("__ahead") + earlier)
-        .select(*group, order, "__seg", "__offset")
-    )
-    place = F.row_number().over(Window.partitionBy(*group, order, "__seg").orderBy(tie))
-    return (
-        parts.join(offsets, [*group, order, "__seg"])
-        .withColumn(name, (F.col("__offset") + place).cast("bigint"))
-        .drop("__offset", "__seg", ONE)
-    )
+    line = [*[F.asc(k) for k in keys], direction, F.asc(tie)]
+    laid = df.where(F.col(order).isNotNull()).repartitionByRange(*line).sortWithinPartitions(*line)
+    rows = settle(laid.withColumns({"__at": F.monotonically_increasing_id(), "__range": F.spark_partition_id()}))
+    runs = rows.groupBy(*keys, "__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1
+    shifts = settle(runs.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__run"), shift.alias("__shift")))
+    same = F.col("__range") == F.col("__run")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(shifts, same).select(*df.columns, (F.col("__at") + F.col("__shift")).cast("bigint").alias(name))
 
 
 def running_sum(
