@@ -391,6 +391,21 @@ def test_token_files(spark):
     assert tokens.tokenized(documents(spark, []), shared_folder(spark, "tokens")).count() == 0
 
 
+def test_rows_of_one_id_follow_each_other_by_text_across_shards(spark):
+    rows = [(1 if i % 4 else i, f"{'same beginning of many letters, ' if i % 3 else ''}{i * 37 % 101} words " * (1 + i % 5), "a") for i in range(200)]
+    path = shared_folder(spark, "tokens")
+    tokens.write_tokens(documents(spark, rows).repartition(3), path, shards=8)
+    files = tokens.read_tokens(spark, path)
+    assert files.select("shard").distinct().count() > 3
+    got = [r.start for r in sorted(tokens.token_digest(files).collect(), key=lambda r: r.start) if r.doc_id == 1]
+    t = tokens.PieceEncoder(tokens.public_path()).tokenizer
+    expected, at = [], 0
+    for i, text, _ in sorted(rows):
+        expected += [at] * (i == 1)
+        at += len(t.encode(text, add_special_tokens=False).ids) + 1
+    assert got == expected
+
+
 # ---- WARC
 
 

@@ -218,13 +218,15 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, shards: int | None = None, doc_id: str = "doc_id", text: str = "text", stripe_bytes: int = 64 << 20) -> None:
     """Tokenize whole texts and write (shard, row, doc_id, ids) as ORC below ``path``.
 
-    Texts are laid out by range of id before they are encoded, each range is one shard, and rows stand in ascending
-    id (null first, then by text) inside it. ORC run-length-encodes the ids, keeps a row index for every 10,000 rows
-    with minimum and maximum id, and a Bloom filter on doc_id; stripes are read in parallel and pruned by both.
+    Texts are laid out by range of id and head of the text before they are encoded, each range is one shard, and rows
+    stand in ascending id (null first, then by text) inside it and from shard to shard. ORC run-length-encodes the
+    ids, keeps a row index for every 10,000 rows with minimum and maximum id, and a Bloom filter on doc_id; stripes
+    are read in parallel and pruned by both.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(shards or partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    # the head of a text orders as the text does and keeps what is sampled for the ranges small
+    placed = rows.repartitionByRange(shards or partitions(spark), "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     where = tokenizer or public_path()
 
